@@ -20,7 +20,33 @@ def op2_warc_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_shards, op2_warc_chunks)}
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from anamnesis.llm import langid
+
+    docs = table(spark, sf_dir, "documents")
+    out = langid.predict(docs, langid.learn(docs.where(~langid.held_out())))
+    return out.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
+
+
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from anamnesis.llm.simhash import linked
+
+    return linked(table(spark, sf_dir, "documents"), words=3)
+
+
+def op7_bpe_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from anamnesis.llm.bpe import encode_decode
+
+    return encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), with_ids=False)
+
+
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from anamnesis.llm.decontaminate import contamination
+
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), size=10).drop("hit_words")
+
+
+QUERIES = {f.__name__: f for f in (op1_token_shards, op2_warc_chunks, op5_language_id, op6_simhash, op7_bpe_stream, op9_decontaminate)}
 
 OP2_SQL = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
