@@ -46,7 +46,41 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), size=10).drop("hit_words")
 
 
-QUERIES = {f.__name__: f for f in (op1_token_shards, op2_warc_chunks, op5_language_id, op6_simhash, op7_bpe_stream, op9_decontaminate)}
+#: Fixed rules of the URL query: (verdict, host, path).
+URL_RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")]
+PII_KEY = "surrogates-1"
+
+
+def op3_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from anamnesis.llm.pii import replace
+
+    return replace(table(spark, sf_dir, "documents").select("doc_id", "text"), PII_KEY, extra=True)
+
+
+def op4_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from anamnesis.llm.resample import resample
+
+    return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), with_text=False)
+
+
+def op8_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from anamnesis.llm.nn_descent import neighbours
+
+    return neighbours(table(spark, sf_dir, "embeddings"), every=100, k=10)
+
+
+def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from anamnesis.llm.url_rules import judge, mine
+
+    pages, labels = table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels")
+    bad = labels.groupBy(F.col("doc_id").alias("page_id")).agg(((F.min("quality") == 0) | (F.max("toxic") == 1)).alias("bad"))
+    rules = mine(pages.select("page_id", "url").join(bad, "page_id").select("url", "bad"))
+    return judge(pages, rules, URL_RULES).drop("mined")
+
+
+QUERIES = {f.__name__: f for f in (op1_token_shards, op2_warc_chunks, op3_pii_surrogates, op4_importance_resampling, op5_language_id, op6_simhash, op7_bpe_stream, op8_nn_descent, op9_decontaminate, op10_url_rules)}
 
 OP2_SQL = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
