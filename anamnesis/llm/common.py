@@ -61,3 +61,23 @@ def blocks(text: str, size: int = 1 << 20, cut: str = " ") -> Iterator[str]:
         yield text[at:end]
         at = end
     yield text[at:]
+
+
+class Memory:
+    """A cache of two generations: at `most` entries the young ones become the old, and what is asked for again moves back. Values aren't None."""
+
+    def __init__(self, most: int):
+        self.most, self.young, self.old = most, {}, {}
+
+    def missing(self, keys: set) -> list:
+        """The keys that must be worked out; all others are in `young` afterwards."""
+        if len(self.young) + len(keys) > self.most:
+            self.old, self.young = self.young, {}
+        out = []
+        for key in keys.difference(self.young):
+            value = self.old.get(key)
+            if value is None:
+                out.append(key)
+            else:
+                self.young[key] = value
+        return out

@@ -20,18 +20,22 @@ from __future__ import annotations
 
 import json
 import struct
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from anamnesis.llm.common import blocks, filesystem, scratch, shuffle_partitions
+from anamnesis.llm.common import Memory, blocks, filesystem, scratch, shuffle_partitions
 
 MAGIC = b"ANSHARD1"
-#: Words that a worker remembers at most.
+#: Words that a worker remembers at most per generation.
 REMEMBERED = 400_000
+#: Marks that end a word.
+ENDS = ".,!?;:"
 
 
 def mixed(keys: np.ndarray, seed: int) -> np.ndarray:
@@ -197,7 +201,7 @@ class WordEncoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
-        self.cache: dict[str, bytes] = {}
+        self.cache, self.pieces = Memory(REMEMBERED), Memory(REMEMBERED)
 
     @classmethod
     def of(cls, path: str) -> WordEncoder:
@@ -206,20 +210,38 @@ class WordEncoder:
         return cls.known[path]
 
     def raw(self, ids: list[int]) -> bytes:
-        return np.array(ids, f"<u{self.width}").tobytes()
+        out = array("H" if self.width == 2 else "I", ids)
+        if sys.byteorder == "big":
+            out.byteswap()
+        return out.tobytes()
+
+    def learn(self, words: list[str]) -> None:
+        """Words go to the tokenizer without case (in ASCII, where it makes no difference) and without closing marks, which are pieces of their own after a letter."""
+        split, parts = [], {""}
+        for word in words:
+            low = word.lower() if word.isascii() else word
+            core = low.rstrip(ENDS)
+            if core and core[-1].isalpha():
+                split.append((word, core, low[len(core) :]))
+                parts.add(core)
+                parts.add(low[len(core) :])
+            else:
+                split.append((word, low, ""))
+                parts.add(low)
+        new = self.pieces.missing(parts)
+        known, whole = self.pieces.young, self.cache.young
+        for piece, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
+            known[piece] = self.raw(e.ids)
+        for word, core, end in split:
+            whole[word] = known[core] + known[end] if end else known[core]
 
     def encode(self, text: str) -> list[bytes]:
         out = []
         for block in blocks(text.replace("\n", " ")):
             words = block.split(" ")
-            if new := set(words).difference(self.cache):
-                if len(self.cache) + len(new) > REMEMBERED:
-                    self.cache.clear()
-                    new = set(words)
-                new = list(new)
-                for word, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                    self.cache[word] = self.raw(e.ids)
-            out.append(b"".join(map(self.cache.__getitem__, words)))
+            if new := self.cache.missing(set(words)):
+                self.learn(new)
+            out.append(b"".join(map(self.cache.young.__getitem__, words)))
         return out
 
 
