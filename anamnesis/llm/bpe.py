@@ -24,8 +24,10 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Chunks and pieces that a worker remembers at most, and bytes above which a piece is streamed.
-REMEMBERED, LONG = 300_000, 256
+from anamnesis.llm.common import Memory
+
+#: Chunks and pieces that a worker remembers at most per generation, and bytes above which a piece is streamed.
+REMEMBERED, LONG = 400_000, 256
 BLOCK = 1 << 18
 #: Fixed: the split before the merges, white space by its Unicode property.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
@@ -147,23 +149,31 @@ class Transducer:
 
 
 def encode_piece(m: Merges, data: bytes) -> list[int]:
-    """The same for a short piece, all of it at once."""
-    ids, agree = m.ids, m.agree
-    if (token := ids.get(data)) is not None:
-        return [token]
-    n, most = len(data), m.lookahead
-    last, start = [-1] * (n + 1), [0] * (n + 1)
-    for i in range(1, n + 1):
-        for j in range(max(0, i - most), i):
-            token = ids.get(data[j:i])
-            if token is not None and (j == 0 or agree(last[j], token)):
-                last[i], start[i] = token, j
-                break
-    out = []
-    while n:
-        out.append(last[n])
-        n = start[n]
-    return out[::-1]
+    """The same for a short piece that is there as a whole: the one row of tokens that may all stand side by side, longest
+    first. A position where no token goes on is never tried again, as only one row of tokens leads to it."""
+    ids, agreed = m.ids, m.agreed
+    n, at, out, ends, dead = len(data), 0, [], [], set()
+    end = min(n, m.lookahead)
+    while at < n:
+        before = out[-1] if out else -1
+        while end > at:
+            token = ids.get(data[at:end])
+            if token is not None and end not in dead:
+                if before < 0:
+                    break
+                fine = agreed.get((before, token))
+                if m.agree(before, token) if fine is None else fine:
+                    break
+            end -= 1
+        if end > at:
+            out.append(token)
+            ends.append(at)
+            at, end = end, min(n, end + m.lookahead)
+        else:
+            dead.add(at)
+            out.pop()
+            at, end = ends.pop(), at - 1
+    return out
 
 
 class Codec:
@@ -185,8 +195,7 @@ class Codec:
         self.names = {i: str(i) for i in self.bytes}
         self.pattern = regex.compile(PATTERN)
         self.parts = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.chunks: dict[str, tuple[int, ...]] = {}
-        self.pieces: dict[str, list[int]] = {}
+        self.chunks, self.pieces = Memory(REMEMBERED), Memory(REMEMBERED)
 
     @classmethod
     def of(cls, path: str) -> Codec:
@@ -194,21 +203,18 @@ class Codec:
             cls.known[path] = cls(path)
         return cls.known[path]
 
-    def piece(self, text: str) -> list[int]:
-        got = self.pieces.get(text)
-        if got is None:
-            data = text.encode("utf-8", "surrogatepass")
-            if len(data) > LONG:
-                t = Transducer(self.merges)
-                return t.feed(data) + t.finish()
-            if len(self.pieces) > REMEMBERED:
-                self.pieces.clear()
-            got = self.pieces[text] = encode_piece(self.merges, data)
-        return got
-
     def split(self, text: str) -> list[int]:
         """Ids of a stretch, piece by piece."""
-        return [i for p in self.pattern.findall(text) for i in self.piece(p)]
+        found = self.pattern.findall(text)
+        known = self.pieces
+        for p in known.missing(set(found)) if len(found) > 1 or found and found[0] not in known.young else ():
+            data = p.encode("utf-8", "surrogatepass")
+            if len(data) > LONG:
+                t = Transducer(self.merges)
+                known.young[p] = t.feed(data) + t.finish()
+            else:
+                known.young[p] = encode_piece(self.merges, data)
+        return [i for p in found for i in known.young[p]]
 
     def stretch(self, text: str) -> list[int]:
         """Ids of a block. Where no white space stands before a blank, each blank starts a chunk of its own."""
@@ -216,14 +222,9 @@ class Codec:
             return self.split(text)
         first, *rest = text.split(" ")
         out = self.split(first)
-        chunks = self.chunks
-        if new := set(rest).difference(chunks):
-            if len(chunks) + len(new) > REMEMBERED:
-                chunks.clear()
-                new = set(rest)
-            for word in new:
-                chunks[word] = tuple(self.split(" " + word))
-        for ids in map(chunks.__getitem__, rest):
+        for word in self.chunks.missing(set(rest)):
+            self.chunks.young[word] = tuple(self.split(" " + word))
+        for ids in map(self.chunks.young.__getitem__, rest):
             out += ids
         return out
 
