@@ -43,6 +43,11 @@ ANY = "|".join(f"(?:{p})" for _, p in KINDS)
 HINT = rf"[0-9@]|\b(?:{TITLE})\b|(?i:secret|token|passw|key)"
 
 
+def let(value: Column, body) -> Column:
+    """body of the value, which is worked out once however often body uses it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def kind_of(e: Column) -> Column:
     out = F.lit("name")
     for name, pattern in reversed(KINDS[:-1]):
@@ -68,15 +73,16 @@ def drawn(text: Column, hexes: Column, keep: str) -> Column:
     fixed = F.length(F.regexp_extract(text, keep, 0)) if keep else F.lit(0)
 
     def one(c: Column, i: Column) -> Column:
-        r = F.conv(F.substring(hexes, F.pmod(i * 2, F.lit(254)) + 1, F.lit(2)), 16, 10).cast("int")
+        return F.when(i < fixed, c).otherwise(let(F.conv(F.substring(hexes, F.pmod(i * 2, F.lit(254)) + 1, F.lit(2)), 16, 10).cast("int"), lambda r: new(c, r)))
 
+    def new(c: Column, r: Column) -> Column:
         def of(letters: str) -> Column:
             return F.substring(F.lit(letters), F.pmod(r, F.lit(len(letters))) + 1, F.lit(1))
 
-        new = F.when(c.rlike("[0-9]"), of("0123456789")).when(c.rlike("[a-z]"), of("abcdefghijklmnopqrstuvwxyz")).when(c.rlike("[A-Z]"), of("ABCDEFGHIJKLMNOPQRSTUVWXYZ"))
-        new = new.when(c.rlike(r"\p{IsCyrillic}"), F.when(c.rlike(r"\p{Lu}"), of("АБВГДЕЖЗИКЛМНОПРСТУФ")).otherwise(of("абвгдежзиклмнопрстуф")))
-        new = new.when(c.rlike(r"\p{Ll}"), of("àáâäçèéêíîïñóôöúûü")).when(c.rlike(r"\p{Lu}"), of("ÀÁÂÄÇÈÉÊÍÎÏÑÓÔÖÚÛÜ"))
-        return F.when(i < fixed, c).otherwise(F.coalesce(new, c))
+        out = F.when(c.rlike("[0-9]"), of("0123456789")).when(c.rlike("[a-z]"), of("abcdefghijklmnopqrstuvwxyz")).when(c.rlike("[A-Z]"), of("ABCDEFGHIJKLMNOPQRSTUVWXYZ"))
+        out = out.when(c.rlike(r"\p{IsCyrillic}"), F.when(c.rlike(r"\p{Lu}"), of("АБВГДЕЖЗИКЛМНОПРСТУФ")).otherwise(of("абвгдежзиклмнопрстуф")))
+        out = out.when(c.rlike(r"\p{Ll}"), of("àáâäçèéêíîïñóôöúûü")).when(c.rlike(r"\p{Lu}"), of("ÀÁÂÄÇÈÉÊÍÎÏÑÓÔÖÚÛÜ"))
+        return out.otherwise(c)
 
     return F.array_join(F.transform(chars, one), "")
 
@@ -105,22 +111,30 @@ def first_name(form: Column, title: Column, hexes: Column) -> Column:
 
 def surrogate(e: Column, kind: Column, form: Column, attempt: Column, key: str) -> Column:
     """The surrogate of mention e, in its format."""
-    h = stream(key, kind, form, attempt)
+    return let(stream(key, kind, form, attempt), lambda h: made(e, kind, form, h))
+
+
+def made(e: Column, kind: Column, form: Column, h: Column) -> Column:
+    """The surrogate from the hexadecimal digits h."""
     octet = lambda n: (F.pmod(F.conv(F.substring(h, 1 + 4 * n, 4), 16, 10).cast("int"), F.lit(254)) + 1).cast("string")
     # The digits of phones and cards come from the canonical form, so that the same number in another layout stays the same number.
     code = F.when(e.startswith("+"), F.regexp_extract(e, r"^\+(\d{1,3})(?=[ .(-])", 1)).otherwise("")
-    phone = F.concat(code, drawn(F.substring(form, F.length(code) + 1, F.lit(64)), h, ""))
-    body = drawn(form, h, "")
-    head = F.substring(body, F.lit(1), F.length(body) - 1)
-    check = F.pmod(F.lit(10) - F.pmod(luhn(F.concat(head, F.lit("0"))), F.lit(10)), F.lit(10)).cast("string")
-    card = F.when(F.pmod(luhn(form), F.lit(10)) == 0, F.concat(head, check)).otherwise(body)
-    host = F.substring_index(e, "@", -1)
-    mail = F.concat(drawn(F.substring_index(F.lower(e), "@", 1), h, ""), F.lit("@"), drawn(F.substring(F.lower(host), F.lit(1), F.length(host) - F.length(F.substring_index(host, ".", -1))), F.sha2(h, 512), ""), F.lower(F.substring_index(host, ".", -1)))
-    title = F.regexp_extract(e, rf"^({TITLE})", 1)
+    phone = let(code, lambda c: F.concat(c, drawn(F.substring(form, F.length(c) + 1, F.lit(64)), h, "")))
+    card = let(drawn(form, h, ""), lambda body: F.when(F.pmod(luhn(form), F.lit(10)) == 0, checked(F.substring(body, F.lit(1), F.length(body) - 1))).otherwise(body))
+    host = F.substring_index(F.lower(e), "@", -1)
+    last = F.substring_index(host, ".", -1)
+    mail = F.concat(drawn(F.substring_index(F.lower(e), "@", 1), h, ""), F.lit("@"), drawn(F.substring(host, F.lit(1), F.length(host) - F.length(last)), F.sha2(h, 512), ""), last)
     rest = F.regexp_extract(form, r" (.*)$", 1)
-    name = F.concat(F.regexp_extract(e, rf"^(?:{TITLE})\.? ", 0), first_name(form, title, h), F.when(rest != "", F.concat(F.lit(" "), drawn(rest, h, ""))).otherwise(""))
-    secret = F.concat(F.substring(e, F.lit(1), F.length(e) - F.length(form)), drawn(form, h, r"^(?:AKIA|ghp_|sk-)"))
-    return F.when(kind == "email", mail).when(kind == "ip", F.concat_ws(".", *(octet(n) for n in range(4)))).when(kind == "phone", format_like(e, phone)).when(kind == "card", format_like(e, card)).when(kind == "ssn", format_like(e, body)).when(kind == "secret", secret).otherwise(name)
+    name = F.concat(F.regexp_extract(e, rf"^(?:{TITLE})\.? ", 0), first_name(form, F.regexp_extract(e, rf"^({TITLE})", 1), h), F.when(rest != "", F.concat(F.lit(" "), drawn(rest, h, ""))).otherwise(""))
+    hexed = F.substring(h, F.lit(1), F.length(form))
+    body = F.when(form.rlike(r"^[0-9a-f]{1,256}$"), hexed).when(form.rlike(r"^[0-9A-F]{1,256}$"), F.upper(hexed)).otherwise(drawn(form, h, r"^(?:AKIA|ghp_|sk-)"))
+    secret = F.concat(F.substring(e, F.lit(1), F.length(e) - F.length(form)), body)
+    return F.when(kind == "email", mail).when(kind == "ip", F.concat_ws(".", *(octet(n) for n in range(4)))).when(kind == "phone", let(phone, lambda d: format_like(e, d))).when(kind == "card", let(card, lambda d: format_like(e, d))).when(kind == "ssn", let(drawn(form, h, ""), lambda d: format_like(e, d))).when(kind == "secret", secret).otherwise(name)
+
+
+def checked(head: Column) -> Column:
+    """head with Luhn's check digit."""
+    return F.concat(head, F.pmod(F.lit(10) - F.pmod(luhn(F.concat(head, F.lit("0"))), F.lit(10)), F.lit(10)).cast("string"))
 
 
 def found_in(text: Column) -> Column:
@@ -158,13 +172,15 @@ def rewritten(text: Column, key: str, tried: Column | None) -> Column:
     """text with its entities replaced. tried: map of kind and form to attempt, for those past the first."""
     gaps, ents = F.split(text, ANY, -1), F.regexp_extract_all(text, F.lit(ANY), F.lit(0))
 
-    def one(e: Column, i: Column) -> Column:
-        kind = kind_of(e)
-        form = canonical(e, kind)
-        attempt = F.lit(0) if tried is None else F.coalesce(F.try_element_at(tried, F.concat(kind, F.lit("\x1f"), form)), F.lit(0))
-        return F.concat(surrogate(e, kind, form, attempt, key), F.element_at(gaps, i + 2))
+    def attempt(kind: Column, form: Column) -> Column:
+        return F.lit(0) if tried is None else F.coalesce(F.try_element_at(tried, F.concat(kind, F.lit("\x1f"), form)), F.lit(0))
+
+    def one(e: Column) -> Column:
+        return let(kind_of(e), lambda kind: let(canonical(e, kind), lambda form: surrogate(e, kind, form, attempt(kind, form), key)))
 
-    return F.when(text.rlike(HINT), F.concat(F.element_at(gaps, 1), F.array_join(F.transform(ents, one), ""))).otherwise(text)
+    # Gap, surrogate, gap, surrogate, ..., gap.
+    mixed = F.flatten(F.zip_with(gaps, F.transform(ents, one), lambda g, e: F.array(g, F.coalesce(e, F.lit("")))))
+    return F.when(text.rlike(HINT), F.array_join(mixed, "")).otherwise(text)
 
 
 def replace(docs: DataFrame, key: str, text: str = "text", extra: bool = False) -> DataFrame:

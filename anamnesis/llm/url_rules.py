@@ -1,6 +1,6 @@
 """Operator 10: URL filtering by fixed rules and by mined association rules.
 
-Mining: each labelled URL is a transaction of tokens (host suffixes, path steps, scheme) and its label; Spark's
+Mining: each labelled URL is a transaction of tokens (host suffixes, path steps) and its label; Spark's
 FP-growth finds the token combinations that are frequent together with the label. A combination becomes a rule if its
 support and confidence are high enough and no part of it is as confident. Matching: rules are held as an inverted index
 token -> (rule, tokens needed); a URL's tokens are looked up and a rule fires if all its tokens were met.
@@ -33,12 +33,11 @@ def parts(url: Column) -> tuple[Column, Column]:
 
 
 def tokens(host: Column, path: Column) -> Column:
-    """Distinct tokens: each suffix of the host, each label of it, each step of the path without its number."""
+    """Distinct tokens: each suffix of the host, each step of the path without its number."""
     labels = F.split(host, r"\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.concat(F.lit("h:"), F.array_join(F.slice(labels, i, F.size(labels)), ".")))
-    own = F.transform(labels, lambda x: F.concat(F.lit("l:"), x))
     steps = F.transform(F.filter(F.split(path, r"[/.]"), lambda x: x != ""), lambda x: F.concat(F.lit("p:"), F.regexp_replace(x, r"[0-9]+", "0")))
-    return F.when(host == "", F.array().cast("array<string>")).otherwise(F.array_distinct(F.concat(suffixes, own, steps)))
+    return F.when(host == "", F.array().cast("array<string>")).otherwise(F.array_distinct(F.concat(suffixes, steps)))
 
 
 def fixed_rule(host: Column, path: Column, rules: list[tuple[str, str, str]]) -> tuple[Column, Column]:
@@ -50,19 +49,21 @@ def fixed_rule(host: Column, path: Column, rules: list[tuple[str, str, str]]) ->
     return rule, verdict
 
 
-def mine(urls: DataFrame, support: float = 0.002, confidence: float = 0.4, lift: float = 1.5) -> DataFrame:
+def mine(urls: DataFrame, support: float = 0.002, confidence: float = 0.4, lift: float = 1.5, least: int = 10) -> DataFrame:
     """(tokens, confidence, support, lift) of the rules that block. urls: (url, bad boolean), bad null for unlabelled rows.
 
-    Counts cover every labelled row."""
+    Counts cover every labelled row. A rule needs `least` rows besides its share of them: with fewer rows than that, every
+    set of tokens of a single URL would be frequent."""
     from pyspark.ml.fpm import FPGrowth
 
     host, path = parts(F.col("url"))
     rows = urls.where(F.col("bad").isNotNull()).select(tokens(host, path).alias("items"), "bad").where(F.size("items") > 0)
     rows = materialize(rows.select(F.when(F.col("bad"), F.concat("items", F.array(F.lit(LABEL)))).otherwise(F.col("items")).alias("items")), "baskets")
     schema = "tokens array<string>, confidence double, support double, lift double"
-    if not rows.head(1):
+    n = rows.count()
+    if n < least:
         return urls.sparkSession.createDataFrame([], schema)
-    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(rows)
+    model = FPGrowth(itemsCol="items", minSupport=max(support, least / n), minConfidence=confidence).fit(rows)
     found = model.associationRules.where(F.element_at("consequent", 1) == LABEL).where(F.col("lift") >= lift)
     found = materialize(found.select(F.array_sort("antecedent").alias("tokens"), "confidence", "support", "lift"), "rules")
     # Pruned: a rule that holds all tokens of a shorter one says nothing new unless it is more confident.
