@@ -1,9 +1,10 @@
 """Operator 4: a quality classifier by importance resampling.
 
-Two generative models over hashed n-grams (words and marks, and pairs of them) are fitted to labelled rows: the target
-model to the good ones, the raw model to all. A document's log weight is the sum of log target/raw over its n-grams,
-each shrunk towards zero by `shrink`, so that only n-grams with clear evidence count and long texts aren't carried off
-by noise. Gumbel noise is added to weight / temperature and the k documents with the largest sums stay (Gumbel top-k:
+Two generative models over hashed n-grams (words and marks, pairs of them, and any word five times in a row) are fitted
+to labelled rows: the target model to the good ones, the raw model to all; equal texts count once, and so does an n-gram
+within a text. A document's log weight is the sum of log target/raw over its distinct n-grams. Ratios of n-grams in fewer
+than `common` of the texts are 0, the others are shrunk towards 0 by `shrink`: only clear evidence counts, and neither
+length nor a group of near copies carries a text off. Gumbel noise is added to weight / temperature and the k documents with the largest sums stay (Gumbel top-k:
 sampling without replacement in proportion to the weights). k is the number of documents whose weight passes a cut
 that is fitted on the labelled rows; the temperature keeps the noise below clear decisions.
 
@@ -27,7 +28,8 @@ from pyspark.sql import functions as F
 
 from anamnesis.llm.common import Memory, materialize
 
-BUCKETS = 1 << 18
+#: Half for words, half for pairs, so that rare pairs do not blur the words.
+BUCKETS = 1 << 21
 TOKEN = re.compile(r"\w+|[^\w\s]+")
 REMEMBERED = 400_000
 
@@ -49,7 +51,9 @@ class Hasher:
         with np.errstate(over="ignore"):
             pairs = (h[:-1] * np.uint64(0x9E3779B97F4A7C15)) ^ (h[1:] * np.uint64(0xC2B2AE3D27D4EB4F))
             pairs ^= pairs >> np.uint64(33)
-        return np.concatenate([h % np.uint64(BUCKETS), pairs % np.uint64(BUCKETS)]).astype(np.int64)
+        half, same = np.uint64(BUCKETS // 2), h[1:] == h[:-1]
+        run = len(same) > 3 and bool((same[3:] & same[2:-1] & same[1:-2] & same[:-3]).any())
+        return np.unique(np.concatenate([np.zeros(int(run), np.uint64), np.uint64(1) + h % (half - np.uint64(1)), half + pairs % half])).astype(np.int64)
 
 
 def stretches(text: str, size: int = 1 << 18):
@@ -64,10 +68,16 @@ class Model:
     cut: float
 
     def weight(self, text: str | None) -> float:
-        return float(sum(self.ratio[Hasher.grams(part)].sum() for part in stretches(text or "")))
+        return float(self.ratio[grams(text or "")].sum())
 
 
-def fit(docs: DataFrame, labels: DataFrame, most: int = 20_000, prior: float = 5.0, shrink: float = 1.0, key: str = "doc_id", text: str = "text") -> Model | None:
+def grams(text: str) -> np.ndarray:
+    """Distinct buckets of a whole text, stretch by stretch."""
+    parts = [Hasher.grams(part) for part in stretches(text)]
+    return parts[0] if len(parts) == 1 else np.unique(np.concatenate(parts))
+
+
+def fit(docs: DataFrame, labels: DataFrame, most: int = 20_000, prior: float = 0.5, shrink: float = 2.0, common: float = 0.002, key: str = "doc_id", text: str = "text") -> Model | None:
     """labels: doc_id, quality, toxic. Good: quality 1 and not toxic."""
     spark = docs.sparkSession
     given = labels.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(((F.min("quality") == 1) & (F.max("toxic") == 0)).alias("good")).where(F.col("good").isNotNull())
@@ -77,27 +87,28 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = 20_000, prior: float = 5
         return None
     share = min(1.0, 0.95 * most / n)
     chosen = given.where(F.pmod(F.xxhash64("doc_id", F.lit("fit")), F.lit(1 << 30)) / float(1 << 30) < share)
-    rows = docs.select(F.col(key).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("x")).join(F.broadcast(chosen), "doc_id").select("good", "x")  # at most about `most` rows of nine bytes
+    rows = docs.select(F.col(key).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("x")).join(F.broadcast(chosen), "doc_id").select("good", "x").dropDuplicates(["x"])  # broadcast: about `most` rows of nine bytes
     rows = materialize(rows, "sample")
 
     def count(batches):
         t, r = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
         for batch in batches:
             for good, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                for part in stretches(x.as_py()):
-                    c = np.bincount(Hasher.grams(part), minlength=BUCKETS)
-                    r += c
-                    if good:
-                        t += c
+                own = grams(x.as_py())
+                r[own] += 1
+                if good:
+                    t[own] += 1
         at = np.flatnonzero(r)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(t[at]), pa.array(r[at])], names=["bucket", "t", "r"])
 
-    per = rows.mapInArrow(count, "bucket long, t long, r long").groupBy("bucket").agg(F.sum("t").alias("t"), F.sum("r").alias("r")).toPandas()  # BUCKETS rows at most
+    n, n_good = rows.agg(F.count("*"), F.sum(F.col("good").cast("int"))).first()
+    if not n_good or n_good == n:
+        return None
+    counts = rows.mapInArrow(count, "bucket long, t long, r long").groupBy("bucket").agg(F.sum("t").alias("t"), F.sum("r").alias("r"))
+    per = counts.where(F.col("r") >= max(3, common * n)).toPandas()  # what is common: some thousands of rows, BUCKETS at most
     t, r = np.zeros(BUCKETS), np.zeros(BUCKETS)
     t[per.bucket], r[per.bucket] = per.t, per.r
-    if not t.sum() or t.sum() == r.sum():
-        return None
-    ratio = np.log((t * (r.sum() / t.sum()) + prior) / (r + prior))
+    ratio = np.log((t * (n / n_good) + prior) / (r + prior))
     model = Model((np.sign(ratio) * np.maximum(np.abs(ratio) - shrink, 0)).astype(np.float32), 0.0)
     scored = rows.select("good", weights(spark, model)(F.col("x")).alias("w")).toPandas()  # `most` rows
     model.cut = best_cut(scored.w.to_numpy(), scored.good.to_numpy(bool))
