@@ -9,8 +9,8 @@ fingerprints within two bits share a fingerprint within one bit of each, no midp
 and all neighbours of a midpoint are within two bits of each other. So no bucket is capped or skipped.
 
 `near_duplicates` finds texts whose sets of five-word shingles have a similarity of 0.8 or more, which 64 bits cannot
-tell: one wide fingerprint (of the words) gives the blocks, another (of the shingles) is verified. Buckets of more
-than HOT texts are split by further blocks.
+tell: one wide fingerprint (of the words) gives the blocks, another (of the shingles) is verified by Hamming distance,
+and where that leaves it open the shingles are compared. Buckets of more than HOT texts are split by further blocks.
 
 Defined results: a null text is an empty one; texts without words have fingerprint zero and are linked like any
 other; null ids keep their rows and take the component of their fingerprint (null if it has no id at all); repeated
@@ -106,18 +106,20 @@ def linked(docs: DataFrame, words: int = 3, key: str = "doc_id", text: str = "te
 
 # Wide fingerprints -----------------------------------------------------------------------------------------------
 
-LONGS, BLOCK_BITS, BLOCKS = 8, 24, 21
-#: Hamming distance of 512 bits up to which two shingle sets count as similar: at a similarity of 0.8 the cosine is 0.889 and 77 bits are expected to differ.
-NEAR = 80
-#: The same over the first 128 bits, at which nearly no pair that passes in full fails.
-FIRST = 34
+#: Longs of the word fingerprint, from which blocks are cut, and of the shingle fingerprint, which is compared.
+WORD_LONGS, LONGS = 16, 8
+#: Bits in which the words of two texts differ on average when five-word shingles have a similarity of 0.8, as a share.
+WORD_SHARE = 0.067
+#: Hamming distances of the shingle fingerprints (of 512 bits; 77 expected at a similarity of 0.8): up to SURE a pair is
+#: linked, above FAR it is not, and between them the shingles themselves are compared. FIRST: the same as FAR over 128 bits.
+SURE, FAR, FIRST = 56, 102, 36
 
 
-def spread(h: np.ndarray) -> np.ndarray:
-    """(n, LONGS) words of bits from 64-bit hashes."""
+def spread(h: np.ndarray, longs: int) -> np.ndarray:
+    """(n, longs) words of bits from 64-bit hashes."""
     from anamnesis.llm.token_shards import mixed
 
-    return np.stack([mixed(h, 7001 + i) for i in range(LONGS)], axis=1)
+    return np.stack([mixed(h, 7001 + i) for i in range(longs)], axis=1)
 
 
 def wide(text: str | None, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -126,12 +128,12 @@ def wide(text: str | None, words: int) -> tuple[np.ndarray, np.ndarray]:
 
     w = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not w:
-        return np.zeros(LONGS, np.uint64), np.zeros(LONGS, np.uint64)
+        return np.zeros(WORD_LONGS, np.uint64), np.zeros(LONGS, np.uint64)
     single = set(w)
     longer = [x for x in single if len(x) >= 4]
     digest = xxhash.xxh64_intdigest
     a = np.fromiter((digest(x, 1) for x in (longer if 2 * len(longer) >= len(single) else single)), np.uint64)
-    return majority(spread(a)), majority(spread(np.unique(hashes(text, words))))
+    return majority(spread(a, WORD_LONGS)), majority(spread(np.unique(hashes(text, words)), LONGS))
 
 
 def wide_fingerprints(docs: DataFrame, words: int) -> DataFrame:
@@ -146,6 +148,20 @@ def wide_fingerprints(docs: DataFrame, words: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, cls string, a array<long>, b array<long>")
 
 
+def shingle_sets(texts: DataFrame, words: int) -> DataFrame:
+    """(node, set): the distinct shingle hashes of each text."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for i, x in enumerate(batch.column(1)):
+                own = np.unique(hashes(x.as_py(), words)).view(np.int64)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), pa.array([own.tolist()], pa.list_(pa.int64()))], names=["node", "set"])
+
+    return texts.select("node", "x").mapInArrow(run, "node long, set array<long>")
+
+
 def distance(x: list, y: list):
     out = F.bit_count(x[0].bitwiseXOR(y[0]))
     for i, j in zip(x[1:], y[1:], strict=True):
@@ -153,24 +169,33 @@ def distance(x: list, y: list):
     return out
 
 
-def blocks_of(a: list):
-    """BLOCKS blocks of BLOCK_BITS bits of the word fingerprint, as longs with the block's number."""
+def shape(n: int, miss: float = 0.003) -> tuple[int, int]:
+    """(bits of a block, blocks) for n texts: unrelated texts share a block with few others, and a pair at the least
+    similarity shares none with a chance of `miss`."""
+    bits = min(40, max(16, int(np.ceil(np.log2(max(n, 2)))) + 2))
+    wanted = int(np.ceil(np.log(miss) / np.log1p(-((1 - WORD_SHARE) ** bits))))
+    return bits, min(wanted, WORD_LONGS * 64 // bits)
+
+
+def blocks_of(a: list, bits: int, blocks: int):
+    """The blocks of the word fingerprint, as longs with the block's number in the upper bits."""
     out = []
-    for n in range(BLOCKS):
-        at, off = divmod(n * BLOCK_BITS, 64)
+    for n in range(blocks):
+        at, off = divmod(n * bits, 64)
         x = F.shiftrightunsigned(a[at], off)
-        if off + BLOCK_BITS > 64:
+        if off + bits > 64:
             x = x.bitwiseOR(F.shiftleft(a[at + 1], 64 - off))
-        out.append(F.lit(n << 32).bitwiseOR(x.bitwiseAND(F.lit((1 << BLOCK_BITS) - 1))))
+        out.append(F.lit(n << 48).bitwiseOR(x.bitwiseAND(F.lit((1 << bits) - 1))))
     return out
 
 
 def candidates(reps: DataFrame, hot: int = HOT, deepest: int = 6) -> DataFrame:
     """(a, b): pairs of node numbers that share a block and are close over the first 128 bits. reps: node, a0.., b0...
 
-    A bucket of more than `hot` members is split by every later block; what is crowded at the deepest level (equal in
+    The size and number of blocks follow the number of texts. A bucket of more than `hot` members is split by every later block; what is crowded at the deepest level (equal in
     `deepest` blocks) is ordered by fingerprint and each member meets the next `hot` ones and the first."""
-    keys = blocks_of([F.col(f"a{i}") for i in range(LONGS)])
+    bits, n_blocks = shape(reps.count())
+    keys = blocks_of([F.col(f"a{i}") for i in range(WORD_LONGS)], bits, n_blocks)
     rows = reps.select("node", "b0", "b1", F.array(*keys).alias("blocks"))
     rows = rows.select("node", "b0", "b1", "blocks", F.posexplode("blocks").alias("last", "key"))
     near = (F.bit_count(F.col("x.b0").bitwiseXOR(F.col("y.b0"))) + F.bit_count(F.col("x.b1").bitwiseXOR(F.col("y.b1")))) <= FIRST
@@ -191,38 +216,57 @@ def candidates(reps: DataFrame, hot: int = HOT, deepest: int = 6) -> DataFrame:
             steps = hot_rows.alias("x").join(ahead.alias("y"), ["key", "at"]).where(near).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
             found = found.unionAll(steps)
             break
-        deeper = hot_rows.where(F.col("last") < BLOCKS - 1).select("node", "b0", "b1", "blocks", F.col("key").alias("from"), F.explode(F.sequence(F.col("last") + 1, F.lit(BLOCKS - 1))).alias("last"))
+        deeper = hot_rows.where(F.col("last") < n_blocks - 1).select("node", "b0", "b1", "blocks", F.col("key").alias("from"), F.explode(F.sequence(F.col("last") + 1, F.lit(n_blocks - 1))).alias("last"))
         rows = materialize(deeper.select("node", "b0", "b1", "blocks", "last", F.xxhash64("from", F.element_at("blocks", F.col("last") + 1)).alias("key")), "deeper")
     return found.distinct()
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, near: int = NEAR, key: str = "doc_id", text: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 5, least: float = 0.8, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, cls, component_id, stays): one row per distinct (doc_id, text); component_id is the smallest doc_id of the group.
 
-    Equal texts are one node. stays marks one (doc_id, text) of each group."""
-    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.sha2(F.coalesce(F.col(text), F.lit("")), 256).alias("cls"), F.col(text).alias("x"))
-    rows = materialize(wide_fingerprints(rows, words), "wide")
-    longs = [f"{c}{i}" for c in "ab" for i in range(LONGS)]
-    flat = rows.select("doc_id", "cls", *(F.col(x[0])[int(x[1])].alias(x) for x in longs))
-    reps = flat.groupBy("cls").agg(F.min("doc_id").alias("first"), *(F.first(x).alias(x) for x in longs))
-    reps = materialize(reps.select(F.conv(F.substring("cls", 1, 15), 16, 10).cast("long").alias("node"), "*"), "classes")
+    Equal texts are one node. Pairs whose distance leaves the similarity open, and that other links don't join already,
+    are decided by their shingles. stays marks one (doc_id, text) of each group."""
+    named = docs.select(F.col(key).cast("long").alias("doc_id"), F.sha2(F.coalesce(F.col(text), F.lit("")), 256).alias("cls"), F.col(text).alias("x"))
+    rows = materialize(wide_fingerprints(named, words), "wide")
+    longs = [("a", i) for i in range(WORD_LONGS)] + [("b", i) for i in range(LONGS)]
+    flat = rows.select("doc_id", "cls", *(F.col(c)[i].alias(f"{c}{i}") for c, i in longs))
+    number = F.conv(F.substring("cls", 1, 15), 16, 10).cast("long").alias("node")
+    reps = flat.groupBy("cls").agg(F.min("doc_id").alias("first"), *(F.first(f"{c}{i}").alias(f"{c}{i}") for c, i in longs))
+    reps = materialize(reps.select(number, "*"), "classes")
     pairs = candidates(reps)
     right = reps.select("node", *(f"b{i}" for i in range(LONGS)))
     for side in "ab":
         pairs = pairs.join(right.select(F.col("node").alias(side), *(F.col(f"b{i}").alias(f"{side}{i}") for i in range(LONGS))), side)
     far = distance([F.col(f"a{i}") for i in range(LONGS)], [F.col(f"b{i}") for i in range(LONGS)])
-    roots = components(pairs.where(far <= near).select("a", "b"))
-    own = reps.select("cls", "node", "first").join(roots, "node", "left").select("cls", F.coalesce("root", "node").alias("root"), "first")
-    own = materialize(own, "roots")
+    pairs = materialize(pairs.select("a", "b", far.alias("far")).where(F.col("far") <= FAR), "pairs")
+    roots = components(pairs.where(F.col("far") <= SURE).select("a", "b"))
+    roots = materialize(roots, "sure")
+    side = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
+    unsure = pairs.where(F.col("far") > SURE).join(side("a"), "a", "left").join(side("b"), "b", "left").withColumns({"a_root": F.coalesce("a_root", "a"), "b_root": F.coalesce("b_root", "b")})
+    unsure = materialize(unsure.where("a_root <> b_root").select("a", "b", "a_root", "b_root"), "unsure")
+    if unsure.head(1):
+        asked = unsure.select(F.col("a").alias("node")).unionAll(unsure.select(F.col("b").alias("node"))).distinct()
+        wanted = reps.join(asked, "node").select("node", "cls", F.col("first").alias("doc_id"))
+        match = named.alias("d").join(wanted.alias("w"), (F.col("d.cls") == F.col("w.cls")) & F.col("d.doc_id").eqNullSafe(F.col("w.doc_id")))
+        sets = materialize(shingle_sets(match.select("w.node", "d.x"), words), "sets").dropDuplicates(["node"])
+        for c in "ab":
+            unsure = unsure.join(sets.select(F.col("node").alias(c), F.col("set").alias(f"{c}_set")), c)
+        both = F.size(F.array_intersect("a_set", "b_set"))
+        near = both / (F.size("a_set") + F.size("b_set") - both) >= least
+        merged = components(unsure.where(near).select(F.col("a_root").alias("a"), F.col("b_root").alias("b")))
+        own = reps.select("cls", "node", "first").join(roots, "node", "left").select("cls", F.coalesce("root", "node").alias("node"), "first").join(merged, "node", "left")
+    else:
+        own = reps.select("cls", "node", "first").join(roots, "node", "left")
+    own = materialize(own.select("cls", F.coalesce("root", "node").alias("root"), "first"), "roots")
     group = own.groupBy("root").agg(F.min(F.struct(F.col("first").isNull(), "first", "cls")).alias("kept"))
     per = own.join(group, "root").select("cls", F.col("kept.first").alias("component_id"), F.col("kept.cls").alias("kept"))
     ids = rows.select("doc_id", "cls").distinct()
     return ids.join(per, "cls").select("doc_id", "cls", "component_id", (F.col("cls").eqNullSafe(F.col("kept")) & F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("stays"))
 
 
-def drop_near_duplicates(docs: DataFrame, words: int = 5, near: int = NEAR, key: str = "doc_id", text: str = "text") -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, words: int = 5, least: float = 0.8, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row of each group of near-duplicates, with the columns of docs."""
-    stay = near_duplicates(docs, words, near, key, text).where("stays").select(F.col("doc_id").alias("__id"), F.col("cls").alias("__cls"))
+    stay = near_duplicates(docs, words, least, key, text).where("stays").select(F.col("doc_id").alias("__id"), F.col("cls").alias("__cls"))
     named = docs.withColumns({"__row": F.sha2(F.coalesce(F.col(text), F.lit("")), 256)})
     met = named.join(stay, F.col("__row").eqNullSafe(F.col("__cls")) & F.col(key).cast("long").eqNullSafe(F.col("__id")), "left_semi")
     first = F.row_number().over(W.partitionBy("__row").orderBy("__row"))
