@@ -21,7 +21,7 @@ from pyspark.sql import Window as W
 
 from anamnesis.llm.common import materialize
 
-SHARD, WIDTH, ROUNDS, BEAM, QUERIES = 8192, 20, 4, 256, 2048
+SHARD, WIDTH, ROUNDS, BEAM, QUERIES = 4096, 20, 4, 256, 2048
 
 
 def near_order(X: np.ndarray, rng: np.random.Generator, times: int, reach: int) -> np.ndarray:

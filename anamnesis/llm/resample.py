@@ -13,7 +13,7 @@ document. The k-th largest key is found by counting in ever finer bins, never by
 
 Defined results: a null text is an empty one, its weight is 0; rows are judged one by one, with noise that depends on id
 and text, so repeated rows stay or go together, except that ties at the k-th key all stay; without labelled rows
-everything stays; an empty table gives no row; further columns are kept.
+everything stays; an empty table gives no row; further columns are kept, but for names that start with two underscores.
 """
 
 from __future__ import annotations
@@ -160,21 +160,19 @@ def kth_largest(keys: DataFrame, k: int, column: str = "g", bins: int = 4096, sm
 
 
 def scored(docs: DataFrame, model: Model, seed: int = 17, temperature: float = 0.02, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with log_weight and gumbel_key."""
+    """docs with __weight and __gumbel."""
     u = (F.shiftrightunsigned(F.xxhash64(F.col(key), F.col(text), F.lit(seed)), 11) + F.lit(0.5)) / float(1 << 53)
-    rows = docs.withColumn("log_weight", weights(docs.sparkSession, model)(F.col(text)))
-    return rows.withColumn("gumbel_key", F.col("log_weight") / F.lit(temperature) - F.log(-F.log(u)))
+    rows = docs.withColumn("__weight", weights(docs.sparkSession, model)(F.col(text)))
+    return rows.withColumn("__gumbel", F.col("__weight") / F.lit(temperature) - F.log(-F.log(u)))
 
 
 def resample(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", with_text: bool = True, **fitting) -> DataFrame:
-    """The documents that stay, with log_weight and gumbel_key; without `with_text`, of docs only the id."""
+    """The documents that stay: all columns of docs, or without `with_text` the id, log_weight and gumbel_key."""
     model = fit(docs, labels, key=key, text=text, **fitting)
     if model is None:
-        out = docs.withColumns({"log_weight": F.lit(0.0), "gumbel_key": F.lit(0.0)})
-        return out if with_text else out.select(key, "log_weight", "gumbel_key")
+        return docs if with_text else docs.select(key, F.lit(0.0).alias("log_weight"), F.lit(0.0).alias("gumbel_key"))
     rows = scored(docs, model, key=key, text=text)
-    rows = materialize(rows if with_text else rows.select(key, "log_weight", "gumbel_key"), "weights")
-    k = rows.where(F.col("log_weight") > model.cut).count()
-    if not k:
-        return rows.limit(0)
-    return rows.where(F.col("gumbel_key") >= kth_largest(rows.select(F.col("gumbel_key").alias("g")), k))
+    rows = materialize(rows if with_text else rows.select(key, "__weight", "__gumbel"), "weights")
+    k = rows.where(F.col("__weight") > model.cut).count()
+    kept = rows.where(F.col("__gumbel") >= kth_largest(rows.select(F.col("__gumbel").alias("g")), k)) if k else rows.limit(0)
+    return kept.select(*docs.columns) if with_text else kept.select(key, F.col("__weight").alias("log_weight"), F.col("__gumbel").alias("gumbel_key"))
