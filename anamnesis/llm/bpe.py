@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from anamnesis.llm.common import Memory
 
 #: Chunks and pieces that a worker remembers at most per generation, and bytes above which a piece is streamed.
-REMEMBERED, LONG = 400_000, 256
+REMEMBERED, LONG = 300_000, 256
 BLOCK = 1 << 18
 #: Fixed: the split before the merges, white space by its Unicode property.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
@@ -195,7 +195,7 @@ class Codec:
         self.names = {i: str(i) for i in self.bytes}
         self.pattern = regex.compile(PATTERN)
         self.parts = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.chunks, self.pieces = Memory(REMEMBERED), Memory(REMEMBERED)
+        self.chunks, self.pieces = Memory(REMEMBERED, "bpe"), Memory(REMEMBERED, "bpe")
 
     @classmethod
     def of(cls, path: str) -> Codec:
@@ -264,6 +264,7 @@ def encode_decode(docs: DataFrame, tokenizer: str, with_ids: bool = True, key: s
     def run(batches):
         import pyarrow as pa
 
+        Memory.only("bpe")
         codec = Codec.of(tokenizer)
         names = codec.names.__getitem__
         kinds = [("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string()), *([("ids", pa.list_(pa.int32()))] if with_ids else [])]

@@ -66,8 +66,18 @@ def blocks(text: str, size: int = 1 << 20, cut: str = " ") -> Iterator[str]:
 class Memory:
     """A cache of two generations: at `most` entries the young ones become the old, and what is asked for again moves back. Values aren't None."""
 
-    def __init__(self, most: int):
-        self.most, self.young, self.old = most, {}, {}
+    held: list[Memory] = []
+
+    def __init__(self, most: int, owner: str):
+        self.most, self.owner, self.young, self.old = most, owner, {}, {}
+        self.held.append(self)
+
+    @classmethod
+    def only(cls, owner: str) -> None:
+        """Empties the caches of other operators: a Python worker lives on between stages."""
+        for memory in cls.held:
+            if memory.owner != owner:
+                memory.young, memory.old = {}, {}
 
     def missing(self, keys: set) -> list:
         """The keys that must be worked out; all others are in `young` afterwards."""

@@ -21,6 +21,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Windows up to which the table is broadcast; a window takes about 200 bytes.
 MOST = 1_000_000
+#: Words of the segments that texts are cut into, and of the shorter ones that those are cut into.
+SEGMENT, SHORT = 1 << 14, 64
 
 
 def lowered(text: Column) -> Column:
@@ -52,18 +54,26 @@ def hits(docs: DataFrame, items: DataFrame, size: int, text: str, keep: list[str
     table = windows.unionByName(none).select("n", F.coalesce("hash", F.lit(0)).alias("hash"), "words", "items")
     if windows.count() <= most:
         table = F.broadcast(table)
-    docs = docs.select(*keep, words_of(F.col(text)).alias("w"))
-    spots = [F.array(F.struct(F.lit(0).alias("at"), F.lit(0).alias("n")))]
+    # A row per window would copy the words of its whole text each time; so texts are cut into long and those into short
+    # segments first, each with as many words more as its last window needs. Slices stand outside of lambdas, where they
+    # are compiled and touch their own words only. Explodes are outer: else Spark infers filters that work the arrays out twice.
+    more = max(sizes, default=1) - 1
+    cut = docs.select(*keep, words_of(F.col(text)).alias("w")).withColumn("n_words", F.size("w"))
+    cut = cut.select(*keep, "n_words", "w", F.explode_outer(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.col("n_words") - 1) / SEGMENT).cast("int")))).alias("s"))
+    cut = cut.select(*keep, "n_words", (F.col("s") * SEGMENT).alias("off"), F.slice("w", F.col("s") * SEGMENT + 1, F.lit(SEGMENT + more)).alias("w"))
+    cut = cut.select(*keep, "n_words", "off", "w", F.explode_outer(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.least(F.size("w"), F.lit(SEGMENT)) - 1) / SHORT).cast("int")))).alias("s"))
+    cut = cut.select(*keep, "n_words", (F.col("off") + F.col("s") * SHORT).alias("off"), F.slice("w", F.col("s") * SHORT + 1, F.lit(SHORT + more)).alias("w"))
+    first = F.when(F.col("off") == 0, F.array(F.struct(F.lit(0).alias("at"), F.lit(0).alias("n")))).otherwise(F.array().cast("array<struct<at:int,n:int>>"))
+    spots = [first]
     for n in sizes:
-        starts = F.when(F.size("w") >= n, F.sequence(F.lit(1), F.size("w") - n + 1)).otherwise(F.array().cast("array<int>"))
+        starts = F.when(F.size("w") >= n, F.sequence(F.lit(1), F.least(F.lit(SHORT), F.size("w") - n + 1))).otherwise(F.array().cast("array<int>"))
         spots.append(places(starts, n))
-    # Outer: else Spark infers a filter that works the array out a second time. The hash is taken after the explode, in compiled code; within a lambda, slice copies the whole array each time.
-    rows = docs.withColumn("spots", F.concat(*spots)).select(*keep, "w", F.explode_outer("spots").alias("spot"))
-    rows = rows.select(*keep, "w", F.col("spot.at").alias("at"), F.col("spot.n").alias("n"))
+    rows = cut.withColumn("spots", F.concat(*spots)).select(*keep, "n_words", "off", "w", F.explode_outer("spots").alias("spot"))
+    rows = rows.select(*keep, "n_words", "off", "w", F.col("spot.at").alias("at"), F.col("spot.n").alias("n")).where("n IS NOT NULL")
     rows = rows.withColumn("hash", F.when(F.col("n") > 0, F.xxhash64(F.slice("w", F.col("at"), F.col("n")))).otherwise(F.lit(0).cast("long")))
     met = rows.join(table, ["n", "hash"])
     same = (F.col("n") == 0) | (F.slice("w", F.greatest("at", F.lit(1)), F.col("n")) == F.col("words"))
-    return met.where(same).select(*keep, F.size("w").alias("n_words"), "at", "n", "items")
+    return met.where(same).select(*keep, "n_words", (F.col("off") + F.col("at")).alias("at"), "n", "items")
 
 
 def contamination(docs: DataFrame, items: DataFrame, size: int = 10, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -71,7 +81,7 @@ def contamination(docs: DataFrame, items: DataFrame, size: int = 10, key: str =
     rows = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("__text"), F.monotonically_increasing_id().alias("__row"))
     found = hits(rows, items, size, "__text", ["__row", "doc_id"])
     per = found.groupBy("__row", "doc_id", "n_words").agg(F.collect_set(F.when(F.col("n") > 0, F.struct("at", "n"))).alias("spots"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("ids"))
-    hit = F.array_sort(F.array_distinct(F.flatten(F.transform("spots", lambda s: F.sequence(s["at"], s["at"] + s["n"] - 1)))))
+    hit = F.array_sort(F.array_distinct(F.flatten(F.transform("spots", lambda s: F.sequence(s["at"], s["at"] + s["n"] - 1)))))  # bounded by the document
     out = per.withColumn("hit_words", hit)
     return out.select("doc_id", F.col("n_words").cast("long"), F.size("hit_words").cast("long").alias("n_hit"), F.size("ids").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "ids"), 256).alias("items_sha256"), (F.size("hit_words") > 0).alias("contaminated"), "hit_words")
 
@@ -87,9 +97,15 @@ def remove(docs: DataFrame, items: DataFrame, size: int = 10, how: str = "docume
     found = hits(rows, items, size, "__text", ["__digest"]).where("n > 0")
     if how == "document":
         return named.join(found.select("__digest").distinct(), "__digest", "left_anti").select(*docs.columns)
-    spots = found.select("__digest", F.explode(F.sequence(F.col("at"), F.col("at") + F.col("n") - 1)).alias("at")).groupBy("__digest").agg(F.collect_set("at").alias("__hit"))
-    met = named.join(spots, "__digest", "left")
-    # The text as words and what stands between them: gap 0, word 1, gap 1, ...
-    words, gaps = F.regexp_extract_all(F.col(text), F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"), F.lit(0)), F.split(F.col(text), r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", -1)
-    clean = F.concat(F.element_at(gaps, 1), F.array_join(F.transform(words, lambda w, i: F.concat(F.when(F.array_contains("__hit", i + 1), F.lit("")).otherwise(w), F.element_at(gaps, i + 2))), ""))
-    return met.withColumn(text, F.when(F.col("__hit").isNull(), F.col(text)).otherwise(clean)).select(*docs.columns)
+    # Dirty texts as rows of a word and the gap after it, so that each word meets its hit by a join; a text's rows make it again.
+    hit = found.select("__digest", F.explode(F.sequence(F.col("at"), F.col("at") + F.col("n") - 1)).alias("at")).distinct().withColumn("__hit", F.lit(True))
+    dirty = rows.dropDuplicates(["__digest"]).join(found.select("__digest").distinct(), "__digest", "left_semi")
+    any_case = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+    words, gaps = F.regexp_extract_all(F.col("__text"), F.lit(any_case), F.lit(0)), F.split(F.col("__text"), any_case, -1)
+    parts = dirty.select("__digest", F.element_at(gaps, 1).alias("head"), words.alias("w"), gaps.alias("g"))
+    parts = parts.select("__digest", "head", F.posexplode(F.arrays_zip("w", F.slice("g", F.lit(2), F.size("w")).alias("after"))).alias("at", "x"))
+    kept = parts.withColumn("at", F.col("at") + 1).join(hit, ["__digest", "at"], "left")
+    piece = F.concat(F.when(F.col("__hit"), F.lit("")).otherwise(F.col("x.w")), F.col("x.after"))
+    clean = kept.groupBy("__digest", "head").agg(F.array_sort(F.collect_list(F.struct("at", piece.alias("p")))).alias("all"))
+    clean = clean.select("__digest", F.concat("head", F.array_join(F.transform("all", lambda p: p["p"]), "")).alias("__clean"))
+    return named.join(clean, "__digest", "left").withColumn(text, F.coalesce("__clean", F.col(text))).select(*docs.columns)

@@ -31,13 +31,13 @@ from anamnesis.llm.common import Memory, materialize
 #: Half for words, half for pairs, so that rare pairs do not blur the words.
 BUCKETS = 1 << 21
 TOKEN = re.compile(r"\w+|[^\w\s]+")
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 
 
 class Hasher:
     """Bucket numbers of the n-grams of a text; remembers words."""
 
-    known = Memory(REMEMBERED)
+    known = Memory(REMEMBERED, "resample")
 
     @classmethod
     def grams(cls, text: str) -> np.ndarray:
@@ -91,7 +91,8 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = 20_000, prior: float = 0
     rows = materialize(rows, "sample")
 
     def count(batches):
-        t, r = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
+        Memory.only("resample")
+        t, r = np.zeros(BUCKETS, np.int32), np.zeros(BUCKETS, np.int32)
         for batch in batches:
             for good, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 own = grams(x.as_py())
@@ -99,7 +100,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = 20_000, prior: float = 0
                 if good:
                     t[own] += 1
         at = np.flatnonzero(r)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(t[at]), pa.array(r[at])], names=["bucket", "t", "r"])
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(t[at].astype(np.int64)), pa.array(r[at].astype(np.int64))], names=["bucket", "t", "r"])
 
     n, n_good = rows.agg(F.count("*"), F.sum(F.col("good").cast("int"))).first()
     if not n_good or n_good == n:
@@ -132,6 +133,7 @@ def weights(spark, model: Model):
 
     @F.arrow_udf("double")
     def weight(x: pa.Array) -> pa.Array:
+        Memory.only("resample")
         own = held.value
         return pa.array([own.weight(t.as_py()) for t in x], pa.float64())
 

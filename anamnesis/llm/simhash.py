@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from anamnesis.llm.common import materialize
+from anamnesis.llm.common import Memory, materialize
 from anamnesis.llm.components import components
 
 #: Members of a bucket that are still paired with each other.
@@ -46,9 +46,9 @@ def hashes(text: str | None, words: int) -> np.ndarray:
 
 def majority(h: np.ndarray) -> np.ndarray:
     """The bits that are set in over half of the rows of h (uint64, one or more columns), as uint64 per column."""
-    wide = h.reshape(len(h), -1)
     if not len(h):
-        return np.zeros(wide.shape[1] if wide.size else 1, np.uint64)
+        return np.zeros(h.shape[1] if h.ndim > 1 else 1, np.uint64)
+    wide = h.reshape(len(h), -1)
     counts = np.zeros(wide.shape[1] * 64, np.int64)
     for at in range(0, len(wide), 255):  # a sum of 255 bits fits a byte
         bits = np.unpackbits(np.ascontiguousarray(wide[at : at + 255]).view(np.uint8), bitorder="little").reshape(-1, len(counts))
@@ -140,6 +140,7 @@ def wide_fingerprints(docs: DataFrame, words: int) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
+        Memory.only("simhash")
         for batch in batches:
             both = [wide(x.as_py(), words) for x in batch.column(2)]
             cols = [pa.array([x[i].view(np.int64).tolist() for x in both], pa.list_(pa.int64())) for i in (0, 1)]

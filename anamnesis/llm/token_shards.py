@@ -201,7 +201,7 @@ class WordEncoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
-        self.cache, self.pieces = Memory(REMEMBERED), Memory(REMEMBERED)
+        self.cache, self.pieces = Memory(REMEMBERED, "shards"), Memory(REMEMBERED, "shards")
 
     @classmethod
     def of(cls, path: str) -> WordEncoder:
@@ -257,6 +257,7 @@ def write_shards(docs: DataFrame, at: str, tokenizer: str, end_id: int = 1, key:
         import pyarrow as pa
         from pyspark import TaskContext
 
+        Memory.only("shards")
         task = TaskContext.get()
         encoder = WordEncoder.of(tokenizer)
         end = encoder.raw([end_id])
