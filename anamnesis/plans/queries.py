@@ -585,3 +585,70 @@ def stream_totals(spark, sf_dir):
     run = stream.writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
     run.awaitTermination()
     return spark.table(name).select("user_id", "event_type", "n", F.round("total", 4).alias("total"))
+
+
+# Candidates and status -----------------------------------------------------------------------------------------------
+
+
+@query("SELECT * FROM (VALUES ('Where did I live before?', 'live in', 'historical'), ('What do I like now?', 'like', 'current'), ('Who owns the car?', 'has', 'current'), ('Tell me', '', 'current')) AS v(question, keys, scope)")
+def query_relations(spark, sf_dir):
+    from anamnesis.operators.candidates import query_relation_keys
+
+    rows = spark.createDataFrame([("Where did I live before?",), ("What do I like now?",), ("Who owns the car?",), ("Tell me",)], "question string")
+    return rows.select("question", F.array_join(query_relation_keys(F.col("question"), F.array().cast("array<string>")), ",").alias("keys"), temporal.query_scope(F.col("question")).alias("scope"))
+
+
+@query(
+    f"""WITH {EDGES_SQL},
+j AS (SELECT i.edge_id, min(j.seq) AS by_seq FROM f i JOIN f j ON j.head = i.head AND j.key = i.key AND j.seq > i.seq AND j.tail <> i.tail
+AND (j.quote LIKE '%changed%' OR (j.key IN ('like', 'live in', 'work at') AND j.scope_time = 'current') OR (i.scope_time = 'historical' AND j.scope_time = 'current')) GROUP BY 1)
+SELECT 'e' || by_seq AS edge_id, string_agg(edge_id, ',' ORDER BY edge_id) AS supersedes FROM j GROUP BY 1"""
+)
+def supersedes_lists(spark, sf_dir):
+    return graph.supersedes_lists(graph.superseded(event_facts(spark, sf_dir))).select("edge_id", F.array_join("supersedes", ",").alias("supersedes"))
+
+
+@query(
+    f"""WITH {EDGES_SQL},
+j AS (SELECT i.edge_id, min(j.seq) AS by_seq FROM f i JOIN f j ON j.head = i.head AND j.key = i.key AND j.seq > i.seq AND j.tail <> i.tail
+AND (j.quote LIKE '%changed%' OR (j.key IN ('like', 'live in', 'work at') AND j.scope_time = 'current') OR (i.scope_time = 'historical' AND j.scope_time = 'current')) GROUP BY 1)
+SELECT f.seq AS doc, CASE WHEN j.by_seq IS NULL THEN 'active' ELSE 'superseded' END AS status, CASE WHEN j.by_seq IS NOT NULL THEN f.key END AS gone FROM f LEFT JOIN j USING (edge_id)"""
+)
+def memory_status(spark, sf_dir):
+    """One memory per edge, made when the edge came, with the edge's own turn and key."""
+    closed = graph.superseded(event_facts(spark, sf_dir))
+    closed = closed.select("seq", "edge_id", "key", "status", F.expr("substring(superseded_by, 2)").cast("long").alias("closed_seq"), F.array("seq").alias("source_turn_ids"))
+    memories = closed.select(F.col("seq").alias("doc"), "seq", "edge_id", "source_turn_ids", F.array("key").alias("relation_keys"))
+    return graph.memory_status(memories, closed.drop("seq")).select("doc", "status", F.array_join("superseded_relation_keys", ",").alias("gone"))
+
+
+@query("SELECT * FROM (VALUES (1, 'Oak Street'), (2, 'Elm Street')) AS v(question, tail)")
+def temporal_fact_candidates(spark, sf_dir):
+    from anamnesis.operators.candidates import temporal_facts
+
+    said = [(q, i, "I", r, t) for q in (1, 2) for i, (r, t) in enumerate([("old address was", "Oak Street"), ("new address is", "Elm Street"), ("like", "tea")])]
+    asked = spark.createDataFrame([(1, "What was my old address?", "historical"), (2, "What is my address now?", "current")], "question int, text string, scope string")
+    return temporal_facts(spark.createDataFrame(said, "question int, seq int, head string, relation string, tail string"), asked).select("question", "tail")
+
+
+@query()
+def slot_candidates(spark, sf_dir):
+    """Facts of events as answers to one question per type."""
+    from anamnesis.operators import candidates
+
+    events = table(spark, sf_dir, "events")
+    triples = events.select(F.col("user_id").alias("question"), F.col("event_id").alias("seq"), F.concat(F.lit("user "), F.col("user_id").cast("string")).alias("head"), F.col("event_type").alias("relation"), F.concat(F.lit("item "), F.regexp_extract("props", "[0-9]+", 0)).alias("tail"), F.concat_ws(" ", F.lit("saw the"), "event_type", "props").alias("quote"), F.lit("user").alias("role"))
+    low = events.agg(F.min("event_type")).first()[0]
+    asked = events.select(F.col("user_id").alias("question")).distinct().select("question", F.lit(f"Which item did I {low}?").alias("text"), F.lit("specific fact requested").alias("slot"))
+    return candidates.slot_candidates(triples, asked)
+
+
+@query()
+def graph_evidence(spark, sf_dir):
+    """The best edges around each region, customers first."""
+    c = lambda p, x: F.concat(F.lit(p), F.col(x).cast("string"))
+    part = lambda t, p, k, n, key: table(spark, sf_dir, t).select(c(p, k).alias("head"), c("n" if p != "n" else "r", n).alias("tail"), c(p, k).alias("edge_id"), F.col(k).cast("long").alias("edge_seq"), F.lit(key).alias("relation"), F.lit(key).alias("key"), F.lit(0.9).alias("confidence"))
+    edges = part("customer", "c", "c_custkey", "c_nationkey", "live in").unionByName(part("nation", "n", "n_nationkey", "n_regionkey", "in"))
+    starts = table(spark, sf_dir, "region").select(F.col("r_regionkey").alias("question"), c("r", "r_regionkey").alias("node"))
+    return graph.evidence(graph.bounded_search(starts, edges, 2), F.array(F.lit("live in"))).select("question", "edge_id", "depth", "score", "rank")
+
