@@ -24,10 +24,10 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from anamnesis.llm.common import Memory
+from anamnesis.llm.common import Memory, small_batches
 
 #: Chunks and pieces that a worker remembers at most per generation, and bytes above which a piece is streamed.
-REMEMBERED, LONG = 300_000, 256
+REMEMBERED, LONG = 200_000, 256
 BLOCK = 1 << 18
 #: Fixed: the split before the merges, white space by its Unicode property.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
@@ -304,5 +304,6 @@ def encode_decode(docs: DataFrame, tokenizer: str, with_ids: bool = True, key: s
         columns = [keys, *zip(*rows, strict=True)]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(columns, kinds, strict=False)], names=[n for n, _ in kinds])
 
+    small_batches(docs.sparkSession)
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
     return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("x")).mapInArrow(run, schema)

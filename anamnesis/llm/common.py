@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import sys
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -36,6 +39,12 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(at)
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Texts go to Python in batches of at most `rows`, unless the session asks for other than Spark's 10,000: some are very long."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -74,10 +83,13 @@ class Memory:
 
     @classmethod
     def only(cls, owner: str) -> None:
-        """Empties the caches of other operators: a Python worker lives on between stages."""
-        for memory in cls.held:
-            if memory.owner != owner:
-                memory.young, memory.old = {}, {}
+        """Empties the caches of other operators and gives their memory back: a Python worker lives on between stages."""
+        others = [m for m in cls.held if m.owner != owner and (m.young or m.old)]
+        for memory in others:
+            memory.young, memory.old = {}, {}
+        if others and sys.platform.startswith("linux"):
+            with contextlib.suppress(OSError, AttributeError):
+                ctypes.CDLL(None).malloc_trim(0)
 
     def missing(self, keys: set) -> list:
         """The keys that must be worked out; all others are in `young` afterwards."""

@@ -26,12 +26,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from anamnesis.llm.common import Memory, materialize
+from anamnesis.llm.common import Memory, materialize, small_batches
 
 #: Half for words, half for pairs, so that rare pairs do not blur the words.
 BUCKETS = 1 << 21
 TOKEN = re.compile(r"\w+|[^\w\s]+")
-REMEMBERED = 200_000
+REMEMBERED = 100_000
 
 
 class Hasher:
@@ -170,6 +170,7 @@ def scored(docs: DataFrame, model: Model, seed: int = 17, temperature: float = 0
 
 def resample(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", with_text: bool = True, **fitting) -> DataFrame:
     """The documents that stay: all columns of docs, or without `with_text` the id, log_weight and gumbel_key."""
+    small_batches(docs.sparkSession)
     model = fit(docs, labels, key=key, text=text, **fitting)
     if model is None:
         return docs if with_text else docs.select(key, F.lit(0.0).alias("log_weight"), F.lit(0.0).alias("gumbel_key"))

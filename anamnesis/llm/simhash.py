@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from anamnesis.llm.common import Memory, materialize
+from anamnesis.llm.common import Memory, materialize, small_batches
 from anamnesis.llm.components import components
 
 #: Members of a bucket that are still paired with each other.
@@ -66,6 +66,7 @@ def fingerprints(docs: DataFrame, words: int = 3, key: str = "doc_id", text: str
             fp = np.array([majority(hashes(x.as_py(), words))[0] for x in batch.column(1)], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp)], names=["doc_id", "fp"])
 
+    small_batches(docs.sparkSession)
     return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("x")).mapInArrow(run, "doc_id long, fp long")
 
 
@@ -146,6 +147,7 @@ def wide_fingerprints(docs: DataFrame, words: int) -> DataFrame:
             cols = [pa.array([x[i].view(np.int64).tolist() for x in both], pa.list_(pa.int64())) for i in (0, 1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *cols], names=["doc_id", "cls", "a", "b"])
 
+    small_batches(docs.sparkSession)
     return docs.mapInArrow(run, "doc_id long, cls string, a array<long>, b array<long>")
 
 
