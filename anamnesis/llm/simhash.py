@@ -8,9 +8,9 @@ Hamming distance, and links become components. Equal fingerprints count once.
 fingerprints within two bits share a fingerprint within one bit of each, no midpoint has more than 65 neighbours,
 and all neighbours of a midpoint are within two bits of each other. So no bucket is capped or skipped.
 
-`near_duplicates` finds texts whose sets of five-word shingles have a similarity of 0.8 or more, which 64 bits cannot
-tell: one wide fingerprint (of the words) gives the blocks, another (of the shingles) is verified by Hamming distance,
-and where that leaves it open the shingles are compared. Buckets of more than HOT texts are split by further blocks.
+`near_duplicates` links texts whose sets of five-word shingles have a similarity of 0.8 or more, exactly: candidates come
+from the shingles themselves (prefix filter), and every link is decided by the two sets. Members of crowded buckets meet
+pivots before each other; what pivots leave apart meets in cells, so no bucket is capped or skipped there either.
 
 Defined results: a null text is an empty one; texts without words have fingerprint zero and are linked like any
 other; null ids keep their rows and take the component of their fingerprint (null if it has no id at all); repeated
@@ -105,161 +105,129 @@ def linked(docs: DataFrame, words: int = 3, key: str = "doc_id", text: str = "te
     return rows.join(per, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-# Wide fingerprints -----------------------------------------------------------------------------------------------
+# Near-duplicates by their shingles ---------------------------------------------------------------------------------
 
-#: Longs of the word fingerprint, from which blocks are cut, and of the shingle fingerprint, which is compared.
-WORD_LONGS, LONGS = 16, 8
-#: Bits in which the words of two texts differ on average when five-word shingles have a similarity of 0.8, as a share.
-WORD_SHARE = 0.067
-#: Hamming distances of the shingle fingerprints (of 512 bits; 77 expected at a similarity of 0.8): up to SURE a pair is
-#: linked, above FAR it is not, and between them the shingles themselves are compared. FIRST: the same as FAR over 128 bits.
-SURE, FAR, FIRST = 56, 102, 36
+#: Members up to which all pairs of a bucket are counted at once; larger buckets meet pivots first.
+CROWD = 8
+#: Members of a cell, in which what is left of a large bucket is paired.
+CELL = 256
+#: Texts among which common shingles are looked for, and rows from which a shingle is common.
+SAMPLE, COMMON = 4_000, 3
+#: Against rounding: bounds are taken a little too low, never too high.
+SLACK = 1e-9
 
 
-def spread(h: np.ndarray, longs: int) -> np.ndarray:
-    """(n, longs) words of bits from 64-bit hashes."""
-    from anamnesis.llm.token_shards import mixed
+def shingle_set(text: str | None, words: int) -> np.ndarray:
+    """The distinct shingle hashes as signed longs; texts without words have a set of their own in common."""
+    own = np.unique(hashes(text, words)).view(np.int64)
+    return own if len(own) else np.zeros(1, np.int64)
 
-    return np.stack([mixed(h, 7001 + i) for i in range(longs)], axis=1)
 
+def common_shingles(named: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """(sorted hashes, how often) of shingles that are common in a sample: they only order shingles, so any sample gives the same groups."""
+    share = min(65535, int(65536 * SAMPLE / max(named.count(), 1)))
 
-def wide(text: str | None, words: int) -> tuple[np.ndarray, np.ndarray]:
-    """Fingerprints of the set of (longer) words and of the set of shingles."""
-    import xxhash
-
-    w = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not w:
-        return np.zeros(WORD_LONGS, np.uint64), np.zeros(LONGS, np.uint64)
-    single = set(w)
-    longer = [x for x in single if len(x) >= 4]
-    digest = xxhash.xxh64_intdigest
-    a = np.fromiter((digest(x, 1) for x in (longer if 2 * len(longer) >= len(single) else single)), np.uint64)
-    return majority(spread(a, WORD_LONGS)), majority(spread(np.unique(hashes(text, words)), LONGS))
-
-
-def wide_fingerprints(docs: DataFrame, words: int) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
-        Memory.only("simhash")
         for batch in batches:
-            both = [wide(x.as_py(), words) for x in batch.column(2)]
-            cols = [pa.array([x[i].view(np.int64).tolist() for x in both], pa.list_(pa.int64())) for i in (0, 1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *cols], names=["doc_id", "cls", "a", "b"])
+            for x in batch.column(0):
+                yield pa.RecordBatch.from_arrays([pa.array(shingle_set(x.as_py(), words))], names=["h"])
 
-    small_batches(docs.sparkSession)
-    return docs.mapInArrow(run, "doc_id long, cls string, a array<long>, b array<long>")
+    some = named.where(F.conv(F.substring("cls", 1, 4), 16, 10).cast("long") <= share)
+    seen = some.select("x").mapInArrow(run, "h long").groupBy("h").count().where(F.col("count") >= COMMON).toPandas().sort_values("h")
+    return seen["h"].to_numpy(np.int64), seen["count"].to_numpy(np.int64)
 
 
-def shingle_sets(texts: DataFrame, words: int) -> DataFrame:
-    """(node, set): the distinct shingle hashes of each text."""
+def shingled(named: DataFrame, words: int, least: float, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """Rows with their shingle sets, of n members, and the first of these in an order that all texts share (rare ones first):
+    of two sets with a similarity of `least`, the first n - ceil(least * n) + 1 have a member in common."""
+    known, often = common
 
     def run(batches):
         import pyarrow as pa
 
+        Memory.only("simhash")
         for batch in batches:
-            for i, x in enumerate(batch.column(1)):
-                own = np.unique(hashes(x.as_py(), words)).view(np.int64)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), pa.array([own.tolist()], pa.list_(pa.int64()))], names=["node", "set"])
-
-    return texts.select("node", "x").mapInArrow(run, "node long, set array<long>")
-
-
-def distance(x: list, y: list):
-    out = F.bit_count(x[0].bitwiseXOR(y[0]))
-    for i, j in zip(x[1:], y[1:], strict=True):
-        out = out + F.bit_count(i.bitwiseXOR(j))
-    return out
-
-
-def shape(n: int, miss: float = 0.003) -> tuple[int, int]:
-    """(bits of a block, blocks) for n texts: unrelated texts share a block with few others, and a pair at the least
-    similarity shares none with a chance of `miss`."""
-    bits = min(40, max(16, int(np.ceil(np.log2(max(n, 2)))) + 2))
-    wanted = int(np.ceil(np.log(miss) / np.log1p(-((1 - WORD_SHARE) ** bits))))
-    return bits, min(wanted, WORD_LONGS * 64 // bits)
-
-
-def blocks_of(a: list, bits: int, blocks: int):
-    """The blocks of the word fingerprint, as longs with the block's number in the upper bits."""
-    out = []
-    for n in range(blocks):
-        at, off = divmod(n * bits, 64)
-        x = F.shiftrightunsigned(a[at], off)
-        if off + bits > 64:
-            x = x.bitwiseOR(F.shiftleft(a[at + 1], 64 - off))
-        out.append(F.lit(n << 48).bitwiseOR(x.bitwiseAND(F.lit((1 << bits) - 1))))
-    return out
-
-
-def candidates(reps: DataFrame, hot: int = HOT, deepest: int = 6) -> DataFrame:
-    """(a, b): pairs of node numbers that share a block and are close over the first 128 bits. reps: node, a0.., b0...
-
-    The size and number of blocks follow the number of texts. A bucket of more than `hot` members is split by every later block; what is crowded at the deepest level (equal in
-    `deepest` blocks) is ordered by fingerprint and each member meets the next `hot` ones and the first."""
-    bits, n_blocks = shape(reps.count())
-    keys = blocks_of([F.col(f"a{i}") for i in range(WORD_LONGS)], bits, n_blocks)
-    rows = reps.select("node", "b0", "b1", F.array(*keys).alias("blocks"))
-    rows = rows.select("node", "b0", "b1", "blocks", F.posexplode("blocks").alias("last", "key"))
-    near = (F.bit_count(F.col("x.b0").bitwiseXOR(F.col("y.b0"))) + F.bit_count(F.col("x.b1").bitwiseXOR(F.col("y.b1")))) <= FIRST
+            sets = [shingle_set(x.as_py(), words) for x in batch.column(3)]
+            first = []
+            for s in sets:
+                rank = np.zeros(len(s), np.int64)
+                if len(known):
+                    at = np.minimum(np.searchsorted(known, s), len(known) - 1)
+                    rank = np.where(known[at] == s, often[at], 0)
+                first.append(s[np.lexsort((s, rank))[: len(s) - int(np.ceil(least * len(s) - SLACK)) + 1]])
+            lists = [pa.array(v, pa.list_(pa.int64())) for v in (first, sets)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([len(s) for s in sets], pa.int64()), *lists], names=["rid", "doc_id", "cls", "n", "first", "set"])
+
+    small_batches(named.sparkSession)
+    rows = named.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "cls", "x")
+    return rows.mapInArrow(run, "rid long, doc_id long, cls string, n long, first array<long>, set array<long>")
+
+
+def verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """The pairs (a, b) whose sets are at least that similar. sets: node, set."""
+    asked = pairs.select(F.col("a").alias("node")).unionAll(pairs.select(F.col("b").alias("node"))).distinct()
+    sets = sets.join(asked, "node", "left_semi")
+    for c in "ab":
+        pairs = pairs.join(sets.select(F.col("node").alias(c), F.col("set").alias(f"{c}_set")), c)
+    both = F.size(F.array_intersect("a_set", "b_set"))
+    return pairs.where(both / (F.size("a_set") + F.size("b_set") - both) >= least).select("a", "b")
+
+
+def candidates(entries: DataFrame, sets: DataFrame, least: float, hot: int = CROWD, rounds: int = 3) -> DataFrame:
+    """(a, b): similar pairs whose components are those of all similar pairs. entries: key, node, n; sets: node, set.
+
+    Exact. Texts meet in the bucket of each key. All members of a bucket of more than `hot` are compared with its pivot, the member
+    with most in common with others, which then leaves; buckets within one component are settled. After `rounds` rounds all
+    pairs of different components that are left in a bucket meet, in cells, and are compared unless the number of keys they
+    share (all their common ones, or they have been compared) is too small for their sizes."""
+    counts = entries.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
+    met = materialize(entries.join(counts, "key"), "met")
+    score = met.groupBy("node").agg((F.sum(F.log2("size")) / F.first("n")).alias("score"))
+    now = met.drop("size").join(score, "node").withColumn("root", F.col("node"))
     found = None
-    for depth in range(deepest):
-        crowded = materialize(rows.groupBy("key").count().where(F.col("count") > hot).select("key"), "crowded")
-        some = bool(crowded.head(1))
-        cold = (rows.join(crowded, "key", "left_anti") if some else rows).select("key", "node", "b0", "b1")
-        pairs = cold.alias("x").join(cold.alias("y"), "key").where((F.col("x.node") < F.col("y.node")) & near).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
-        found = pairs if found is None else found.unionAll(pairs)
-        if not some:
-            break
-        hot_rows = rows.join(crowded, "key", "left_semi")
-        if depth == deepest - 1:
-            order = W.partitionBy("key").orderBy("b0", "b1", "node")
-            hot_rows = hot_rows.select("key", "node", "b0", "b1", F.row_number().over(order).alias("at"))
-            ahead = hot_rows.select("key", "node", "b0", "b1", F.explode(F.sequence(F.col("at") - hot, F.col("at") - 1)).alias("at")).where("at > 0")
-            steps = hot_rows.alias("x").join(ahead.alias("y"), ["key", "at"]).where(near).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
-            found = found.unionAll(steps)
+    for turn in range(rounds + 1):
+        state = now.groupBy("key").agg(F.count("*").alias("size"), F.min("root").alias("lo"), F.max("root").alias("hi"), F.max(F.struct("score", "node", "n", "root")).alias("p"))
+        now = materialize(now.join(state.where("lo <> hi").drop("lo", "hi"), "key"), "open")
+        crowded = now.where(F.col("size") > hot)
+        if turn == rounds or not crowded.head(1):
             break
-        deeper = hot_rows.where(F.col("last") < n_blocks - 1).select("node", "b0", "b1", "blocks", F.col("key").alias("from"), F.explode(F.sequence(F.col("last") + 1, F.lit(n_blocks - 1))).alias("last"))
-        rows = materialize(deeper.select("node", "b0", "b1", "blocks", "last", F.xxhash64("from", F.element_at("blocks", F.col("last") + 1)).alias("key")), "deeper")
-    return found.distinct()
+        asked = crowded.where("root <> p.root").where(F.least("n", "p.n") >= least * F.greatest("n", "p.n") - SLACK)
+        asked = materialize(asked.select(F.least("node", "p.node").alias("a"), F.greatest("node", "p.node").alias("b")).distinct(), "asked")
+        links = materialize(verified(asked, sets, least), "links")
+        found = links if found is None else found.unionAll(links)
+        roots = components(found)
+        now = now.where((F.col("size") <= hot) | (F.col("node") != F.col("p.node"))).select("key", "node", "n", "score")
+        now = now.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    cells = F.ceil(F.col("size") / CELL).cast("int")
+    rest = now.select("key", "node", "n", "root", cells.alias("cells"), F.pmod(F.xxhash64("node"), cells).cast("int").alias("cell"))
+    rest = rest.select("key", "node", "n", "root", "cell", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)).alias("other"))
+    rest = rest.select("key", "node", "n", "root", F.least("cell", "other").alias("i"), F.greatest("cell", "other").alias("j"), "cell")
+    x, y = rest.alias("x"), rest.alias("y")
+    # A cell off the diagonal is for pairs of its two parts.
+    apart = (F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root")) & ((F.col("x.cell") != F.col("y.cell")) | (F.col("i") == F.col("j")))
+    sizes = F.least("x.n", "y.n") >= least * F.greatest("x.n", "y.n") - SLACK
+    pairs = x.join(y, ["key", "i", "j"]).where(apart & sizes).groupBy(F.col("x.node").alias("a"), F.col("y.node").alias("b")).agg(F.count("*").alias("c"), F.first("x.n").alias("m"), F.first("y.n").alias("n"))
+    needed = F.ceil(least / (1 + least) * (F.col("m") + F.col("n")) - SLACK)
+    pairs = materialize(pairs.where(F.col("c") + F.ceil(least * F.greatest("m", "n")) - 1 >= needed).select("a", "b"), "asked")
+    links = verified(pairs, sets, least)
+    return links if found is None else found.unionAll(links)
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, least: float = 0.8, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, cls, component_id, stays): one row per distinct (doc_id, text); component_id is the smallest doc_id of the group.
 
-    Equal texts are one node. Pairs whose distance leaves the similarity open, and that other links don't join already,
-    are decided by their shingles. stays marks one (doc_id, text) of each group."""
+    Equal texts are one node. stays marks one (doc_id, text) of each group."""
     named = docs.select(F.col(key).cast("long").alias("doc_id"), F.sha2(F.coalesce(F.col(text), F.lit("")), 256).alias("cls"), F.col(text).alias("x"))
-    rows = materialize(wide_fingerprints(named, words), "wide")
-    longs = [("a", i) for i in range(WORD_LONGS)] + [("b", i) for i in range(LONGS)]
-    flat = rows.select("doc_id", "cls", *(F.col(c)[i].alias(f"{c}{i}") for c, i in longs))
+    small_batches(docs.sparkSession)
+    rows = materialize(shingled(named, words, least, common_shingles(named, words)), "shingles")
     number = F.conv(F.substring("cls", 1, 15), 16, 10).cast("long").alias("node")
-    reps = flat.groupBy("cls").agg(F.min("doc_id").alias("first"), *(F.first(f"{c}{i}").alias(f"{c}{i}") for c, i in longs))
-    reps = materialize(reps.select(number, "*"), "classes")
-    pairs = candidates(reps)
-    right = reps.select("node", *(f"b{i}" for i in range(LONGS)))
-    for side in "ab":
-        pairs = pairs.join(right.select(F.col("node").alias(side), *(F.col(f"b{i}").alias(f"{side}{i}") for i in range(LONGS))), side)
-    far = distance([F.col(f"a{i}") for i in range(LONGS)], [F.col(f"b{i}") for i in range(LONGS)])
-    pairs = materialize(pairs.select("a", "b", far.alias("far")).where(F.col("far") <= FAR), "pairs")
-    roots = components(pairs.where(F.col("far") <= SURE).select("a", "b"))
-    roots = materialize(roots, "sure")
-    side = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
-    unsure = pairs.where(F.col("far") > SURE).join(side("a"), "a", "left").join(side("b"), "b", "left").withColumns({"a_root": F.coalesce("a_root", "a"), "b_root": F.coalesce("b_root", "b")})
-    unsure = materialize(unsure.where("a_root <> b_root").select("a", "b", "a_root", "b_root"), "unsure")
-    if unsure.head(1):
-        asked = unsure.select(F.col("a").alias("node")).unionAll(unsure.select(F.col("b").alias("node"))).distinct()
-        wanted = reps.join(asked, "node").select("node", "cls", F.col("first").alias("doc_id"))
-        match = named.alias("d").join(wanted.alias("w"), (F.col("d.cls") == F.col("w.cls")) & F.col("d.doc_id").eqNullSafe(F.col("w.doc_id")))
-        sets = materialize(shingle_sets(match.select("w.node", "d.x"), words), "sets").dropDuplicates(["node"])
-        for c in "ab":
-            unsure = unsure.join(sets.select(F.col("node").alias(c), F.col("set").alias(f"{c}_set")), c)
-        both = F.size(F.array_intersect("a_set", "b_set"))
-        near = both / (F.size("a_set") + F.size("b_set") - both) >= least
-        merged = components(unsure.where(near).select(F.col("a_root").alias("a"), F.col("b_root").alias("b")))
-        own = reps.select("cls", "node", "first").join(roots, "node", "left").select("cls", F.coalesce("root", "node").alias("node"), "first").join(merged, "node", "left")
-    else:
-        own = reps.select("cls", "node", "first").join(roots, "node", "left")
+    reps = materialize(rows.groupBy("cls").agg(F.min("doc_id").alias("first"), F.min("rid").alias("rid")).select(number, "*"), "classes")
+    chosen = reps.select("node", "rid")
+    entries = rows.select("rid", "n", F.col("first").alias("keys")).join(chosen, "rid").select(F.explode("keys").alias("key"), "node", "n")
+    roots = components(candidates(entries, rows.select("rid", "set").join(chosen, "rid").select("node", "set"), least))
+    own = reps.select("cls", "node", "first").join(roots, "node", "left")
     own = materialize(own.select("cls", F.coalesce("root", "node").alias("root"), "first"), "roots")
     group = own.groupBy("root").agg(F.min(F.struct(F.col("first").isNull(), "first", "cls")).alias("kept"))
     per = own.join(group, "root").select("cls", F.col("kept.first").alias("component_id"), F.col("kept.cls").alias("kept"))

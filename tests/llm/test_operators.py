@@ -325,6 +325,42 @@ def test_near_duplicates_against_shingles(spark, hot, monkeypatch):
     assert simhash.drop_near_duplicates(nothing(spark)).count() == 0
 
 
+def near_groups(spark, texts):
+    from anamnesis.llm import simhash
+
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return {r.doc_id: r.component_id for r in simhash.near_duplicates(rows).collect()}
+
+
+def test_near_duplicates_star_of_thousands(spark):
+    """Copies of a template, each similar to it alone, and copies of one that isn't there: as brute force by sets."""
+    rnd, texts = random.Random(21), []
+    for size, present in ((2000, True), (200, False)):
+        base = [f"w{rnd.randrange(10**6)}" for _ in range(100)]
+        texts += [" ".join(base)] * present
+        for n in range(size):
+            w = list(base)
+            for at in rnd.sample(range(5, 95), 2):
+                w[at] = f"e{size}x{n}x{at}"
+            texts.append(" ".join(w))
+    sets = [{" ".join(w[i : i + 5]) for i in range(96)} for w in (t.split() for t in texts)]
+    numbers = {}
+    codes = np.zeros((len(sets), 96), np.int64)
+    for i, s in enumerate(sets):
+        codes[i] = [numbers.setdefault(x, len(numbers)) for x in s]
+    label = list(range(len(sets)))
+    for i in range(len(sets)):
+        held = np.zeros(len(numbers), bool)
+        held[codes[i]] = True
+        both = held[codes[i + 1 :]].sum(axis=1)
+        for j in np.flatnonzero(both / (192 - both) >= 0.8) + i + 1:
+            x, y = sorted((label[i], label[j]))
+            if x != y:
+                label = [x if c == y else c for c in label]
+    assert sum(x == 0 for x in label) > 1500 and len(set(label[2001:])) > 1
+    assert near_groups(spark, texts) == dict(enumerate(label))
+
+
 def test_components_of_chains_and_stars(spark):
     from anamnesis.llm.components import components
 
