@@ -361,6 +361,16 @@ def test_near_duplicates_star_of_thousands(spark):
     assert near_groups(spark, texts) == dict(enumerate(label))
 
 
+def test_near_duplicates_with_passages_of_new_words(spark):
+    """Pairs just above 0.8 that differ by one added tail or one inserted paragraph."""
+    rnd, texts = random.Random(22), []
+    for n in range(60):
+        base, new = ([f"{c}{rnd.randrange(10**6)}" for _ in range(200)] for c in "wx")
+        texts += [" ".join(base), " ".join(base + new[:45] if n % 2 else base[:90] + new[:40] + base[90:])]
+        assert similar(*texts[-2:]) >= 0.8
+    assert near_groups(spark, texts) == {i: i // 2 * 2 for i in range(len(texts))}
+
+
 def test_components_of_chains_and_stars(spark):
     from anamnesis.llm.components import components
 
