@@ -371,6 +371,19 @@ def test_near_duplicates_with_passages_of_new_words(spark):
     assert near_groups(spark, texts) == {i: i // 2 * 2 for i in range(len(texts))}
 
 
+def test_near_duplicates_half_of_short_words(spark):
+    """One replaced word tips the share of long words below one half."""
+    rnd, texts = random.Random(23), []
+    for _ in range(30):
+        short = [a + b for a, b in rnd.sample(list(itertools.product("abcdefghijkl", repeat=2)), 51)]
+        base = [f"word{x}" for x in rnd.sample(range(10**6), 50)] + short[:50]
+        rnd.shuffle(base)
+        at = next(i for i, x in enumerate(base) if len(x) > 4 and 5 <= i < 95)
+        texts += [" ".join(base), " ".join([*base[:at], short[50], *base[at + 1 :]])]
+        assert similar(*texts[-2:]) >= 0.8
+    assert near_groups(spark, texts) == {i: i // 2 * 2 for i in range(len(texts))}
+
+
 def test_components_of_chains_and_stars(spark):
     from anamnesis.llm.components import components
 
