@@ -384,6 +384,15 @@ def test_near_duplicates_half_of_short_words(spark):
     assert near_groups(spark, texts) == {i: i // 2 * 2 for i in range(len(texts))}
 
 
+def test_near_duplicates_of_very_short_texts(spark):
+    """Eight words and the same with a ninth: four shingles of five, exactly 0.8; seven and eight are three of four."""
+    rnd, texts = random.Random(24), []
+    for n in range(80):
+        base = [f"w{rnd.randrange(10**6)}" for _ in range(9)]
+        texts += [" ".join(base[: 8 - n % 2]), " ".join(base[: 9 - n % 2])]
+    assert near_groups(spark, texts) == {i: i // 2 * 2 if i // 2 % 2 == 0 else i for i in range(len(texts))}
+
+
 def test_components_of_chains_and_stars(spark):
     from anamnesis.llm.components import components
 
