@@ -2,7 +2,7 @@
 
 Mining: each labelled URL is a transaction of tokens (host suffixes, path steps) and its label; Spark's
 FP-growth finds the token combinations that are frequent together with the label. A combination becomes a rule if its
-support and confidence are high enough and no part of it is as confident. Matching: rules are held as an inverted index
+support is high enough, most of its rows are bad by more than chance gives among all combinations tried, and no part of it is as confident. Matching: rules are held as an inverted index
 token -> (rule, tokens needed); a URL's tokens are looked up and a rule fires if all its tokens were met.
 
 Fixed rules come first: a rule (host, path) fits its host, all subdomains, and paths that start with its path; the
@@ -15,6 +15,8 @@ further columns are ignored.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -49,11 +51,13 @@ def fixed_rule(host: Column, path: Column, rules: list[tuple[str, str, str]]) ->
     return rule, verdict
 
 
-def mine(urls: DataFrame, support: float = 0.002, confidence: float = 0.4, lift: float = 1.5, least: int = 10) -> DataFrame:
+def mine(urls: DataFrame, support: float = 0.002, confidence: float = 0.5, lift: float = 1.5, least: int = 10, chance: float = 0.05) -> DataFrame:
     """(tokens, confidence, support, lift) of the rules that block. urls: (url, bad boolean), bad null for unlabelled rows.
 
     Counts cover every labelled row. A rule needs `least` rows besides its share of them: with fewer rows than that, every
-    set of tokens of a single URL would be frequent."""
+    set of tokens of a single URL would be frequent. Its share of bad rows must be above `confidence` and above the share of
+    all rows, so far that chance gives any such rule, among all frequent sets of tokens, with a probability of at most `chance`
+    (Chernoff's bound of the binomial tail, Bonferroni's correction)."""
     from pyspark.ml.fpm import FPGrowth
 
     host, path = parts(F.col("url"))
@@ -66,6 +70,11 @@ def mine(urls: DataFrame, support: float = 0.002, confidence: float = 0.4, lift:
     model = FPGrowth(itemsCol="items", minSupport=max(support, least / n), minConfidence=confidence).fit(rows)
     found = model.associationRules.where(F.element_at("consequent", 1) == LABEL).where(F.col("lift") >= lift)
     found = materialize(found.select(F.array_sort("antecedent").alias("tokens"), "confidence", "support", "lift"), "rules")
+    tried = model.freqItemsets.where(~F.array_contains("items", LABEL)).count()
+    usual = min(max(confidence, rows.where(F.array_contains("items", LABEL)).count() / n), 1 - 1e-12)
+    share, rest = F.col("confidence"), 1 - F.col("confidence")
+    excess = share * F.log(share / usual) + F.when(rest > 0, rest * F.log(rest / (1 - usual))).otherwise(0.0)
+    found = found.where(share > usual).where(F.col("support") / share * n * excess >= math.log(max(tried, 1) / chance))
     # Pruned: a rule that holds all tokens of a shorter one says nothing new unless it is more confident.
     each = found.select("tokens", "confidence", F.explode("tokens").alias("t"))
     short = found.select(F.col("tokens").alias("part"), F.col("confidence").alias("c"), F.explode("tokens").alias("t"))

@@ -572,3 +572,13 @@ def test_urls(spark):
     assert sorted((r.page_id, r.verdict) for r in judge(more, rules, RULES).collect()) == [(1, "block"), (2, "allow"), (2, "allow")]
     none = mine(spark.createDataFrame([], "url string, bad boolean"))
     assert none.count() == 0 and judge(rows.limit(0), none, RULES).count() == 0 and judge(more, none, RULES).where("verdict = 'block'").count() == 0
+
+
+def test_urls_chance_rules_do_not_block(spark):
+    """Hosts with more bad rows than most, but no more than chance gives, make no rule; a host that is bad does."""
+    from anamnesis.llm.url_rules import mine
+
+    bad = {"a": (17, 38), "b": (24, 38), "c": (60, 60), **{f"n{i}": (8, 40) for i in range(20)}}
+    rows = [(f"http://{h}.de/x/{i}", i < k) for h, (k, n) in bad.items() for i in range(n)]
+    rules = mine(spark.createDataFrame(rows, "url string, bad boolean")).collect()
+    assert rules and all("h:c.de" in r.tokens for r in rules)
