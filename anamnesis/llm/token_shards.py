@@ -34,6 +34,8 @@ from anamnesis.llm.common import Memory, blocks, filesystem, scratch, shuffle_pa
 MAGIC = b"ANSHARD1"
 #: Words that a worker remembers at most per generation.
 REMEMBERED = 400_000
+#: Ids that a shard holds before the next one begins.
+SHARD_IDS = 1 << 27
 #: Marks that end a word.
 ENDS = ".,!?;:"
 
@@ -106,12 +108,13 @@ class ShardWriter:
         self.out.write(MAGIC)
         self.width, self.keys, self.valid, self.lengths = width, [], [], []
 
-    def add(self, key: int | None, payload: list[bytes]) -> None:
+    def add(self, key: int | None, payload: list[bytes]) -> int:
         for part in payload:
             self.out.write(part)
         self.keys.append(0 if key is None else key)
         self.valid.append(key is not None)
         self.lengths.append(sum(map(len, payload)) // self.width)
+        return self.lengths[-1]
 
     def close(self) -> int:
         keys, valid = np.array(self.keys, np.int64), np.array(self.valid, np.uint8)
@@ -180,13 +183,18 @@ class ShardReader:
         found, offset, length = self.locate(np.array([key]))
         return self.ids(offset[0], length[0]) if found[0] else None
 
-    def scan(self) -> Iterator[tuple[int | None, int, np.ndarray]]:
-        """(key, offset, ids) in file order, each distinct key looked up through the index."""
+    def scan(self, step: int = 1 << 21) -> Iterator[tuple[int | None, int, np.ndarray]]:
+        """(key, offset, ids) in file order, each distinct key looked up through the index; the payload is read in ranges of `step` ids or one document."""
         found, offset, length = self.locate(self.keys)
+        starts, lengths = self.starts.astype(np.int64), self.lengths.astype(np.int64)
+        base, held = 0, np.empty(0, np.uint8)
         for i, (key, valid) in enumerate(zip(self.keys.tolist(), self.valid.tolist(), strict=True)):
             if valid and not (found[i] and (offset[i] < self.starts[i] or (offset[i] == self.starts[i] and length[i] == self.lengths[i]))):
                 raise ValueError(f"the index has no entry for key {key}")
-            yield (key if valid else None), int(self.starts[i]), self.ids(self.starts[i], self.lengths[i])
+            at, n = int(starts[i]), int(lengths[i])
+            if at + n > base + len(held):
+                base, held = at, self.ids(at, min(max(step, n), self.says["tokens"] - at))
+            yield (key if valid else None), at, held[at - base : at - base + n]
 
 
 class WordEncoder:
@@ -201,6 +209,7 @@ class WordEncoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
+        self.added = [t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.cache, self.pieces = Memory(REMEMBERED, "shards"), Memory(REMEMBERED, "shards")
 
     @classmethod
@@ -216,15 +225,19 @@ class WordEncoder:
         return out.tobytes()
 
     def learn(self, words: list[str]) -> None:
-        """Words go to the tokenizer without case (in ASCII, where it makes no difference) and without closing marks, which are pieces of their own after a letter."""
+        """ASCII words go to the tokenizer without case, where it makes no difference, and words without the closing marks after an
+        ASCII letter, which are pieces of their own. Words in which an added token shows up either way are left as they are:
+        added tokens are found in the text as it stands."""
         split, parts = [], {""}
         for word in words:
             low = word.lower() if word.isascii() else word
             core = low.rstrip(ENDS)
-            if core and core[-1].isalpha():
+            if any(x in low for x in self.added):
+                split.append((word, word, ""))
+                parts.add(word)
+            elif core and core[-1].isascii() and core[-1].isalpha():
                 split.append((word, core, low[len(core) :]))
-                parts.add(core)
-                parts.add(low[len(core) :])
+                parts.update((core, low[len(core) :]))
             else:
                 split.append((word, low, ""))
                 parts.add(low)
@@ -245,10 +258,10 @@ class WordEncoder:
         return out
 
 
-def write_shards(docs: DataFrame, at: str, tokenizer: str, end_id: int = 1, key: str = "doc_id", text: str = "text", shards: int | None = None) -> DataFrame:
-    """Encodes docs into shard files below `at`, in ascending key order over the shards; one row per shard: (shard, path, docs, tokens).
+def write_shards(docs: DataFrame, at: str, tokenizer: str, end_id: int = 1, key: str = "doc_id", text: str = "text", shards: int | None = None, most: int = SHARD_IDS) -> DataFrame:
+    """Encodes docs into shard files below `at`, in ascending key order over the shards; one row per shard: (task, shard, path, docs, tokens).
 
-    Each task attempt writes a file of its own; only those that the returned rows name belong to the result, so a repeated task leaves at worst a file that nobody reads."""
+    A task begins a new shard once one holds `most` ids, so neither a file nor its index grows with the table. Each task attempt writes a file of its own; only those that the returned rows name belong to the result, so a repeated task leaves at worst a file that nobody reads."""
 
     def write(batches):
         import os
@@ -261,20 +274,28 @@ def write_shards(docs: DataFrame, at: str, tokenizer: str, end_id: int = 1, key:
         task = TaskContext.get()
         encoder = WordEncoder.of(tokenizer)
         end = encoder.raw([end_id])
-        uri = f"{at}/shard-{task.partitionId():06d}-{task.taskAttemptId()}.bin"
-        writer, n = None, 0
+        writer, no, n, held = None, 0, 0, 0
+
+        def told():
+            tokens = writer.close()
+            return pa.RecordBatch.from_pylist([{"task": task.partitionId(), "shard": no, "path": uri, "docs": n, "tokens": tokens}])
+
         for batch in batches:
             for k, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                writer = writer or ShardWriter(uri, encoder.width)
-                writer.add(k, [*encoder.encode(x.as_py() or ""), end])
+                if writer is None:
+                    uri = f"{at}/shard-{task.partitionId():06d}-{no:04d}-{task.taskAttemptId()}.bin"
+                    writer, n, held = ShardWriter(uri, encoder.width), 0, 0
+                held += writer.add(k, [*encoder.encode(x.as_py() or ""), end])
                 n += 1
+                if held >= most:
+                    yield told()
+                    writer, no = None, no + 1
         if writer:
-            tokens = writer.close()
-            yield pa.RecordBatch.from_pylist([{"shard": task.partitionId(), "path": uri, "docs": n, "tokens": tokens}])
+            yield told()
 
     n = shards or shuffle_partitions(docs.sparkSession)
     rows = docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("x")).repartitionByRange(n, "k").sortWithinPartitions("k")
-    return rows.mapInArrow(write, "shard long, path string, docs long, tokens long")
+    return rows.mapInArrow(write, "task long, shard long, path string, docs long, tokens long")
 
 
 def read_shards(spark: SparkSession, shards: list[tuple[str, int]]) -> DataFrame:
@@ -298,7 +319,7 @@ def token_shards(docs: DataFrame, tokenizer: str, end_id: int = 1, at: str | Non
     spark = docs.sparkSession
     done = sorted(write_shards(docs, at or scratch(spark, "token-shards"), tokenizer, end_id).collect())  # a row per shard
     base, shards = 0, []
-    for _, path, _, tokens in done:
+    for _, _, path, _, tokens in done:
         shards.append((path, base))
         base += tokens
     return read_shards(spark, shards)
