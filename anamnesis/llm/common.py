@@ -17,10 +17,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one only where none is set (local tests)."""
+    """The cluster's shared folder; a temporary one only where none is set and the master is local (tests)."""
     conf = spark.sparkContext.getConf()
     at = conf.get("spark.checkpoint.dir", None) or getattr(spark, "_anamnesis_shared", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="anamnesis-")
         spark._anamnesis_shared = at
         spark.sparkContext.setCheckpointDir(at)
@@ -39,6 +41,17 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(at)
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores more as it takes to be no column of df."""
+    held, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in held:
+            name += "_"
+        held.add(name.lower())
+        out.append(name)
+    return out
+
+
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Texts go to Python in batches of at most `rows`, unless the session asks for other than Spark's 10,000: some are very long."""
     if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":

@@ -1,23 +1,31 @@
 """Operator 4: a quality classifier by importance resampling.
 
 Two generative models over hashed n-grams (words and marks, pairs of them, and any word five times in a row) are fitted
-to labelled rows: the target model to the good ones, the raw model to all; equal texts count once, and so does an n-gram
-within a text. A document's log weight is the sum of log target/raw over its distinct n-grams. Ratios of n-grams in fewer
-than `common` of the texts are 0, the others are shrunk towards 0 by `shrink`: only clear evidence counts, and neither
-length nor a group of near copies carries a text off. Gumbel noise is added to weight / temperature and the k documents with the largest sums stay (Gumbel top-k:
-sampling without replacement in proportion to the weights). k is the number of documents whose weight passes a cut
-that is fitted on the labelled rows; the temperature keeps the noise below clear decisions.
-
-The models are fitted on at most `most` labelled rows, taken by a hash of the id; scores, k and the top-k cover every
+to labelled rows: the target model to the good ones, the raw model to all. A document's log weight is the sum of
+log target/raw over its distinct n-grams. The share of target rows among the rows with an n-gram, on which that ratio
+rests, is smoothed by an empirical prior with two parts: most n-grams say nothing, so their shares scatter (by a Beta
+distribution of `scatter` rows) around a usual one; a few may have any share. `telling` says how many of them are expected (for the run of
+one word, for words, for pairs), however many n-grams there are, as else the many pairs would give many by chance. The log ratio is weighted by the probability that the n-gram is one of the few. So evidence for and against the target counts by
+its strength, n-grams that the labelled rows hardly show have ratio 1, and length doesn't carry a text off. Equal texts count
+once, and an n-gram once a text: the many repeats within a text are not independent evidence.
+
+Gumbel noise is added to the log weights, divided by `temperature` (1 samples in proportion to the weights; the default of 0.25
+in proportion to their fourth power, so that few documents near the cut change sides), and the k documents with the largest
+sums stay: Gumbel top-k, which is sampling without replacement. k is a parameter, `keep`: a share of the
+documents (below 1) or a number of them; by default the number of documents on the target's side of a cut
+that is fitted on the labelled rows.
+
+The models are fitted on at most about `most` labelled rows, taken by a hash of the id; weights, k and the top-k cover every
 document. The k-th largest key is found by counting in ever finer bins, never by sorting everything in one place.
 
 Defined results: a null text is an empty one, its weight is 0; rows are judged one by one, with noise that depends on id
-and text, so repeated rows stay or go together, except that ties at the k-th key all stay; without labelled rows
-everything stays; an empty table gives no row; further columns are kept, but for names that start with two underscores.
+and text, so repeated rows stay or go together, except that ties at the k-th key all stay; without labelled rows of both kinds
+everything stays; an empty table gives no row; further columns are kept, whatever their names.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from dataclasses import dataclass
 
@@ -26,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from anamnesis.llm.common import Memory, materialize, small_batches
+from anamnesis.llm.common import Memory, fresh, materialize, small_batches
 
 #: Half for words, half for pairs, so that rare pairs do not blur the words.
 BUCKETS = 1 << 21
@@ -77,8 +85,25 @@ def grams(text: str) -> np.ndarray:
     return parts[0] if len(parts) == 1 else np.unique(np.concatenate(parts))
 
 
-def fit(docs: DataFrame, labels: DataFrame, most: int = 20_000, prior: float = 0.5, shrink: float = 2.0, common: float = 0.002, key: str = "doc_id", text: str = "text") -> Model | None:
-    """labels: doc_id, quality, toxic. Good: quality 1 and not toxic."""
+def log_ratios(bucket: np.ndarray, t: np.ndarray, r: np.ndarray, usual: float, scatter: float, telling: tuple[float, float, float]) -> np.ndarray:
+    """log target/raw of n-grams that t of r rows with them are target rows of; `usual` is the share that says nothing."""
+    top = int(r.max()) + 1
+
+    def log_beta(x: np.ndarray, y: np.ndarray, a: float, b: float) -> np.ndarray:
+        """log B(x + a, y + b) - log B(a, b), from tables over whole x and y."""
+        ga, gb, gab = (np.array([math.lgamma(k + c) for k in range(top)]) for c in (a, b, a + b))
+        return ga[x] + gb[y] - gab[x + y] - (math.lgamma(a) + math.lgamma(b) - math.lgamma(a + b))
+
+    kind = np.where(bucket == 0, 0, np.where(bucket < BUCKETS // 2, 1, 2))
+    before = np.minimum(0.5, np.array(telling) / np.maximum(np.bincount(kind, minlength=3), 1))[kind]
+    plain = log_beta(t, r - t, usual * scatter, (1 - usual) * scatter)
+    other = np.log(before) + log_beta(t, r - t, 0.5, 0.5)
+    chance = 1 / (1 + np.exp(np.clip(plain - other, -500, 500)))
+    return chance * (np.log((t + 0.5) / (r + 1)) - np.log(usual))
+
+
+def fit(docs: DataFrame, labels: DataFrame, most: int = 20_000, scatter: float = 6.0, telling: tuple[float, float, float] = (0.5, 10.0, 1.0), key: str = "doc_id", text: str = "text") -> Model | None:
+    """labels: doc_id, quality, toxic. Good: quality 1 and not toxic. None without rows of both kinds."""
     spark = docs.sparkSession
     given = labels.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(((F.min("quality") == 1) & (F.max("toxic") == 0)).alias("good")).where(F.col("good").isNotNull())
     given = materialize(given, "labels")
@@ -106,11 +131,15 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = 20_000, prior: float = 0
     if not n_good or n_good == n:
         return None
     counts = rows.mapInArrow(count, "bucket long, t long, r long").groupBy("bucket").agg(F.sum("t").alias("t"), F.sum("r").alias("r"))
-    per = counts.where(F.col("r") >= max(3, common * n)).toPandas()  # what is common: some thousands of rows, BUCKETS at most
-    t, r = np.zeros(BUCKETS), np.zeros(BUCKETS)
-    t[per.bucket], r[per.bucket] = per.t, per.r
-    ratio = np.log((t * (n / n_good) + prior) / (r + prior))
-    model = Model((np.sign(ratio) * np.maximum(np.abs(ratio) - shrink, 0)).astype(np.float32), 0.0)
+    # In one or two rows an n-gram can't tell anything at these priors; the others are BUCKETS rows at most.
+    per = counts.where("r > 2").toPandas()
+    ratio = np.zeros(BUCKETS, np.float32)
+    if len(per):
+        t, r = per.t.to_numpy(), per.r.to_numpy()
+        often = r >= np.quantile(r, 0.99)
+        usual = min(max(float(np.median(t[often] / r[often])), n_good / n), 1 - 0.5 / n)
+        ratio[per.bucket] = log_ratios(per.bucket.to_numpy(), t, r, usual, scatter, telling)
+    model = Model(ratio, 0.0)
     scored = rows.select("good", weights(spark, model)(F.col("x")).alias("w")).toPandas()  # `most` rows
     model.cut = best_cut(scored.w.to_numpy(), scored.good.to_numpy(bool))
     return model
@@ -161,21 +190,26 @@ def kth_largest(keys: DataFrame, k: int, column: str = "g", bins: int = 4096, sm
             above += r.n
 
 
-def scored(docs: DataFrame, model: Model, seed: int = 17, temperature: float = 0.02, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with __weight and __gumbel."""
+def scored(docs: DataFrame, model: Model, names: tuple[str, str] = ("weight", "gumbel"), seed: int = 17, temperature: float = 0.25, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """docs with the log weight and the Gumbel key in columns of the given names."""
+    weight, gumbel = names
     u = (F.shiftrightunsigned(F.xxhash64(F.col(key), F.col(text), F.lit(seed)), 11) + F.lit(0.5)) / float(1 << 53)
-    rows = docs.withColumn("__weight", weights(docs.sparkSession, model)(F.col(text)))
-    return rows.withColumn("__gumbel", F.col("__weight") / F.lit(temperature) - F.log(-F.log(u)))
+    rows = docs.withColumn(weight, weights(docs.sparkSession, model)(F.col(text)))
+    return rows.withColumn(gumbel, F.col(weight) / F.lit(temperature) - F.log(-F.log(u)))
 
 
-def resample(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", with_text: bool = True, **fitting) -> DataFrame:
+def resample(docs: DataFrame, labels: DataFrame, keep: float | None = None, temperature: float = 0.25, key: str = "doc_id", text: str = "text", with_text: bool = True, **fitting) -> DataFrame:
     """The documents that stay: all columns of docs, or without `with_text` the id, log_weight and gumbel_key."""
     small_batches(docs.sparkSession)
     model = fit(docs, labels, key=key, text=text, **fitting)
     if model is None:
         return docs if with_text else docs.select(key, F.lit(0.0).alias("log_weight"), F.lit(0.0).alias("gumbel_key"))
-    rows = scored(docs, model, key=key, text=text)
-    rows = materialize(rows if with_text else rows.select(key, "__weight", "__gumbel"), "weights")
-    k = rows.where(F.col("__weight") > model.cut).count()
-    kept = rows.where(F.col("__gumbel") >= kth_largest(rows.select(F.col("__gumbel").alias("g")), k)) if k else rows.limit(0)
-    return kept.select(*docs.columns) if with_text else kept.select(key, F.col("__weight").alias("log_weight"), F.col("__gumbel").alias("gumbel_key"))
+    weight, gumbel = fresh(docs, "weight", "gumbel")
+    rows = scored(docs, model, (weight, gumbel), temperature=temperature, key=key, text=text)
+    rows = materialize(rows if with_text else rows.select(key, weight, gumbel), "weights")
+    if keep is None:
+        k = rows.where(F.col(weight) > model.cut).count()
+    else:
+        k = round(keep * rows.count()) if keep < 1 else int(keep)
+    kept = rows.where(F.col(gumbel) >= kth_largest(rows.select(F.col(gumbel).alias("g")), k)) if k else rows.limit(0)
+    return kept.select(*docs.columns) if with_text else kept.select(key, F.col(weight).alias("log_weight"), F.col(gumbel).alias("gumbel_key"))

@@ -4,6 +4,7 @@ import itertools
 import random
 import re
 import struct
+import unicodedata
 import zlib
 
 import numpy as np
@@ -28,10 +29,12 @@ def library(path):
 # 1: shards -----------------------------------------------------------------------------------------------------------
 
 
-def test_shards_hold_what_the_library_gives(spark):
-    from anamnesis.llm.token_shards import token_shards
+@pytest.mark.parametrize("most", [20, 1 << 27])
+def test_shards_hold_what_the_library_gives(spark, most, monkeypatch):
+    from anamnesis.llm import token_shards
 
-    rows = [r for r in token_shards(documents(spark), WORD_JSON).collect()]
+    monkeypatch.setattr(token_shards.write_shards, "__defaults__", (*token_shards.write_shards.__defaults__[:-1], most))
+    rows = [r for r in token_shards.token_shards(documents(spark), WORD_JSON).collect()]
     docs = sorted(((r.doc_id, r.text) for r in documents(spark).collect()), key=lambda r: (r[0] is not None, r[0]))
     t, at = library(WORD_JSON), 0
     got = sorted(((r.start, r.doc_id, r.n_tokens, r.ids_crc32) for r in rows))
@@ -40,7 +43,7 @@ def test_shards_hold_what_the_library_gives(spark):
         ids = [*t.encode(text or "", add_special_tokens=False).ids, 1]
         assert (start, key, n, crc) == (at, doc_id, len(ids), zlib.crc32(struct.pack(f"<{len(ids)}I", *ids)))
         at += len(ids)
-    assert token_shards(nothing(spark), WORD_JSON).count() == 0
+    assert token_shards.token_shards(nothing(spark), WORD_JSON).count() == 0
 
 
 def test_shard_index_finds_every_key_and_no_other(tmp_path):
@@ -56,7 +59,8 @@ def test_shard_index_finds_every_key_and_no_other(tmp_path):
     r = ShardReader(str(tmp_path / "a.bin"))
     assert all(r.get(k).tolist() == [k % 60000, 7] for k in keys[:500])
     assert sum(r.get(k + 1) is not None for k in keys[:500] if k + 1 not in set(keys)) == 0
-    assert len(list(r.scan())) == 5001
+    for step in (1, 7, 1 << 20):
+        assert [(k, ids.tolist()) for k, _, ids in r.scan(step)] == [*((k, [k % 60000, 7]) for k in keys), (None, [1])]
     mph = PerfectHash.build(np.arange(1000, dtype=np.uint64))
     assert sorted(mph.slots(np.arange(1000, dtype=np.uint64))) == list(range(1000))
     assert PerfectHash.build(np.empty(0, np.uint64)).size == 0
@@ -66,11 +70,21 @@ def test_word_encoder_equals_library():
     from anamnesis.llm.token_shards import WordEncoder
 
     t, e, rnd = library(WORD_JSON), WordEncoder.of(WORD_JSON), random.Random(3)
-    parts = ["Hello", "WORLD's", " ", "\n", "\t", "İ", "Σ", "ΑΣ", "e\u0301", "<|endoftext|>", "x<|endoftext|>.", "12,5", "...", "!?", "ß", "\u3000", "\x85", "don't", "a.b.", "ﬁ", "'s", "."]
-    for _ in range(1500):
+    parts = ["Hello", "WORLD's", " ", "\n", "\t", "İ", "Σ", "ΑΣ", "e\u0301", "<|endoftext|>", "x<|endoftext|>.", "12,5", "...", "!?", "ß", "\u3000", "\x85", "don't", "a.b.", "ﬁ", "'s", ".", "<|ENDOFTEXT|>", "<|EndOfText|>", "<|STARTOFTEXT|>", "<|startoftext|>", "<|endof", "TEXT|>", "İ.", "é.", "e\u0301.", "K", "Å,"]
+    for _ in range(4000):
         s = "".join(rnd.choice(parts) for _ in range(rnd.randint(0, 12)))
         assert np.frombuffer(b"".join(e.encode(s)), "<u2").tolist() == t.encode(s, add_special_tokens=False).ids, repr(s)
 
+def test_word_encoder_at_marks_after_any_letter():
+    """Every letter whose normal or lower form ends in a mark or grows, with closing marks after it."""
+    from anamnesis.llm.token_shards import WordEncoder
+
+    t, e = library(WORD_JSON), WordEncoder.of(WORD_JSON)
+    odd = [c for c in map(chr, range(0xA0, 0x20000)) if not 0xD800 <= ord(c) < 0xE000 and (len(c.lower()) > 1 or len(unicodedata.normalize("NFD", c)) > 1 or unicodedata.combining(c))]
+    texts = [f"{c}. a{c}, {c}x!" for c in odd]
+    for s, want in zip(texts, t.encode_batch(texts, add_special_tokens=False), strict=True):
+        assert np.frombuffer(b"".join(e.encode(s)), "<u2").tolist() == want.ids, repr(s)
+
 
 # 2: WARC -------------------------------------------------------------------------------------------------------------
 
@@ -185,15 +199,83 @@ def test_resampling_drops_what_labels_reject(spark):
     from anamnesis.llm.resample import resample
 
     docs, labels, bad = labelled(spark)
-    kept = resample(docs, labels.where("doc_id < 400"))
+    kept = resample(docs, labels.where("doc_id < 400"), temperature=0.02)
     assert kept.columns == docs.columns
     ids = {r.doc_id for r in kept.select("doc_id").collect()}
     assert not ids & bad and len(ids) > 0.97 * (600 - len(bad))
+    # At temperature 1 sampling swaps documents near the cut: a single bad word makes weights differ by some 5.
+    ids = {r.doc_id for r in resample(docs, labels.where("doc_id < 400"), temperature=1.0).select("doc_id").collect()}
+    assert len(ids & bad) < 0.15 * len(bad) and len(ids) > 0.97 * (600 - len(bad))
+    named = docs.withColumnRenamed("x", "weight").withColumnRenamed("key", "gumbel")
+    assert resample(named, labels).columns == named.columns
     other = documents(spark)
     assert resample(other, labels.limit(0)).count() == other.count()
-    awkward = resample(documents(spark).unionByName(docs), labels)
+    awkward = resample(documents(spark).unionByName(docs), labels, temperature=0.01)
     assert {r.doc_id for r in awkward.collect()} >= {3, 4, 7}
     assert resample(nothing(spark), labels).count() == 0
+    assert resample(docs, labels, keep=0.5).count() == 300 and resample(docs, labels, keep=100).count() == 100
+
+
+def plain_model(rows, scatter=6.0, telling=(0.5, 10.0, 1.0)):
+    """The whole method in plain Python: bucket -> log ratio, from (text, good)."""
+    from math import exp, lgamma, log
+
+    from anamnesis.llm.resample import BUCKETS, grams
+
+    beta = lambda a, b: lgamma(a) + lgamma(b) - lgamma(a + b)
+    kind = lambda g: 0 if g == 0 else 1 if g < BUCKETS // 2 else 2
+    counts = {}
+    for text, good in dict(rows).items():
+        for g in set(grams(text).tolist()):
+            c = counts.setdefault(g, [0, 0])
+            c[0] += good
+            c[1] += 1
+    counts = {g: c for g, c in counts.items() if c[1] > 2}
+    often = np.quantile([r for _, r in counts.values()], 0.99)
+    n = len(dict(rows))
+    usual = min(max(float(np.median([t / r for t, r in counts.values() if r >= often])), sum(dict(rows).values()) / n), 1 - 0.5 / n)
+    out = {}
+    for g, (t, r) in counts.items():
+        before = min(0.5, telling[kind(g)] / sum(kind(x) == kind(g) for x in counts))
+        plain = beta(t + usual * scatter, r - t + (1 - usual) * scatter) - beta(usual * scatter, (1 - usual) * scatter)
+        other = log(before) + beta(t + 0.5, r - t + 0.5) - beta(0.5, 0.5)
+        out[g] = (log((t + 0.5) / (r + 1)) - log(usual)) / (1 + exp(min(plain - other, 500)))
+    return out
+
+
+def test_resampling_model_against_plain_version(spark):
+    from anamnesis.llm.resample import fit, grams
+
+    docs, labels, bad = labelled(spark)
+    model = fit(docs, labels)
+    rows = [(r.text, r.doc_id not in bad) for r in docs.collect()]
+    want = plain_model(rows)
+    for text, _ in rows[:100]:
+        assert abs(model.weight(text) - sum(want.get(g, 0.0) for g in set(grams(text).tolist()))) < 1e-3
+    assert model.weight(rows[0][0]) < model.cut < model.weight(rows[1][0]) and model.weight(None) == 0
+
+
+def test_resampling_includes_as_often_as_gumbel_top_k(spark):
+    """The k rows are those of a plain top-k over the same keys, and over many seeds rows are in it as often as plain sampling without replacement has them."""
+    from anamnesis.llm import resample
+
+    rng, w = np.random.default_rng(4), np.array([0.0, 0.0, 1.0, 2.0, 3.0, -2.0, -1.0, 0.5])
+    rows = spark.createDataFrame([(i, s, f"{i} {s}", float(x)) for s in range(400) for i, x in enumerate(w)], "doc_id long, s long, text string, w double")
+    from unittest.mock import patch
+
+    with patch.object(resample, "weights", lambda _spark, _model: lambda _column: F.col("w")):
+        keys = resample.scored(rows, None, temperature=1.0).collect()
+    seen, plain = np.zeros(len(w)), np.zeros(len(w))
+    for s in range(400):
+        top = sorted((r for r in keys if r.s == s), key=lambda r: -r.gumbel)[:3]
+        seen[[r.doc_id for r in top]] += 1
+    for _ in range(20000):
+        plain[rng.choice(len(w), 3, replace=False, p=np.exp(w) / np.exp(w).sum())] += 1
+    assert np.abs(seen / 400 - plain / 20000).max() < 0.09
+    docs, labels, _ = labelled(spark)
+    everything = {r.doc_id: r.gumbel_key for r in resample.resample(docs, labels, keep=10**6, with_text=False).collect()}
+    best = sorted(everything, key=lambda i: -everything[i])[:77]
+    assert {r.doc_id for r in resample.resample(docs, labels, keep=77, with_text=False).collect()} == set(best)
 
 
 def test_kth_largest(spark):
