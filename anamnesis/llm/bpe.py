@@ -1,10 +1,11 @@
 """Operator 7: byte-pair encoding as a streaming transducer with bounded lookahead, and an incremental decoder.
 
-A prefix of a piece has one last token in its encoding, and that token together with the last token of the prefix
-before it decides every longer encoding; so `Transducer` keeps, for each position still open, the last token and
-where it starts. A token is stable once the encodings of the last `lookahead` prefixes all pass through its end:
-no later token can start before those positions, as `lookahead` is the length of the longest token of the merge list.
-Stable tokens leave, and what stays is a window whose size doesn't depend on the text.
+Every piece of a text goes through `Transducer`, which takes bytes and gives tokens once they are stable. The prefixes of a piece have one
+encoding each, a prefix's last token follows on the encoding of a shorter prefix, and no token is longer than `lookahead`, the
+length of the longest token of the merge list. So a token is stable once the encodings of the last `lookahead` prefixes all pass
+through its end: none that follows can start before those. Stable tokens leave; what stays is a window whose size doesn't depend on the
+text, with the last token before it. At the end of a piece the window's tokens are the one row that may all stand side by side. Words that came
+before are looked up, which only saves work; long pieces never are. Ids leave as they come, so memory doesn't grow with a text beyond the text itself.
 
 Whether two tokens may stand side by side is read off the merge list: walking down the right edge of the first and
 the left edge of the second, no merge across the boundary may come before the merges that build the edges.
@@ -26,9 +27,11 @@ from pyspark.sql import functions as F
 
 from anamnesis.llm.common import Memory, small_batches
 
-#: Chunks and pieces that a worker remembers at most per generation, and bytes above which a piece is streamed.
+#: Chunks and pieces that a worker remembers at most per generation, and characters above which a piece isn't remembered but fed in parts.
 REMEMBERED, LONG = 200_000, 256
-BLOCK = 1 << 18
+#: Characters of a block that is cut into chunks at once, and of a part of a long piece.
+BLOCK, STEP = 1 << 18, 1 << 12
+LONG_WORD = re.compile(r"[^ ]{4096}")
 #: Fixed: the split before the merges, white space by its Unicode property.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 
@@ -57,6 +60,10 @@ class Merges:
         self.lookahead = max(map(len, self.ids))
         self.agreed: dict[tuple[int, int], bool] = {}
         self.ids = {t: i for t, i in self.ids.items() if i in single or self.reachable(i)}
+        #: Length of the longest token by its last three bytes.
+        self.longest: dict[bytes, int] = {}
+        for t in self.ids:
+            self.longest[t[-3:]] = max(len(t), self.longest.get(t[-3:], 2))
 
     def reachable(self, token: int) -> bool:
         """Whether the token's own bytes are encoded as this token: its two parts may not stand side by side."""
@@ -100,82 +107,79 @@ class Transducer:
     """Encodes a piece that arrives in parts; emits tokens once they are stable."""
 
     def __init__(self, merges: Merges):
-        self.m, self.open, self.last, self.start = merges, b"", [-1], [0]
+        self.m, self.window = merges, 4 * merges.lookahead
+        #: What is not stable yet, the last token before it (-1: none), and the bytes from which it is looked at again.
+        self.open, self.before, self.until = b"", -1, self.window
 
     def feed(self, data: bytes) -> list[int]:
+        """The tokens that have become stable."""
         out: list[int] = []
-        ids, agree, most = self.m.ids, self.m.agree, self.m.lookahead
-        for at in range(0, len(data), LONG):
-            buffer = self.open = self.open + data[at : at + LONG]
-            last, start = self.last, self.start
-            for i in range(len(last), len(buffer) + 1):
-                for j in range(max(0, i - most), i):
-                    token = ids.get(buffer[j:i])
-                    if token is not None and (last[j] < 0 or agree(last[j], token)):
-                        last.append(token)
-                        start.append(j)
-                        break
-                else:
-                    raise ValueError("the vocabulary has no token for a byte")
-            if len(buffer) > 2 * most:
-                out += self.emit(self.common(len(buffer)))
+        for at in range(0, len(data), self.window):
+            self.open += data[at : at + self.window]
+            if len(self.open) > self.until:
+                out += self.settle()
+                self.until = len(self.open) + self.window
         return out
 
-    def common(self, n: int) -> int:
-        """The last position that the encodings of all prefixes from n - lookahead + 1 on pass through."""
-        ends = {*range(max(0, n - self.m.lookahead + 1), n + 1)}
-        while len(ends) > 1:
-            top = max(ends)
-            ends.remove(top)
-            ends.add(self.start[top])
-        return ends.pop()
-
-    def emit(self, upto: int) -> list[int]:
-        out, at = [], upto
+    def settle(self) -> list[int]:
+        last, start = self.prefixes()
+        ends = {i for i in range(max(0, len(self.open) - self.m.lookahead + 1), len(self.open) + 1) if start[i] >= 0}
+        while len(ends) > 1:  # back from the farthest end, until all encodings have met
+            ends.add(start[max(ends)])
+            ends.remove(max(ends))
+        at = upto = ends.pop()
+        out = []
         while at > 0:
-            out.append(self.last[at])
-            at = self.start[at]
-        if upto:
-            kept = self.last[upto]
-            self.open = self.open[upto:]
-            # What stands before the window is told by its last token; positions before it are no longer starts.
-            self.last, self.start = [kept, *self.last[upto + 1 :]], [0, *(s - upto for s in self.start[upto + 1 :])]
+            out.append(last[at])
+            at = start[at]
+        self.open, self.before = self.open[upto:], out[0] if out else self.before
         return out[::-1]
 
+    def prefixes(self) -> tuple[list[int], list[int]]:
+        """The last token of the encoding of each prefix of the window, and where it starts (None, -1: the encoding of what is left of
+        a prefix that the tokens before the window don't lead to; nothing goes on from there)."""
+        data, ids, agree, longest = self.open, self.m.ids, self.m.agree, self.m.longest
+        last, start = [self.before], [0]
+        for i in range(1, len(data) + 1):
+            for j in range(max(0, i - longest.get(data[max(0, i - 3) : i], 2)), i):
+                token = ids.get(data[j:i])
+                if token is not None and (before := last[j]) is not None and (before < 0 or agree(before, token)):
+                    last.append(token)
+                    start.append(j)
+                    break
+            else:
+                last.append(None)
+                start.append(-1)
+        return last, start
+
     def finish(self) -> list[int]:
-        out = self.emit(len(self.open))
-        self.open, self.last, self.start = b"", [-1], [0]
+        """The tokens of the window, as nothing follows: longest first. Where no token goes on is never tried again, as only one row of tokens leads there."""
+        data, ids, agreed, agree, most = self.open, self.m.ids, self.m.agreed, self.m.agree, self.m.lookahead
+        n, at, out, starts, dead = len(data), 0, [], [], set()
+        end = min(n, most)
+        while at < n:
+            before = out[-1] if out else self.before
+            while end > at:
+                token = ids.get(data[at:end])
+                if token is not None and end not in dead:
+                    if before < 0:
+                        break
+                    fine = agreed.get((before, token))
+                    if agree(before, token) if fine is None else fine:
+                        break
+                end -= 1
+            if end > at:
+                out.append(token)
+                starts.append(at)
+                at, end = end, min(n, end + most)
+            else:
+                dead.add(at)
+                out.pop()
+                at, end = starts.pop(), at - 1
+        self.open, self.before, self.until = b"", -1, self.window
         return out
 
 
-def encode_piece(m: Merges, data: bytes) -> list[int]:
-    """The same for a short piece that is there as a whole: the one row of tokens that may all stand side by side, longest
-    first. A position where no token goes on is never tried again, as only one row of tokens leads to it."""
-    ids, agreed = m.ids, m.agreed
-    n, at, out, ends, dead = len(data), 0, [], [], set()
-    end = min(n, m.lookahead)
-    while at < n:
-        before = out[-1] if out else -1
-        while end > at:
-            token = ids.get(data[at:end])
-            if token is not None and end not in dead:
-                if before < 0:
-                    break
-                fine = agreed.get((before, token))
-                if m.agree(before, token) if fine is None else fine:
-                    break
-            end -= 1
-        if end > at:
-            out.append(token)
-            ends.append(at)
-            at, end = end, min(n, end + m.lookahead)
-        else:
-            dead.add(at)
-            out.pop()
-            at, end = ends.pop(), at - 1
-    return out
-
-
 class Codec:
     """Encodes and decodes texts block by block."""
 
@@ -195,6 +199,7 @@ class Codec:
         self.names = {i: str(i) for i in self.bytes}
         self.pattern = regex.compile(PATTERN)
         self.parts = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
+        self.transducer = Transducer(self.merges)
         self.chunks, self.pieces = Memory(REMEMBERED, "bpe"), Memory(REMEMBERED, "bpe")
 
     @classmethod
@@ -203,18 +208,32 @@ class Codec:
             cls.known[path] = cls(path)
         return cls.known[path]
 
+    def piece(self, text: str) -> list[int]:
+        data = text.encode("utf-8", "surrogatepass")
+        return self.transducer.feed(data) + self.transducer.finish()
+
+    def pieces_of(self, text: str, at: int, end: int) -> Iterator[list[int]]:
+        """Ids of text[at:end], piece by piece; a long piece is fed in parts and never there as a whole."""
+        out: list[int] = []
+        for match in self.pattern.finditer(text, at, end):
+            start, stop = match.span()
+            if stop - start > LONG:
+                yield out
+                for i in range(start, stop, STEP):
+                    yield self.transducer.feed(text[i : min(i + STEP, stop)].encode("utf-8", "surrogatepass"))
+                out = self.transducer.finish()
+                continue
+            p = match.group()
+            if self.pieces.missing({p}):
+                self.pieces.young[p] = self.piece(p)
+            out += self.pieces.young[p]
+            if len(out) > STEP:
+                yield out
+                out = []
+        yield out
+
     def split(self, text: str) -> list[int]:
-        """Ids of a stretch, piece by piece."""
-        found = self.pattern.findall(text)
-        known = self.pieces
-        for p in known.missing(set(found)) if len(found) > 1 or found and found[0] not in known.young else ():
-            data = p.encode("utf-8", "surrogatepass")
-            if len(data) > LONG:
-                t = Transducer(self.merges)
-                known.young[p] = t.feed(data) + t.finish()
-            else:
-                known.young[p] = encode_piece(self.merges, data)
-        return [i for p in found for i in known.young[p]]
+        return [i for some in self.pieces_of(text, 0, len(text)) for i in some]
 
     def stretch(self, text: str) -> list[int]:
         """Ids of a block. Where no white space stands before a blank, each blank starts a chunk of its own."""
@@ -228,8 +247,8 @@ class Codec:
             out += ids
         return out
 
-    def blocks(self, text: str) -> Iterator[str]:
-        """Blocks that start at a blank after something that is no white space."""
+    def blocks(self, text: str) -> Iterator[tuple[int, int]]:
+        """Places of blocks that start at a blank after something that is no white space."""
         at = 0
         while len(text) - at > BLOCK:
             end = text.find(" ", at + BLOCK)
@@ -237,9 +256,9 @@ class Codec:
                 end = text.find(" ", end + 1)
             if end < 0:
                 break
-            yield text[at:end]
+            yield at, end
             at = end
-        yield text[at:]
+        yield at, len(text)
 
     def encode(self, text: str) -> Iterator[list[int]]:
         """Lists of ids, in order."""
@@ -247,8 +266,11 @@ class Codec:
             if part in self.special:
                 yield [self.special[part]]
             elif part:
-                for block in self.blocks(part):
-                    yield self.stretch(block)
+                for at, end in self.blocks(part):
+                    if end - at > 2 * BLOCK or LONG_WORD.search(part, at, end):
+                        yield from self.pieces_of(part, at, end)
+                    else:
+                        yield self.stretch(part[at:end])
 
     def decode(self, ids: Iterator[list[int]]) -> Iterator[str]:
         """Text of the ids as far as its characters are complete; bytes that are no UTF-8 become U+FFFD."""

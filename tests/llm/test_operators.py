@@ -80,7 +80,7 @@ def test_word_encoder_at_marks_after_any_letter():
     from anamnesis.llm.token_shards import WordEncoder
 
     t, e = library(WORD_JSON), WordEncoder.of(WORD_JSON)
-    odd = [c for c in map(chr, range(0xA0, 0x20000)) if not 0xD800 <= ord(c) < 0xE000 and (len(c.lower()) > 1 or len(unicodedata.normalize("NFD", c)) > 1 or unicodedata.combining(c))]
+    odd = [c for c in map(chr, range(0xA0, 0x20000)) if not 0xD800 <= ord(c) < 0xE000 and (len(c.lower()) > 1 or len(unicodedata.normalize("NFD", c)) > 1 or unicodedata.combining(c) or ord(c) < 0x600)]
     texts = [f"{c}. a{c}, {c}x!" for c in odd]
     for s, want in zip(texts, t.encode_batch(texts, add_special_tokens=False), strict=True):
         assert np.frombuffer(b"".join(e.encode(s)), "<u2").tolist() == want.ids, repr(s)
@@ -154,28 +154,68 @@ def test_surrogates_keep_type_format_and_identity(spark):
     assert sum(int(d) if i % 2 else sum(divmod(int(d) * 2, 10)) for i, d in enumerate(c[5])) % 10 == 0
     m = re.fullmatch(r'host (\d+\.\d+\.\d+\.\d+), key token = "([0-9a-f]{40})" end', rows[4].text)
     assert m and m[1] != "10.20.30.40" and all(0 < int(x) < 255 for x in m[1].split(".")) and m[2][:5] != "9c8b4"
-    from anamnesis.llm.pii import NAMES
-
     names = re.fullmatch(r"Frau (\w+) met Herr (\w+); (Mrs \w+) met (Mrs \w+)", rows[5].text)
-    assert names and names[1] in NAMES["latin", "f"] and names[2] in NAMES["latin", "m"] and names[3] == names[4]
+    assert names and names[1] not in ("Müller", names[2]) and names[2] != "Weber" and names[3] == names[4] != "Mrs Smith"
     assert rows[6].text == PRIVATE[5][1] and rows[7].text is None and rows[8].text == ""
-    assert re.match(r"Г-жа (\w+)", rows[9].text)[1] in NAMES["cyrillic", "f"]
+    assert re.fullmatch(r"Г-жа [А-Я][а-я]+(?:ова|ина) пришла", rows[9].text) and "Иванова" not in rows[9].text
     assert replace(nothing(spark), "k").count() == 0
 
 
-def test_surrogates_stay_distinct(spark):
-    """Two hundred names share twenty first names of a pool with a second part; short numbers collide and must part again."""
-    from anamnesis.llm.pii import attempts, canonical, entities, replace, surrogate
+def surrogate_map(found, key="k"):
+    """(kind, form) -> surrogate, of all entities of the corpus."""
+    from anamnesis.llm.pii import attempts, replacement
 
-    names = ["Mr " + "".join(p).capitalize() + " " + "".join(q).capitalize() for p, q in itertools.product(itertools.product("abcd", "eiou"), itertools.product("xyz", "a"))]
-    docs = documents(spark, [(i, f"{n} said so", "en") for i, n in enumerate(names)])
-    found = entities(docs)
-    tried = attempts(found, "k")
+    tried = attempts(found, key)
     state = found.withColumn("attempt", F.lit(0)) if tried is None else found.join(tried, ["kind", "form"], "left").na.fill(0, ["attempt"])
-    out = state.select(canonical(surrogate(F.col("example"), F.col("kind"), F.col("form"), F.col("attempt"), "k"), F.col("kind")).alias("o"), "form").collect()
-    assert len({r.o for r in out}) == len(out) == len(names)
-    assert not {r.o for r in out} & {r.form for r in out}
-    assert len({r.text for r in replace(docs, "k").collect()}) == len(names)
+    return {(r.kind, r.form): r.o for r in state.select("kind", "form", replacement(F.col("kind"), F.col("form"), F.col("attempt"), key).alias("o")).collect()}
+
+
+@pytest.mark.parametrize("words", [1, 2])
+def test_surrogates_of_ten_thousand_names(spark, words):
+    from anamnesis.llm.pii import entities, replace
+
+    parts = ["".join(p).capitalize() for p in itertools.product("bcdfgklmnp", "aeiou", "rstvz", "aeiou", "bdn", "ai")][:7000]
+    names = [f"{t} {n}" if words == 1 else f"{t} {n} {m}" for t, (n, m) in zip(itertools.cycle(["Mr", "Mrs", "Dr."]), zip(parts, reversed(parts), strict=True))]  # noqa: B905
+    docs = documents(spark, [(i, f"{n} said so", "en") for i, n in enumerate(names)])
+    out = surrogate_map(entities(docs))
+    assert len({(k, o) for (k, _), o in out.items()}) == len(out) and not {(k, o) for (k, _), o in out.items()} & set(out)
+    texts = [r.text for r in replace(docs, "k").collect()]
+    assert len(set(texts)) == len(names) and not set(texts) & {f"{n} said so" for n in names}
+
+
+def test_surrogates_of_crowded_formats(spark):
+    """Few digits leave little room: collisions are moved on until none is left, or end without an error where there is no room."""
+    from anamnesis.llm.pii import entities, replace
+
+    docs = documents(spark, [(i, f"ring +4{i % 2 + 4} {10 + i % 90} {10 + i // 90 * 7}", "en") for i in range(800)])
+    out = surrogate_map(entities(docs))
+    assert len(set(out.values())) == len(out) == 800 and not set(out.values()) & {f for _, f in out}
+    full = documents(spark, [(i, f"ring +1 {i // 100:02d} {i % 100:02d}", "en") for i in range(10_000)])
+    assert replace(full, "k").count() == 10_000
+
+
+def test_surrogates_are_coreferent(spark):
+    """One number, one person: the same surrogate in every layout."""
+    from anamnesis.llm.pii import replace
+
+    texts = [
+        "+49 30 1234567", "+4930 1234567", "+49-30-1234567", "+49 (30) 123-4567",
+        "+1 (476) 555-6291", "(476) 555-6291", "476-555-6291", "+1.476.555.6291",
+        "Mr John Smith came. Mr Smith left; John Smith slept, MR. Johnsmith", "Mr. John Smith", "Mr JOHN SMITH", "Mrs Smith",
+        "Frau Anna Müller-Lüdenscheidt und Anna Müller-Lüdenscheidt", "Dr. Miller met Prof. Dr. Li and Dr Anna-Maria O'Neill", "John Smith stays in clear without a title",
+    ]
+    out = [r.text for r in sorted(replace(documents(spark, [(i, t, "en") for i, t in enumerate(texts)]), "k").collect(), key=lambda r: r.doc_id)]
+    digits = [re.sub(r"\D", "", t) for t in out]
+    assert len(set(digits[:4])) == 1 and digits[0].startswith("49") and digits[0] != "49301234567"
+    assert [re.sub(r"\d", "d", t) for t in out[:8]] == [re.sub(r"\d", "d", t) for t in texts[:8]]
+    assert digits[4] == digits[7] and digits[4][1:] == digits[5] == digits[6] and digits[4][0] == "1"
+    first, last = re.match(r"Mr (\w+) (\w+) came", out[8]).groups()
+    assert out[8].startswith(f"Mr {first} {last} came. Mr {last} left; {first} {last} slept, ") and {first, last}.isdisjoint({"John", "Smith"})
+    assert out[9:12] == [f"Mr. {first} {last}", f"Mr {first.upper()} {last.upper()}", f"Mrs {last}"]
+    a, b = re.fullmatch(r"Frau (\w+ \w+-\w+) und (\w+ \w+-\w+)", out[12]).groups()
+    assert a == b and a[-1] != "Lüdenscheidt" and all(w[0].isupper() and w[1:].islower() for w in re.split(r"[ -]", a)) and re.search("(a|ia|ina|ella) ", a)
+    assert re.fullmatch(r"Dr\. [A-Z][a-z]+ met Prof\. Dr\. [A-Z][a-z]+ and Dr [A-Z][a-z]+-[A-Z][a-z]+ [A-Z][a-z]+'[A-Z][a-z]+", out[13]) and not re.search("Miller|Li |Anna|Neill", out[13])
+    assert out[14] == texts[14]
 
 
 # 4: resampling -------------------------------------------------------------------------------------------------------
@@ -400,7 +440,7 @@ def test_near_duplicates_against_shingles(spark, hot, monkeypatch):
     docs = documents(spark, rows + [rows[0], (500, None, None), (501, "", None), (None, rows[5][1], "en")])
     group = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs).where("doc_id is not null").collect()}
     want = plain_components([i for i, _, _ in rows], lambda a, b: similar(rows[a][1], rows[b][1]) >= 0.8)
-    assert sum(group[i] != want[i] for i in want) <= 2
+    assert sum(group[i] != want[i] for i in want) == 0
     assert group[500] == group[501] == 500
     kept = simhash.drop_near_duplicates(docs)
     assert kept.columns == docs.columns and len(kept.collect()) == len({*(group[i] for i in want), 500})
@@ -506,14 +546,36 @@ def test_bpe_streams_with_a_bounded_window():
 
     m = Codec.of(BYTE_JSON).merges
     rnd, whole, parts, t, most = random.Random(6), b"", [], Transducer(m), 0
-    for _ in range(300):
-        data = bytes(rnd.choice(b"abcdeing") for _ in range(rnd.randint(1, 97)))
+    for n in range(600):
+        data = bytes(rnd.choice(b"abcdeing" if n % 200 < 100 else b"a-") for _ in range(rnd.randint(1, 97)))
         whole += data
         parts += t.feed(data)
         most = max(most, len(t.open))
     parts += t.finish()
-    assert b"".join(m.bytes[i] for i in parts) == whole and most < 8 * m.lookahead
+    assert b"".join(m.bytes[i] for i in parts) == whole and most <= 10 * m.lookahead
     assert all(m.agree(a, b) for a, b in itertools.pairwise(parts))
+    once = Transducer(m)
+    assert once.feed(whole) + once.finish() == parts
+
+
+def test_bpe_memory_does_not_grow_with_the_text():
+    """A text without a blank, of one piece and of many: what is held besides it stays small."""
+    import tracemalloc
+
+    from anamnesis.llm.bpe import Codec
+
+    c = Codec.of(BYTE_JSON)
+    for unit in ("ab", "a1-"):
+        peaks = []
+        for size in (1 << 14, 1 << 17):
+            text = unit * (size // len(unit))
+            sum(map(len, c.encode(text[:5000])))
+            tracemalloc.start()
+            total = sum(map(len, c.encode(text)))
+            peaks.append(tracemalloc.get_traced_memory()[1])
+            tracemalloc.stop()
+            assert total > size / 20
+        assert peaks[1] < peaks[0] + len(text) + (1 << 17)
 
 
 def test_bpe_decodes_broken_bytes():
