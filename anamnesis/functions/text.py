@@ -38,8 +38,10 @@ def chunk_starts(n: Column, size: int, overlap: int) -> Column:
 
 def chunks(text: Column, size: int = CHUNK_WORDS, overlap: int = OVERLAP_WORDS) -> Column:
     """Overlapping chunks of words; an empty text has one empty chunk."""
-    w, size = words(text), max(16, size)
-    return F.transform(chunk_starts(F.size(w), size, overlap), lambda s: F.array_join(F.slice(w, s + 1, F.lit(size)), " "))
+    size = max(16, size)
+    # The words stand in an array of one, so that they are split once and not once a chunk.
+    cut = F.transform(F.array(words(text)), lambda w: F.transform(chunk_starts(F.size(w), size, overlap), lambda s: F.array_join(F.slice(w, s + 1, F.lit(size)), " ")))
+    return cut[0]
 
 
 def ends(token: Column, suffix: str, least: int) -> Column:

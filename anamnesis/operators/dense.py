@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -24,17 +26,19 @@ def dense_candidates(vectors: DataFrame, questions: DataFrame, k: int, key: str,
     """(question, doc, dense_score, rank): the k nearest rows of each question, exactly. Ties go to the smaller key.
 
     Within a scope the questions meet its rows by an equi-join. Without one, a stated set of questions is matched
-    against all rows: they are broadcast if they are at most `most`, and each task keeps only its own k best per
-    question before anything is shuffled."""
+    against all rows, in blocks of about `most` questions that are broadcast one after the other; each task keeps only its own
+    k best per question before anything is shuffled."""
     asked = questions.select(*(scope or []), F.col(question_key).alias("question"), F.col(question_vector).alias("qv"))
     rows = vectors.select(*(scope or []), F.col(key).alias("doc"), F.col(vector).alias("v"))
     if scope:
-        pairs = rows.join(asked, scope)
-    else:
-        n = asked.limit(most + 1).count()
-        if n > most:
-            raise ValueError(f"more than {most} questions: ask in blocks, or use the approximate search")
-        pairs = rows.crossJoin(F.broadcast(asked))
-    scored = pairs.select(*(scope or []), "question", "doc", score(squared_distance(F.col("qv"), F.col("v"))).alias("dense_score"))
+        return nearest(rows.join(asked, scope), scope, k)
+    blocks = max(1, -(-asked.count() // most))
+    block = F.pmod(F.xxhash64("question"), F.lit(blocks))
+    parts = [nearest(rows.crossJoin(F.broadcast(asked.where(block == i) if blocks > 1 else asked)), [], k) for i in range(blocks)]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def nearest(pairs: DataFrame, scope: list[str], k: int) -> DataFrame:
+    scored = pairs.select(*scope, "question", "doc", score(squared_distance(F.col("qv"), F.col("v"))).alias("dense_score"))
     rank = F.row_number().over(W.partitionBy("question").orderBy(F.desc("dense_score"), "doc"))
     return scored.withColumn("rank", rank).where(F.col("rank") <= k)

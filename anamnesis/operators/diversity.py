@@ -56,3 +56,29 @@ def session_neighbours(turns: DataFrame, anchors: DataFrame, session: str, turn:
     around = placed.join(a, [session, turn]).select(session, F.explode(F.sequence(F.lit(-radius), F.lit(radius))).alias("off"), "pos").select(session, F.abs("off").alias("distance"), (F.col("pos") + F.col("off")).alias("pos"))
     near = around.groupBy(session, "pos").agg(F.min("distance").alias("distance"))
     return placed.join(near, [session, "pos"]).join(a, [session, turn], "left_anti").select(session, turn, "distance", (0.35 / F.greatest(F.lit(1), "distance")).alias("score"))
+
+
+# Words after `before` or `after` that name no event.
+VAGUE = ["day", "event", "had", "night", "time"]
+
+
+def reference_tokens(question: Column) -> Column:
+    """The event that a question's `before` or `after` names."""
+    return F.array_except(T.content_tokens(F.regexp_extract(T.some(question), r"(?i)\b(?:before|after)\b(.+)$", 1)), F.array(*map(F.lit, VAGUE)))
+
+
+def neighbour_priority(question: Column, quote: Column, role: Column, score: Column) -> Column:
+    """(match, timed, overlap, user, score), largest first: whether the quote has the event that the question refers to, and that with a time, its words in common, its role."""
+    from anamnesis.functions import spans, temporal
+
+    wanted, have = reference_tokens(question), T.content_tokens(quote)
+    match = (F.size(wanted) > 0) & (F.size(F.array_except(wanted, have)) == 0)
+    clause = F.when(match, spans.clause_for_tokens(quote, wanted)).otherwise(F.lit(""))
+    timed = temporal.weekday(clause).isNotNull() | clause.rlike(r"(?i)\b(?:today|tomorrow|yesterday|\d{4}[-/]\d{1,2}[-/]\d{1,2})\b")
+    return F.struct(match.cast("int").alias("match"), timed.cast("int").alias("timed"), F.size(F.array_intersect(T.content_tokens(question), have)).alias("overlap"), (T.dedup_key(role) == "user").cast("int").alias("user"), score.cast("double").alias("score"))
+
+
+def neighbours_by_priority(rows: DataFrame, scope: str, turn: str, limit: int) -> DataFrame:
+    """rows (scope, turn, qtext, quote, role, score) by priority, one per turn, with rank, `limit` per scope."""
+    named = rows.withColumn("priority", neighbour_priority(F.col("qtext"), F.col("quote"), F.col("role"), F.col("score")))
+    return dedup_top(named, [scope], F.col(turn).cast("string"), [F.desc("priority"), turn], limit)

@@ -84,3 +84,56 @@ def grounded_triples(lines: DataFrame, quotes: DataFrame, most: int = 6) -> Data
     rows = rows.where("head <> '' AND relation <> '' AND tail <> ''").join(quotes, "evidence_id").where(grounded(F.col("quote"), F.col("head")) & grounded(F.col("quote"), F.col("tail")))
     first = rows.groupBy("evidence_id", "head", "relation", "tail").agg(F.min("line_no").alias("line_no"))
     return first.withColumn("n", F.row_number().over(W.partitionBy("evidence_id").orderBy("line_no"))).where(F.col("n") <= most)
+
+
+# Entities that are no facts, and words of a question that name no action.
+GENERIC_ENTITIES = ["advice", "answer", "information", "recommendation", "speaker", "tips"]
+COUNTING_WORDS = ["different", "many", "number", "total"]
+
+
+def generic_entity(value: Column) -> Column:
+    return T.dedup_key(value).isin([*T.GENERIC_VALUES, *GENERIC_ENTITIES])
+
+
+def count_facts(extractions: DataFrame, plans: DataFrame, most: int = 30) -> DataFrame:
+    """(question, candidate_id, turn, session, head, relation, tail, entity, target_overlap, action_overlap, score, rank): triples that the user
+    stated and that have words of what is counted or of what is done with it.
+
+    extractions: question, seq, turn, session, role, speaker, quote, method, triples; plans: question, text, target_tokens. The
+    entity is the tail, or the head if the tail is generic; of a batch extraction it must stand in the quote. Equal triples of a turn count once."""
+    q = plans.select("question", T.content_tokens(F.col("text")).alias("q"), F.coalesce("target_tokens", F.array().cast("array<string>")).alias("target"))
+    q = q.withColumn("action", F.array_except(F.array_except("q", "target"), F.array(*map(F.lit, COUNTING_WORDS))))
+    share = lambda a, b: F.size(F.array_intersect(a, b))
+    rows = extractions.where(T.dedup_key(F.coalesce(F.nullif("role", F.lit("")), "speaker")) == "user").join(q, "question")
+    rows = rows.withColumn("said", share("q", T.content_tokens(F.col("quote")))).where((F.size("q") == 0) | (F.col("said") > 0))
+    each = rows.select("question", "seq", "turn", "session", "quote", "method", "q", "target", "action", "said", F.posexplode("triples").alias("pos", "t"))
+    each = each.select("*", *(F.trim(F.col("t")[c]).alias(c) for c in ("head", "relation", "tail"))).withColumn("triple", F.concat_ws(" ", "head", "relation", "tail"))
+    words = T.content_tokens(F.col("triple"))
+    each = each.withColumns({"target_overlap": share("target", words), "action_overlap": share("action", words)}).where("target_overlap > 0 OR action_overlap > 0")
+    each = each.withColumn("entity", F.when(generic_entity(F.col("tail")) & ~generic_entity(F.col("head")), F.col("head")).otherwise(F.col("tail"))).where(~generic_entity(F.col("entity")))
+    each = each.where(~F.coalesce(F.col("method") == "selected_evidence_batch", F.lit(False)) | T.holds_value(F.col("quote"), F.col("entity")))
+    once = each.groupBy("question", "turn", T.dedup_key(F.col("triple")).alias("k1"), T.dedup_key(F.col("entity")).alias("k2")).agg(F.min(F.struct("seq", "pos", "session", "head", "relation", "tail", "entity", "target_overlap", "action_overlap", "said")).alias("x"))
+    out = once.select("question", "turn", "x.*").withColumn("score", 2.0 * F.col("target_overlap") + F.col("action_overlap") + 0.2 * F.col("said"))
+    out = out.withColumn("rank", F.row_number().over(W.partitionBy("question").orderBy(F.desc("score"), "seq", "pos"))).where(F.col("rank") <= most)
+    return out.select("question", F.concat(F.lit("C"), F.col("rank").cast("string")).alias("candidate_id"), "turn", "session", "head", "relation", "tail", "entity", "target_overlap", "action_overlap", "score", "rank")
+
+
+def selections(lines: DataFrame, candidates: DataFrame, prefix: str) -> DataFrame:
+    """candidates that a model's lines `PREFIX | C3 | name` name, with canonical_identity; the first line of each counts, unknown ids don't.
+
+    lines: question, line_no, line; candidates: question, candidate_id, ..."""
+    pattern = rf"(?i)^\Q{prefix}\E\s*\|\s*([A-Z]\d+)(?:\s*\|\s*(.+?))?\s*$"
+    bare = F.regexp_replace("line", r"^\s+|\s+$", "")
+    named = F.regexp_replace(F.regexp_extract(bare, pattern, 2), r"""^[ .,:;"']+|[ .,:;"']+$""", "")
+    rows = lines.where(bare.rlike(pattern)).select("question", F.upper(F.regexp_extract(bare, pattern, 1)).alias("candidate_id"), "line_no", named.alias("canonical_identity"))
+    first = rows.groupBy("question", "candidate_id").agg(F.min_by("canonical_identity", "line_no").alias("canonical_identity"), F.min("line_no").alias("line_no"))
+    return candidates.join(first, ["question", "candidate_id"])
+
+
+def execute_plans(facts: DataFrame, adjacent: DataFrame, plans: DataFrame) -> DataFrame:
+    """(question, status, answer, n_facts, n_sessions) of every plan: sums and counts over facts, temporal joins over adjacent events, nothing for the others."""
+    joined = plans.where("operation = 'temporal_join'").select("question").join(adjacent, "question", "left")
+    found = F.col("value").isNotNull()
+    temporal_branch = joined.select("question", F.when(found, "complete").otherwise("insufficient_evidence").alias("status"), F.col("value").cast("string").alias("answer"), F.coalesce("n", F.lit(0)).cast("long").alias("n_facts"), F.lit(None).cast("long").alias("n_sessions"))
+    measured = execute(facts, plans.where("operation <> 'temporal_join'")).select("question", "status", "answer", "n_facts", "n_sessions")
+    return measured.unionByName(temporal_branch)

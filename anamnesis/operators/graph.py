@@ -137,3 +137,43 @@ def link_entities(questions: DataFrame, aliases: DataFrame) -> DataFrame:
     runs = questions.select("question", words.alias("w")).select("question", "w", F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("w")))).alias("at"), F.lit(longest).alias("n"))
     runs = runs.where(F.size("w") > 0).select("question", F.explode(F.transform(F.sequence(F.lit(1), F.least(F.col("n"), F.size("w") - F.col("at") + 1)), lambda k: F.array_join(F.slice("w", F.col("at"), k), " "))).alias("alias_key"))
     return runs.distinct().join(aliases, "alias_key").select("question", "entity_id", "alias_key")
+
+
+def provenance(turn: Column, session: Column, role: Column, speaker: Column, stamp: Column, text: Column, kind: str, quote: Column | None = None, confidence: float = 0.8) -> Column:
+    """Where a fact comes from; without a quote of its own it is the turn's text, without a turn there are no turn ids and the time is now."""
+    own = T.some(text) if quote is None else F.coalesce(quote, T.some(text))
+    ids = F.when(turn.isNotNull(), F.array(turn)).otherwise(F.array().cast("array<long>"))
+    return F.struct(session.alias("session_id"), ids.alias("source_turn_ids"), role.alias("role"), speaker.alias("speaker"), F.coalesce(stamp.cast("string"), F.current_timestamp().cast("string")).alias("timestamp"), F.lit(kind).alias("source_type"), own.alias("source_quote"), F.lit(confidence).alias("confidence"))
+
+
+def edge_labels(edges: DataFrame) -> DataFrame:
+    """(head, tail, label): the relations of active edges between two nodes, in order. edges: head, tail, relation, status, edge_seq."""
+    active = edges.where("status = 'active'").groupBy("head", "tail").agg(F.array_sort(F.collect_list(F.struct("edge_seq", "relation"))).alias("all"))
+    return active.select("head", "tail", F.array_join(F.transform("all", lambda e: e["relation"]), ", ").alias("label"))
+
+
+def triple_lines(lines: DataFrame) -> DataFrame:
+    """lines with head, relation, tail of `a | b | c` lines: three fields, list marks and labels stripped, none empty. lines: line, ..."""
+    part = F.transform(F.split("line", r"\|"), lambda x: F.trim(F.regexp_replace(F.trim(x), r"(?i)^(?:[-*]\s*|\d+[.)]\s*)?(?:(?:entity|head|subject|relation(?:ship)?|tail|object)\s*\d*\s*:\s*)?", "")))
+    rows = lines.withColumn("part", part).where((F.size("part") == 3) & F.forall("part", lambda x: x != ""))
+    return rows.select(*lines.columns, *(F.get("part", F.lit(i)).alias(n) for i, n in enumerate(("head", "relation", "tail")))).drop("part")
+
+
+def candidate_turns(memories: DataFrame, turns: DataFrame, most: int) -> DataFrame:
+    """(question, n, turn columns, quote): the turns from which facts are extracted, best memories first; one per turn and quote, `most` per question.
+
+    memories: question, rank, source_turn_ids, source_quote; turns: turn_id, text, ... A memory whose turn is not there is left out."""
+    named = memories.select("question", "rank", F.get("source_turn_ids", F.lit(0)).alias("turn_id"), "source_quote").join(turns, "turn_id")
+    named = named.withColumn("quote", F.coalesce(F.nullif("source_quote", F.lit("")), "text")).drop("source_quote")
+    first = F.row_number().over(W.partitionBy("question", "turn_id", "quote").orderBy("rank"))
+    once = named.withColumn("first", first).where("first = 1").drop("first")
+    return once.withColumn("n", F.row_number().over(W.partitionBy("question").orderBy("rank", "turn_id"))).where(F.col("n") <= most).drop("rank")
+
+
+def traversed(questions: DataFrame, aliases: DataFrame, edges: DataFrame, depth: int = 2, most: int = 12) -> DataFrame:
+    """(question, rank, line): the edges around the entities that a question names, as lines of evidence. questions: question, text; edges as in bounded_search."""
+    starts = link_entities(questions, aliases).select("question", F.col("entity_id").alias("node")).distinct()
+    best = evidence(bounded_search(starts, edges, depth), F.array().cast("array<string>"), most)
+    out = F.col("direction") == "out"
+    step = F.concat("from_node", F.when(out, F.lit(" -[")).otherwise(F.lit(" <-[")), "relation", F.when(out, F.lit("]-> ")).otherwise(F.lit("]- ")), "to_node")
+    return best.select("question", "rank", step.alias("line"))

@@ -33,15 +33,19 @@ def bm25(docs: DataFrame, questions: DataFrame, doc_key: str, doc_text: str, que
     """(question, doc, score) of every document that shares a token with the question.
 
     Only postings of tokens that some question has leave their document's row: the explode is cut by the join on the
-    question vocabulary before anything is shuffled by document."""
+    question vocabulary before anything is shuffled by document. A token of its own in each document carries the statistics of
+    the corpus; counts, frequencies and statistics all read every column of one aggregate, so texts are read and tokenised once."""
     own = [scope] if scope else []
+    every = F.lit("\x00")
     tokens = tokenised(docs, doc_key, doc_text, scope)
     asked = questions.select(*own, F.col(question_key).alias("question"), F.explode(F.array_distinct(T.retrieval_tokens(F.col(question_text)))).alias("token"))
-    vocabulary = asked.select(*own, "token").distinct()
-    postings = tokens.select(*own, "doc", "doc_len", F.explode("tokens").alias("token")).join(vocabulary, [*own, "token"], "left_semi")
+    vocabulary = asked.select("token").unionAll(asked.sparkSession.range(1).select(every.alias("token"))).distinct()
+    postings = tokens.select(*own, "doc", "doc_len", F.explode(F.concat("tokens", F.array(every))).alias("token")).join(vocabulary, "token", "left_semi")
     tf = postings.groupBy(*own, "doc", "doc_len", "token").agg(F.count("*").alias("tf"))
-    df = tf.groupBy(*own, "token").agg(F.count("*").alias("df"))
-    stats = corpus_stats(tokens, scope)
+    read = F.col("doc").isNull() | (F.col("doc_len") + F.col("tf") > 0)  # always true: no column is pruned away before the exchange
+    df = tf.groupBy(*own, "token").agg(F.count_if(read).alias("df"))
+    here = read & (F.col("token") == every)
+    stats = tf.groupBy(*own).agg(F.sum(F.when(here, F.col("tf"))).alias("n_docs"), F.sum(F.when(here, F.col("doc_len") * F.col("tf"))).alias("total_len"))
     met = tf.join(df, [*own, "token"]).join(asked, [*own, "token"])
     met = met.join(stats, own) if own else met.crossJoin(F.broadcast(stats))  # stats of the whole corpus are one row
     n, d = F.col("n_docs").cast("double"), F.col("df").cast("double")

@@ -65,3 +65,10 @@ def judge_accuracy(judged: DataFrame, kind: str, label: str, abstains: Column) -
     """One row: micro accuracy, the mean of the types' accuracies, accuracy on abstention questions, the count."""
     per = judged.groupBy(kind).agg(F.avg(F.col(label).cast("double")).alias("a"), F.sum(F.col(label).cast("long")).alias("right"), F.count("*").alias("n"), F.sum(F.when(abstains, F.col(label).cast("long"))).alias("abs_right"), F.sum(abstains.cast("long")).alias("abs_n"))
     return per.agg((F.sum("right") / F.sum("n")).alias("overall"), F.avg("a").alias("task_averaged"), (F.sum("abs_right") / F.nullif(F.sum("abs_n"), F.lit(0))).alias("abstention"), F.sum("n").alias("n"))
+
+
+def judge_summary(results: DataFrame) -> DataFrame:
+    """One row: processed, failures, total_judge_seconds, avg_judge_seconds. results: elapsed_seconds, failed; seconds that are not there count as none."""
+    seconds = F.coalesce(F.sum(F.coalesce("elapsed_seconds", F.lit(0.0))), F.lit(0.0))
+    average = F.when(F.count("*") > 0, seconds / F.count("*")).otherwise(0.0)
+    return results.agg(F.count("*").alias("processed"), F.count_if(F.coalesce("failed", F.lit(False))).alias("failures"), seconds.alias("total_judge_seconds"), average.alias("avg_judge_seconds"))

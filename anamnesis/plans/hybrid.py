@@ -18,12 +18,15 @@ def lexical_search(docs: DataFrame, questions: DataFrame, doc: str, text: str, q
     return diversity.dedup_top(named, ["question"], T.dedup_key(F.col("text")), [F.desc("lexical_score"), "doc"], k)
 
 
-def hybrid_search(lexical_leg: DataFrame, dense_leg: DataFrame, graph_leg: DataFrame | None, docs: DataFrame, questions: DataFrame, k: int, least: float) -> DataFrame:
+def hybrid_search(lexical_leg: DataFrame, dense_leg: DataFrame, graph_leg: DataFrame | None, docs: DataFrame, questions: DataFrame, k: int, least: float, blocked: DataFrame | None = None) -> DataFrame:
     """(question, doc, hybrid, rerank, score, rank): fused candidates, reranked by the words that question and text share.
 
-    docs: doc, text; questions: question, qtext. Filters belong between the legs and this step: scores are normalised and
+    docs: doc, text; questions: question, qtext; blocked: (question, doc) that a question may not use, by its filters or as its own turns: they go
+    after candidates were made, so they take their places among these. Other filters belong between the legs and this step: scores are normalised and
     candidates cut before anything is filtered."""
     fused = fusion.candidate_union(dense_leg, lexical_leg, graph_leg).withColumn("hybrid", fusion.hybrid_score()).where("hybrid > 0")
+    if blocked is not None:
+        fused = fused.join(blocked, ["question", "doc"], "left_anti")
     none = F.lit(None).cast("string")
     named = docs.join(fused.select("doc").distinct(), "doc", "left_semi").select("doc", "text", fusion.rerank_tokens(F.col("text"), none, none).alias("m"))
     rows = fused.join(named, "doc").join(questions.select("question", F.array_distinct(T.retrieval_tokens(F.col("qtext"))).alias("q")), "question")

@@ -652,3 +652,118 @@ def graph_evidence(spark, sf_dir):
     starts = table(spark, sf_dir, "region").select(F.col("r_regionkey").alias("question"), c("r", "r_regionkey").alias("node"))
     return graph.evidence(graph.bounded_search(starts, edges, 2), F.array(F.lit("live in"))).select("question", "edge_id", "depth", "score", "rank")
 
+
+
+# Evidence, candidates and runs ---------------------------------------------------------------------------------------
+
+
+@query("SELECT o_custkey AS head, o_orderpriority AS tail, string_agg(o_orderstatus, ', ' ORDER BY o_orderkey) AS label FROM orders WHERE o_orderstatus <> 'F' GROUP BY 1, 2")
+def edge_labels(spark, sf_dir):
+    """Order states between customers and priorities, closed ones left out."""
+    edges = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("head"), F.col("o_orderpriority").alias("tail"), F.col("o_orderkey").alias("edge_seq"), F.col("o_orderstatus").alias("relation"), F.when(F.col("o_orderstatus") == "F", "superseded").otherwise("active").alias("status"))
+    return graph.edge_labels(edges)
+
+
+@query(
+    """WITH r AS (SELECT conv_id, turn, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS n FROM conversations WHERE text IS NOT NULL)
+SELECT conv_id AS question, CAST(n AS INTEGER) AS n, turn AS turn_id, text AS quote FROM r WHERE n <= 3"""
+)
+def candidate_turns(spark, sf_dir):
+    """The last turns of each conversation as those that facts are extracted from; turn numbers are made unique by their conversation."""
+    turns = table(spark, sf_dir, "conversations").where("text IS NOT NULL")
+    key = F.col("conv_id") * 1_000_000 + F.col("turn")
+    memories = turns.select(F.col("conv_id").alias("question"), (-F.col("turn")).alias("rank"), F.array(key).alias("source_turn_ids"), F.lit(None).cast("string").alias("source_quote"))
+    twice = memories.unionByName(memories)
+    found = graph.candidate_turns(twice, turns.select(key.alias("turn_id"), "text"), 3)
+    return found.select("question", "n", F.pmod("turn_id", F.lit(1_000_000)).alias("turn_id"), "quote")
+
+
+@query(
+    f"""WITH k AS (SELECT conv_id, turn, role, text, {sql_key('text')} AS key FROM conversations WHERE trim(coalesce(text, '')) <> ''),
+f AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn // 2, key ORDER BY turn) AS first FROM k)
+SELECT conv_id, 'E' || row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS evidence_id, turn // 2 AS source_turn_id, role AS source_role, text AS source_quote FROM f WHERE first = 1"""
+)
+def evidence_records(spark, sf_dir):
+    """Turns as selected evidence, two numbers to a turn, so that repeated quotes meet."""
+    rows = table(spark, sf_dir, "conversations")
+    memories = rows.select("conv_id", "turn", F.array(F.floor(F.col("turn") / 2)).alias("source_turn_ids"), F.lit(None).cast("string").alias("source_session_id"), "role", F.lit(None).cast("string").alias("speaker"), F.lit(None).cast("string").alias("timestamp"), F.lit("").alias("source_quote"), "text")
+    return packing.evidence_records(memories, "conv_id", "turn").select("conv_id", "evidence_id", "source_turn_id", "source_role", "source_quote")
+
+
+@query(
+    """WITH l AS (SELECT user_id, event_id, CASE event_id % 3 WHEN 0 THEN 'count | c' || event_id % 7 || ' | the ' || event_type || '. ' WHEN 1 THEN '  COUNT|C' || event_id % 7 || ' ' ELSE 'COUNT | x' END AS line FROM events),
+m AS (SELECT user_id, event_id, upper(regexp_extract(line, '(?i)^\\s*count\\s*\\|\\s*([A-Z]\\d+)', 1)) AS id, trim(regexp_extract(line, '(?i)^\\s*count\\s*\\|\\s*[A-Z]\\d+\\s*\\|\\s*(.+?)\\s*$', 1), ' .,:;"''') AS name FROM l),
+f AS (SELECT user_id AS question, id AS candidate_id, arg_min(name, event_id) AS canonical_identity FROM m WHERE id <> '' GROUP BY 1, 2)
+SELECT question, candidate_id, canonical_identity FROM f WHERE candidate_id IN ('C1', 'C2', 'C3', 'C4')"""
+)
+def selections(spark, sf_dir):
+    """Lines made of events, which name some of four candidates of each user."""
+    events = table(spark, sf_dir, "events")
+    no, three = (F.col("event_id") % 7).cast("string"), F.col("event_id") % 3
+    line = F.when(three == 0, F.concat(F.lit("count | c"), no, F.lit(" | the "), "event_type", F.lit(". "))).when(three == 1, F.concat(F.lit("  COUNT|C"), no, F.lit(" "))).otherwise("COUNT | x")
+    lines = events.select(F.col("user_id").alias("question"), F.col("event_id").alias("line_no"), line.alias("line"))
+    known = events.select(F.col("user_id").alias("question")).distinct().select("question", F.explode(F.array(*map(F.lit, ("C1", "C2", "C3", "C4")))).alias("candidate_id"))
+    return facts.selections(lines, known, "COUNT").select("question", "candidate_id", "canonical_identity")
+
+
+@query("SELECT count(*) AS processed, count(*) FILTER (WHERE toxic = 1) AS failures, sum(doc_id % 7 / 4.0) AS total_judge_seconds, sum(doc_id % 7 / 4.0) / count(*) AS avg_judge_seconds FROM labels")
+def judge_summary(spark, sf_dir):
+    """Labels as judged rows: seconds from the id, failures where toxic."""
+    rows = table(spark, sf_dir, "labels").select((F.col("doc_id") % 7 / 4.0).alias("elapsed_seconds"), (F.col("toxic") == 1).alias("failed"))
+    return metrics.judge_summary(rows)
+
+
+@query("SELECT conv_id AS session_id, CAST(turn AS VARCHAR) AS turns, role, coalesce(text, '') AS source_quote, 'raw_turn' AS source_type, CAST(0.8 AS DOUBLE) AS confidence FROM conversations")
+def turn_provenance(spark, sf_dir):
+    c = F.col
+    p = graph.provenance(c("turn"), c("conv_id"), c("role"), c("role"), F.lit("2024-01-01"), c("text"), "raw_turn")
+    return table(spark, sf_dir, "conversations").select(p.alias("p")).select("p.session_id", F.array_join(c("p.source_turn_ids").cast("array<string>"), ",").alias("turns"), "p.role", "p.source_quote", "p.source_type", "p.confidence")
+
+
+@query(
+    f"""WITH r AS (SELECT conv_id, turn, text, {sql_key('text')} AS key FROM conversations WHERE turn % 2 = 0 AND trim(coalesce(text, '')) <> ''),
+e AS (SELECT conv_id, {sql_key('text')} AS key, max(turn) AS had FROM conversations WHERE turn % 3 = 0 AND turn % 2 = 0 GROUP BY 1, 2)
+SELECT conv_id, turn, had FROM r LEFT JOIN e USING (conv_id, key)"""
+)
+def known_extractions(spark, sf_dir):
+    """Even turns as evidence of their conversation, every third of them extracted before: the last extraction of an equal quote counts."""
+    rows = table(spark, sf_dir, "conversations").where("turn % 2 = 0").select("conv_id", "turn", F.lit(0).alias("source_turn_id"), F.col("text").alias("source_quote"))
+    existing = rows.where("turn % 3 = 0").select("conv_id", F.col("turn").alias("seq"), "source_turn_id", "source_quote", F.col("turn").alias("triples"))
+    had, rest = packing.pending_evidence(rows.where(F.trim(F.coalesce("source_quote", F.lit(""))) != ""), existing, "conv_id")
+    return had.select("conv_id", "turn", F.col("triples").alias("had")).unionByName(rest.select("conv_id", "turn", F.lit(None).cast("long").alias("had")))
+
+
+@query(
+    """WITH t AS (SELECT conv_id, turn, text, instr(text, 'the') - 1 AS s FROM conversations WHERE instr(text, 'the') > 0),
+p AS (SELECT *, substr(text, 1, s) AS l, substr(text, s + 4) AS r FROM t),
+b AS (SELECT *, list_max(list_transform(['.', ';', ',', ' and ', ' but '], lambda m: CASE WHEN instr(reverse(l), reverse(m)) > 0 THEN length(l) - instr(reverse(l), reverse(m)) - length(m) + 1 ELSE -1 END)) + 1 AS a,
+list_min(list_filter(list_transform(['.', ';', ',', ' and ', ' but '], lambda m: instr(r, m) - 1), lambda x: x >= 0)) AS z FROM p)
+SELECT conv_id, turn, trim(regexp_replace(substr(l, a + 1) || 'the' || substr(r, 1, coalesce(z, length(r))), '^\\s+|\\s+$', '', 'g')) AS clause FROM b"""
+)
+def local_clauses(spark, sf_dir):
+    """The clause around the first `the` of each turn."""
+    from anamnesis.functions import spans
+
+    rows = table(spark, sf_dir, "conversations").where(F.instr("text", "the") > 0).withColumn("s", F.instr("text", "the") - 1)
+    return rows.select("conv_id", "turn", F.trim(spans.local_clause(F.col("text"), F.col("s"), F.col("s") + 3)).alias("clause"))
+
+
+@query(
+    f"""WITH x AS (SELECT user_id AS question, event_id AS seq, 'user ' || user_id AS head, event_type AS relation, 'item ' || event_id % 11 AS tail, 'I ' || event_type || ' item ' || event_id % 11 AS quote FROM events),
+q AS (SELECT {sql_content("'How many items did I click on?'")} AS q, {sql_content("'items'")} AS target),
+w AS (SELECT x.*, {sql_content('quote')} AS s, {sql_content("head || ' ' || relation || ' ' || tail")} AS t, q, target, list_filter(q, lambda a: NOT list_contains(target, a) AND NOT list_contains(['different','many','number','total'], a)) AS action FROM x, q),
+o AS (SELECT *, len(list_intersect(q, s)) AS said, len(list_intersect(target, t)) AS target_overlap, len(list_intersect(action, t)) AS action_overlap FROM w),
+d AS (SELECT question, lower(head || ' ' || relation || ' ' || tail) AS k, min(seq) AS seq FROM o WHERE said > 0 AND (target_overlap > 0 OR action_overlap > 0) GROUP BY 1, 2),
+r AS (SELECT o.question, o.seq, o.tail AS entity, CAST(o.target_overlap AS INTEGER) AS target_overlap, CAST(o.action_overlap AS INTEGER) AS action_overlap, CAST(2.0 * o.target_overlap + o.action_overlap + 0.2 * o.said AS DOUBLE) AS score FROM o JOIN d USING (question, seq)),
+n AS (SELECT *, row_number() OVER (PARTITION BY question ORDER BY score DESC, seq) AS rank FROM r)
+SELECT question, 'C' || rank AS candidate_id, entity, target_overlap, action_overlap, round(score, 4) AS score FROM n WHERE rank <= 30"""
+)
+def count_facts(spark, sf_dir):
+    """Events as facts that users stated, counted by a question about clicks."""
+    e = table(spark, sf_dir, "events")
+    item = F.concat(F.lit("item "), (F.col("event_id") % 11).cast("string"))
+    triple = F.struct(F.concat(F.lit("user "), F.col("user_id").cast("string")).alias("head"), F.col("event_type").alias("relation"), item.alias("tail"))
+    none = F.lit(None).cast("string")
+    said = e.select(F.col("user_id").alias("question"), F.col("event_id").alias("seq"), F.lit(0).alias("turn"), none.alias("session"), F.lit("user").alias("role"), none.alias("speaker"), F.concat(F.lit("I "), "event_type", F.lit(" "), item).alias("quote"), none.alias("method"), F.array(triple).alias("triples"))
+    plans = e.select(F.col("user_id").alias("question")).distinct().select("question", F.lit("How many items did I click on?").alias("text"), T.content_tokens(F.lit("items")).alias("target_tokens"))
+    return facts.count_facts(said, plans).select("question", "candidate_id", "entity", "target_overlap", "action_overlap", F.round("score", 4).alias("score"))

@@ -63,3 +63,21 @@ def unique(rows: DataFrame, key: str, what: str) -> DataFrame:
     """rows, failing when a key repeats."""
     n = F.count("*").over(W.partitionBy(key))
     return rows.withColumn("__n", n).where(F.when(F.col("__n") > 1, F.raise_error(F.concat(F.lit(f"duplicate {what}: "), F.col(key).cast("string"))).cast("boolean")).otherwise(F.lit(True))).drop("__n")
+
+
+def read_strict(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """JSON lines; a line that is no record fails the job and names its file and line. Each file is read by one task, as lines are counted."""
+    lines = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.posexplode(F.split("value", "\n")).alias("n", "line")).where(F.trim("line") != "")
+    rows = lines.withColumn("record", F.from_json("line", schema, {"mode": "PERMISSIVE"})).withColumn("ok", F.try_parse_json("line").isNotNull())
+    fault = F.raise_error(F.concat(F.lit("line "), (F.col("n") + 1).cast("string"), F.lit(" of "), F.col("file"), F.lit(" is no JSON"))).cast("boolean")
+    return rows.where(F.when(F.col("ok"), F.lit(True)).otherwise(fault)).select("record.*")
+
+
+def workload(records: DataFrame, index: str, ids: list[str], questions: list[str], start: int = 0, limit: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(workload, skipped): records with dataset_index, question_id and question by the first field name that is there; a missing id is
+    `row-<index>`, a repeated one is an error; records without a question are skipped after the limit has counted them. records: index, record (map of strings)."""
+    rows = record_slice(records, index, start, limit)
+    rows = rows.select(F.col(index).alias("dataset_index"), first_present(F.col("record"), ids).alias("question_id"), first_present(F.col("record"), questions).alias("question"), "record")
+    rows = rows.withColumn("question_id", F.coalesce(F.nullif("question_id", F.lit("")), F.concat(F.lit("row-"), F.col("dataset_index").cast("string"))))
+    asked = F.trim(F.coalesce("question", F.lit(""))) != ""
+    return unique(rows.where(asked), "question_id", "question id"), rows.where(~asked)

@@ -43,3 +43,8 @@ def prior_only(turns: DataFrame, questions: DataFrame, session: str, turn: str,
 def user_totals(events: DataFrame) -> DataFrame:
     """Running totals per user and type: the same plan for a table and for a stream in complete or update mode."""
     return events.groupBy("user_id", "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+
+
+def resumed(stream: DataFrame, at: str, checkpoint: str, mode: str = "append"):
+    """Starts writing a stream of chunks as Parquet; started again with the same checkpoint it goes on behind the last committed offsets, each row written once."""
+    return stream.writeStream.format("parquet").option("path", at).option("checkpointLocation", checkpoint).outputMode(mode).trigger(availableNow=True).start()
