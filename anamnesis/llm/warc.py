@@ -18,27 +18,36 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from anamnesis.llm.common import filesystem, scratch
+from anamnesis.llm.common import filesystem, materialize, scratch
 
 CHUNK = 1 << 18
+#: Shared payloads up to which their digests are broadcast, at about 100 bytes each.
+SHARED = 500_000
 
 
 def decisions(pages: DataFrame, key: str = "page_id", payload: str = "html", url: str = "url", least: int = 100) -> DataFrame:
     """(id, url, payload, size, digest, refers): what each record is; refers is null for responses.
 
-    Small payloads get keys of their own, spread over the partitions; a payload that many rows share meets one row of first ids, a join whose large partitions Spark splits."""
+    Only digests and ids are dealt out to find the payloads that several rows share; these are broadcast up to SHARED of them, so that
+    payloads stay where they were read, and beyond that meet the rows in a join whose large partitions Spark splits."""
     rows = pages.select(F.col(key).cast("long").alias("id"), (F.col(url) if url in pages.columns else F.lit(None)).cast("string").alias("url"), F.coalesce(F.col(payload), F.lit("")).alias("payload"))
     rows = rows.withColumns({"size": F.octet_length("payload").cast("long"), "digest": F.sha2(F.col("payload"), 256)})
-    rows = rows.withColumn("group", F.when(F.col("size") >= least, F.col("digest")).otherwise(F.concat(F.lit("-"), F.pmod(F.xxhash64("id", "url"), F.lit(4096)))))
-    first = rows.where(F.col("size") >= least).groupBy(F.col("digest").alias("group")).agg(F.min("id").alias("first"))
-    return rows.join(first, "group", "left").withColumn("refers", F.when(F.col("first") < F.col("id"), F.col("first")).when(F.col("id").isNull(), F.col("first"))).drop("group", "first")
+    shared = rows.where(F.col("size") >= least).groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    shared = materialize(shared, "shared")
+    if shared.count() <= SHARED:
+        shared = F.broadcast(shared)
+    return rows.join(shared, "digest", "left").withColumn("refers", F.when(F.col("first") < F.col("id"), F.col("first")).when(F.col("id").isNull(), F.col("first"))).drop("first")
 
 
 def chunk_rows(records: DataFrame, chunk: int = CHUNK) -> DataFrame:
-    """(id, url, size, digest, refers, no, bytes): a row per chunk of each payload, in order within its record; a revisit or an empty payload has one empty chunk."""
+    """(id, url, size, digest, refers, no, bytes): a row per chunk of each payload, in order within its record; a revisit or an empty payload has one empty chunk.
+
+    Numbers come first and each row cuts its own bytes out of the payload, so the chunks of a record are never there together."""
     raw = F.when(F.col("refers").isNull(), F.col("payload")).otherwise("").cast("binary")
-    parts = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.octet_length(raw) / chunk).cast("int") - 1)), lambda i: F.substring(raw, i * chunk + 1, F.lit(chunk)))
-    return records.select("id", "url", "size", "digest", "refers", F.posexplode(parts).alias("no", "bytes"))
+    numbers = F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.octet_length("raw") / chunk).cast("int") - 1))
+    rows = records.select("id", "url", "size", "digest", "refers", raw.alias("raw"))
+    rows = rows.select("*", F.explode(numbers).alias("no"))
+    return rows.select("id", "url", "size", "digest", "refers", "no", F.substring("raw", F.col("no") * chunk + 1, F.lit(chunk)).alias("bytes"))
 
 
 def head(key: int | None, n: int, url: str | None, size: int, digest: str, refers: int | None, block: int) -> bytes:
