@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from anamnesis.llm.common import materialize
+from anamnesis.llm.common import fresh, materialize
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -52,7 +52,8 @@ def hits(docs: DataFrame, items: DataFrame, size: int, text: str, keep: list[str
     sizes = sorted(r.n for r in windows.select("n").distinct().collect())  # at most `size` values
     none = docs.sparkSession.range(1).select(F.lit(0).alias("n"), F.array().cast("array<string>").alias("words"), F.array().cast("array<string>").alias("items"), F.lit(None).cast("long").alias("hash"))
     table = windows.unionByName(none).select("n", F.coalesce("hash", F.lit(0)).alias("hash"), "words", "items")
-    if windows.count() <= most:
+    rows, ids = windows.agg(F.count("*"), F.coalesce(F.sum(F.size("items")), F.lit(0))).first()
+    if rows <= most and ids <= 4 * most:
         table = F.broadcast(table)
     # A row per window would copy the words of its whole text each time; so texts are cut into long and those into short
     # segments first, each with as many words more as its last window needs. Slices stand outside of lambdas, where they
@@ -86,17 +87,21 @@ def contamination(docs: DataFrame, items: DataFrame, size: int = 10, key: str =
     return out.select("doc_id", F.col("n_words").cast("long"), F.size("hit_words").cast("long").alias("n_hit"), F.size("ids").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "ids"), 256).alias("items_sha256"), (F.size("hit_words") > 0).alias("contaminated"), "hit_words")
 
 
-def remove(docs: DataFrame, items: DataFrame, size: int = 10, how: str = "document", key: str = "doc_id", text: str = "text") -> DataFrame:
+def remove(docs: DataFrame, items: DataFrame, size: int = 10, how: str = "document", key: str = "doc_id", text: str = "text", most: int = MOST) -> DataFrame:
     """docs without contamination: how="document" drops documents with a hit, how="span" blanks the hit words of their texts.
 
     The decision for a row is made from its own text and joined back by (id, text digest), for dirty rows only."""
     if how not in ("document", "span"):
         raise ValueError(how)
-    named = docs.withColumns({"__digest": F.sha2(F.coalesce(F.col(text), F.lit("")), 256)})
-    rows = named.select(F.col("__digest"), F.col(text).alias("__text"))
+    digest, clean_text = fresh(docs, "digest", "clean")
+    named = docs.withColumn(digest, F.sha2(F.coalesce(F.col(text), F.lit("")), 256))
+    rows = named.select(F.col(digest).alias("__digest"), F.col(text).alias("__text"))
     found = hits(rows, items, size, "__text", ["__digest"]).where("n > 0")
     if how == "document":
-        return named.join(found.select("__digest").distinct(), "__digest", "left_anti").select(*docs.columns)
+        dirty = materialize(found.select(F.col("__digest").alias(digest)).distinct(), "dirty")
+        if dirty.count() <= most:  # else texts are dealt out by digest
+            dirty = F.broadcast(dirty)
+        return named.join(dirty, digest, "left_anti").select(*docs.columns)
     # Dirty texts as rows of a word and the gap after it, so that each word meets its hit by a join; a text's rows make it again.
     hit = found.select("__digest", F.explode(F.sequence(F.col("at"), F.col("at") + F.col("n") - 1)).alias("at")).distinct().withColumn("__hit", F.lit(True))
     dirty = rows.dropDuplicates(["__digest"]).join(found.select("__digest").distinct(), "__digest", "left_semi")
@@ -108,4 +113,5 @@ def remove(docs: DataFrame, items: DataFrame, size: int = 10, how: str = "docume
     piece = F.concat(F.when(F.col("__hit"), F.lit("")).otherwise(F.col("x.w")), F.col("x.after"))
     clean = kept.groupBy("__digest", "head").agg(F.array_sort(F.collect_list(F.struct("at", piece.alias("p")))).alias("all"))
     clean = clean.select("__digest", F.concat("head", F.array_join(F.transform("all", lambda p: p["p"]), "")).alias("__clean"))
-    return named.join(clean, "__digest", "left").withColumn(text, F.coalesce("__clean", F.col(text))).select(*docs.columns)
+    clean = clean.select(F.col("__digest").alias(digest), F.col("__clean").alias(clean_text))
+    return named.join(clean, digest, "left").withColumn(text, F.coalesce(clean_text, F.col(text))).select(*docs.columns)
