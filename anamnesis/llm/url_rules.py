@@ -1,6 +1,6 @@
 """Operator 10: URL filtering by fixed rules and by mined association rules.
 
-Mining: each labelled URL is a transaction of tokens (host suffixes, path steps) and its label; Spark's
+Mining: each labelled URL is a transaction of tokens (host suffixes, path steps) and its label; tokens that are always together count as one; Spark's
 FP-growth finds the token combinations that are frequent together with the label. A combination becomes a rule if its
 support is high enough, most of its rows are bad by more than chance gives among all combinations tried, and no part of it is as confident. Matching: rules are held as an inverted index
 token -> (rule, tokens needed); a URL's tokens are looked up and a rule fires if all its tokens were met.
@@ -62,30 +62,59 @@ def mine(urls: DataFrame, support: float = 0.002, confidence: float = 0.5, lift:
 
     host, path = parts(F.col("url"))
     rows = urls.where(F.col("bad").isNotNull()).select(tokens(host, path).alias("items"), "bad").where(F.size("items") > 0)
-    rows = materialize(rows.select(F.when(F.col("bad"), F.concat("items", F.array(F.lit(LABEL)))).otherwise(F.col("items")).alias("items")), "baskets")
+    rows = materialize(rows.select(F.monotonically_increasing_id().alias("no"), "items", "bad"), "baskets")
     schema = "tokens array<string>, confidence double, support double, lift double"
     n = rows.count()
     if n < least:
         return urls.sparkSession.createDataFrame([], schema)
-    model = FPGrowth(itemsCol="items", minSupport=max(support, least / n), minConfidence=confidence).fit(rows)
-    found = model.associationRules.where(F.element_at("consequent", 1) == LABEL).where(F.col("lift") >= lift)
-    found = materialize(found.select(F.array_sort("antecedent").alias("tokens"), "confidence", "support", "lift"), "rules")
+    kinds = materialize(token_classes(rows, n, max(support, least / n)), "classes")
+    items = rows.select("no", "bad", F.explode("items").alias("token")).join(kinds.select(F.explode("members").alias("token"), "name"), "token")
+    baskets = items.groupBy("no", "bad").agg(F.collect_set("name").alias("items"))  # some tokens of one URL
+    baskets = materialize(baskets.select(F.when(F.col("bad"), F.concat("items", F.array(F.lit(LABEL)))).otherwise(F.col("items")).alias("items")), "reduced")
+    share_bad = rows.where("bad").count() / n
+    reduced = baskets.count()
+    if not reduced:
+        return urls.sparkSession.createDataFrame([], schema)
+    # Shares are of all labelled rows, also those without a token that is frequent.
+    model = FPGrowth(itemsCol="items", minSupport=min(1.0, max(support, least / n) * n / reduced), minConfidence=confidence).fit(baskets)
+    found = model.associationRules.where(F.element_at("consequent", 1) == LABEL).select(F.array_sort("antecedent").alias("names"), "confidence", (F.col("support") * reduced / n).alias("support"))
+    found = materialize(found.withColumn("lift", F.col("confidence") / share_bad).where(F.col("lift") >= lift), "rules")
     tried = model.freqItemsets.where(~F.array_contains("items", LABEL)).count()
-    usual = min(max(confidence, rows.where(F.array_contains("items", LABEL)).count() / n), 1 - 1e-12)
+    usual = min(max(confidence, share_bad), 1 - 1e-12)
     share, rest = F.col("confidence"), 1 - F.col("confidence")
     excess = share * F.log(share / usual) + F.when(rest > 0, rest * F.log(rest / (1 - usual))).otherwise(0.0)
     found = found.where(share > usual).where(F.col("support") / share * n * excess >= math.log(max(tried, 1) / chance))
-    # Pruned: a rule that holds all tokens of a shorter one says nothing new unless it is more confident.
-    each = found.select("tokens", "confidence", F.explode("tokens").alias("t"))
-    short = found.select(F.col("tokens").alias("part"), F.col("confidence").alias("c"), F.explode("tokens").alias("t"))
-    worse = short.join(each, "t").where((F.size("part") < F.size("tokens")) & (F.col("c") >= F.col("confidence"))).groupBy("tokens", "part").count().where(F.col("count") == F.size("part")).select("tokens").distinct()
-    return found.join(worse, "tokens", "left_anti")
+    found = materialize(shortest(found), "shortest")
+    named = found.select("*", F.explode("names").alias("name")).join(kinds, "name").groupBy("names", "confidence", "support", "lift").agg(F.array_sort(F.flatten(F.collect_list("members"))).alias("tokens"))
+    return named.select("tokens", "confidence", "support", "lift")
+
+
+def token_classes(rows: DataFrame, n: int, support: float) -> DataFrame:
+    """(name, members): frequent tokens, those that are in the same rows together under the name of the smallest. Tokens of all rows say nothing.
+
+    So only closed sets are mined: without this, each step that a host's URLs have in common would double the number of frequent sets."""
+    each = rows.select("no", F.explode("items").alias("token"))
+    marks = [F.sum(F.xxhash64("no", F.lit(i)).cast("decimal(20,0)")).alias(f"h{i}") for i in (1, 2)]
+    held = each.groupBy("token").agg(F.count("*").alias("n"), *marks).where((F.col("n") >= support * n) & (F.col("n") < n))
+    return held.groupBy("n", "h1", "h2").agg(F.array_sort(F.collect_list("token")).alias("members")).select(F.col("members")[0].alias("name"), "members")
+
+
+def shortest(found: DataFrame) -> DataFrame:
+    """Without the rules that hold all names of another one that is as confident: those say nothing new.
+
+    A rule is looked for under its rarest name only, so rules with a common name in common don't all meet."""
+    each = found.select("names", "confidence", F.explode("names").alias("t"))
+    often = each.groupBy("t").agg(F.count("*").alias("often"))
+    part = each.join(often, "t").groupBy("names", "confidence").agg(F.min_by("t", F.struct("often", "t")).alias("t"))
+    part = part.select(F.col("names").alias("part"), F.col("confidence").alias("c"), "t")
+    within = (F.size("part") < F.size("names")) & (F.col("c") >= F.col("confidence")) & (F.size(F.array_except("part", "names")) == 0)
+    return found.join(part.join(each, "t").where(within).select("names").distinct(), "names", "left_anti")
 
 
 def judge(pages: DataFrame, rules: DataFrame, fixed: list[tuple[str, str, str]], key: str = "page_id", url: str = "url") -> DataFrame:
     """page_id, host, path, rule, verdict, mined (the tokens of the most confident mined rule that fires, or null)."""
     host, path = parts(F.col(url))
-    rows = pages.select(F.col(key).alias("page_id"), host.alias("host"), path.alias("path"), F.monotonically_increasing_id().alias("__row"))
+    rows = pages.select(F.col(key).alias("page_id"), host.alias("host"), path.alias("path"))
     numbered = materialize(rules.select(F.xxhash64("tokens").alias("no"), "tokens", "confidence"), "numbered")
     index = numbered.select("no", "tokens", "confidence", F.size("tokens").alias("need"), F.explode("tokens").alias("token"))
     if numbered.count() <= MOST:
