@@ -102,7 +102,7 @@ def log_ratios(bucket: np.ndarray, t: np.ndarray, r: np.ndarray, usual: float, s
     return chance * (np.log((t + 0.5) / (r + 1)) - np.log(usual))
 
 
-def fit(docs: DataFrame, labels: DataFrame, most: int = 20_000, scatter: float = 6.0, telling: tuple[float, float, float] = (0.5, 10.0, 1.0), key: str = "doc_id", text: str = "text") -> Model | None:
+def fit(docs: DataFrame, labels: DataFrame, most: int = 20_000, scatter: float = 6.0, telling: tuple[float, float, float] = (0.5, 10.0, 1.0), common: float = 5e-4, key: str = "doc_id", text: str = "text") -> Model | None:
     """labels: doc_id, quality, toxic. Good: quality 1 and not toxic. None without rows of both kinds."""
     spark = docs.sparkSession
     given = labels.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(((F.min("quality") == 1) & (F.max("toxic") == 0)).alias("good")).where(F.col("good").isNotNull())
@@ -131,8 +131,8 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = 20_000, scatter: float =
     if not n_good or n_good == n:
         return None
     counts = rows.mapInArrow(count, "bucket long, t long, r long").groupBy("bucket").agg(F.sum("t").alias("t"), F.sum("r").alias("r"))
-    # In one or two rows an n-gram can't tell anything at these priors; the others are BUCKETS rows at most.
-    per = counts.where("r > 2").toPandas()
+    # What so few rows hold can't tell anything at these priors; of a text's n-grams at most some thousand are in a share of the rows.
+    per = counts.where(F.col("r") >= max(3, common * n)).toPandas()
     ratio = np.zeros(BUCKETS, np.float32)
     if len(per):
         t, r = per.t.to_numpy(), per.r.to_numpy()
