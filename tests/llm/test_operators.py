@@ -358,6 +358,29 @@ def test_language_counts_are_corrected():
     counts = f.counts(members[1][:2000])
     assert abs(counts[1] - 2000) < 10 and abs(counts[0]) < 30 and abs(counts[2]) < 30
 
+def test_language_windows_are_those_of_the_whole_text():
+    from anamnesis.llm.langid import windows
+
+    text = "Ünï çode " * 5000
+    whole, = windows(text, 1 << 20)
+    data = b"  " + text.lower().encode() + b"  "
+    assert whole.tolist() == [int.from_bytes(data[i : i + 4], "little") for i in range(len(data) - 3)]
+    for step in (1, 7, 1000, len(whole)):
+        part = text if step > 1 else text[:300]
+        assert np.concatenate(list(windows(part, step))).tolist() == next(windows(part, 1 << 20)).tolist()
+
+
+def test_language_filters_of_150_languages(spark):
+    from anamnesis.llm.langid import learn, predict
+
+    rnd = random.Random(9)
+    words = {f"l{i:03d}": ["".join(rnd.choices("abcdefghijklmnop", k=7)) for _ in range(12)] for i in range(150)}
+    rows = [(i, " ".join(rnd.choices(words[k], k=25)), k) for i, k in enumerate(list(words) * 8)]
+    docs = documents(spark, rows)
+    filters = learn(docs)
+    assert filters.languages == sorted(words) and filters.table.shape[1] == 3
+    assert {r.doc_id: r.lang_pred for r in predict(docs, filters).collect()} == {i: k for i, _, k in rows}
+
 
 # 6: SimHash ----------------------------------------------------------------------------------------------------------
 
@@ -631,7 +654,8 @@ def test_neighbours_of_awkward_vectors(spark):
     assert neighbours(vectors(spark, [])).count() == 0
 
 
-def test_neighbours_recall_over_shards(spark):
+@pytest.mark.parametrize("shard", [800, 150])
+def test_neighbours_recall_over_shards(spark, shard):
     from anamnesis.llm.nn_descent import neighbours
 
     rng = np.random.default_rng(2)
@@ -639,7 +663,7 @@ def test_neighbours_recall_over_shards(spark):
     X /= np.linalg.norm(X, axis=1, keepdims=True)
     rows = [(i, [float(x) for x in v]) for i, v in enumerate(X)]
     got = {}
-    for r in neighbours(vectors(spark, rows), shard=800).collect():
+    for r in neighbours(vectors(spark, rows), shard=shard).collect():
         got.setdefault(r.query_id, set()).add(r.vec_id)
     want = plain_neighbours(rows, 100, 10)
     assert np.mean([len(got[q] & {i for _, i in want[q]}) / 10 for q in want]) >= 0.9
@@ -726,3 +750,65 @@ def test_urls_chance_rules_do_not_block(spark):
     rows = [(f"http://{h}.de/x/{i}", i < k) for h, (k, n) in bad.items() for i in range(n)]
     rules = mine(spark.createDataFrame(rows, "url string, bad boolean")).collect()
     assert rules and all("h:c.de" in r.tokens for r in rules)
+
+
+def test_urls_of_one_template_do_not_explode(spark):
+    """Twenty constant steps are one token: sets don't double with each."""
+    from anamnesis.llm.url_rules import mine
+
+    steps = "/".join(f"step{chr(97 + i)}" for i in range(20))
+    rows = [(f"http://{'www' if i % 2 else 'bad'}.example.org/{steps}/{i}", i % 2 == 0) for i in range(200)] + [(f"http://other{i % 7}.net/x/{i}", i % 3 == 0) for i in range(200)]
+    rules = mine(spark.createDataFrame(rows, "url string, bad boolean")).collect()
+    assert [r.tokens for r in rules] == [["h:bad.example.org"]] and rules[0].confidence == 1.0
+
+
+def plain_rules(rows, support=0.002, confidence=0.5, lift=1.5, least=10, chance=0.05):
+    """All sets of classes of tokens, by counting."""
+    from math import log
+
+    baskets = []
+    for url, bad in rows:
+        host, path, _, _ = plain_judge(url)
+        labels = host.split(".")
+        baskets.append(({"h:" + ".".join(labels[i:]) for i in range(len(labels))} | {"p:" + re.sub("[0-9]+", "0", x) for x in re.split(r"[/.]", path) if x}, bad))
+    n = len(baskets)
+    least_rows = max(support, least / n) * n
+    where = {}
+    for i, (items, _) in enumerate(baskets):
+        for t in items:
+            where.setdefault(t, set()).add(i)
+    classes = {}
+    for t, at in where.items():
+        if least_rows <= len(at) < n:
+            classes.setdefault(frozenset(at), []).append(t)
+    share, sets, level = sum(b for _, b in baskets) / n, {}, {frozenset([min(m)]): at for at, m in classes.items()}
+    single = {next(iter(k)): v for k, v in level.items()}
+    while level:
+        sets |= level
+        level = {k | {t}: at & single[t] for k, at in level.items() for t in single if t not in k and len(at & single[t]) >= least_rows}
+    out = {}
+    for k, at in sets.items():
+        bad = sum(baskets[i][1] for i in at)
+        c, usual = bad / len(at), max(confidence, share)
+        if bad >= least_rows and c > usual and c / share >= lift:
+            excess = c * log(c / usual) + ((1 - c) * log((1 - c) / (1 - usual)) if c < 1 else 0)
+            if len(at) * excess >= log(len(sets) / chance):
+                out[k] = c
+    kept = {k: c for k, c in out.items() if not any(p < k and out[p] >= c for p in out)}
+    names = {min(m): m for m in classes.values()}
+    return {tuple(sorted(t for name in k for t in names[name])): c for k, c in kept.items()}
+
+
+def test_urls_mining_against_counting(spark):
+    from anamnesis.llm.url_rules import mine
+
+    rnd = random.Random(31)
+    rows = []
+    for i in range(900):
+        host = rnd.choice(["a.example.com", "b.example.com", "c.net", "d.e.org", "pill.biz"])
+        path = [rnd.choice(["en", "de", "win", "buy", "x"]) for _ in range(rnd.randint(0, 3))]
+        bad = rnd.random() < (0.95 if host == "pill.biz" or {"win", "buy"} <= set(path) else 0.1)
+        rows.append((f"http://{host}/{'/'.join(path)}/{i}", bad))
+    got = {tuple(r.tokens): r.confidence for r in mine(spark.createDataFrame(rows, "url string, bad boolean")).collect()}
+    want = plain_rules(rows)
+    assert set(got) == set(want) and len(want) > 1 and all(abs(got[k] - want[k]) < 1e-9 for k in want)
