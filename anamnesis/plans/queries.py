@@ -556,7 +556,12 @@ def greedy_pack(spark, sf_dir):
     return rows.select("conv_id", packing.greedy_sessions(F.transform("x", lambda s: s["t"]), F.lit(120)).alias("packed"), packing.packed(F.transform("x", lambda s: s["t"]), F.lit(120)).alias("sections"))
 
 
-@query()
+@query(
+    """WITH RECURSIVE r AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n, greatest(1, (length(coalesce(text, '')) + 3) // 4) AS t FROM conversations),
+s AS (SELECT conv_id, turn, n, 0 AS batch_no, t AS used FROM r WHERE n = 1
+UNION ALL SELECT r.conv_id, r.turn, r.n, CASE WHEN s.used + r.t > 120 THEN s.batch_no + 1 ELSE s.batch_no END, CASE WHEN s.used + r.t > 120 THEN r.t ELSE s.used + r.t END FROM s JOIN r ON r.conv_id = s.conv_id AND r.n = s.n + 1)
+SELECT conv_id, turn, CAST(batch_no AS INTEGER) AS batch_no FROM s"""
+)
 def evidence_batches(spark, sf_dir):
     return packing.batches(table(spark, sf_dir, "conversations"), "conv_id", "turn", "text", 120).select("conv_id", "turn", "batch_no")
 
@@ -643,7 +648,10 @@ def slot_candidates(spark, sf_dir):
     return candidates.slot_candidates(triples, asked)
 
 
-@query()
+@query(
+    """WITH c AS (SELECT n_regionkey AS question, 'c' || c_custkey AS edge_id, 2 AS depth, CAST(0.9 / 2 + 1 AS DOUBLE) AS score, CAST(row_number() OVER (PARTITION BY n_regionkey ORDER BY c_custkey) AS INTEGER) AS rank FROM customer JOIN nation ON c_nationkey = n_nationkey)
+SELECT question, edge_id, depth, score, rank FROM c WHERE rank <= 12"""
+)
 def graph_evidence(spark, sf_dir):
     """The best edges around each region, customers first."""
     c = lambda p, x: F.concat(F.lit(p), F.col(x).cast("string"))
