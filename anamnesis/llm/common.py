@@ -29,16 +29,52 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+#: Scratch tables of this process that are still there.
+held: set[str] = set()
+
+
 def scratch(spark: SparkSession, tag: str) -> str:
     """A new path below the shared folder."""
-    return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    at = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    held.add(at)
+    return at
 
 
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Writes df to the shared folder and reads it back: cuts the lineage, survives lost executors."""
     at = scratch(df.sparkSession, tag)
     df.write.parquet(at)
-    return df.sparkSession.read.schema(df.schema).parquet(at)
+    out = df.sparkSession.read.schema(df.schema).parquet(at)
+    out.scratch_path = at
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables of `materialize` that nothing will read again."""
+    for table in tables:
+        remove(table.sparkSession, getattr(table, "scratch_path", ""))
+
+
+def remove(spark: SparkSession, at: str) -> None:
+    if at in held:
+        held.discard(at)
+        path = spark._jvm.org.apache.hadoop.fs.Path(at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def release(spark: SparkSession, docs: DataFrame, made: set[str]) -> None:
+    """Between the stages of a pipeline: deletes the scratch tables among `made` that docs, which has been written and read again, is not read
+    from, and lets Spark's cleaner drop the shuffle files of what is finished."""
+    files = docs.inputFiles() if made else []
+    for at in [h for h in made if not any(h.rpartition("/")[2] in f for f in files)]:
+        remove(spark, at)
+        made.discard(at)
+    settle(spark)
+
+
+def settle(spark: SparkSession) -> None:
+    """Shuffle files go when the driver's JVM collects their plans; a driver with memory to spare would keep them for long."""
+    spark._jvm.System.gc()
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:

@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from anamnesis.llm.common import materialize
+from anamnesis.llm.common import discard, materialize
+
+#: Edges that one task takes.
+EDGES = 50_000
 
 
 def components(edges: DataFrame, most: int = 60) -> DataFrame:
@@ -19,12 +22,15 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
         if mark == state or not mark.n:
             break
         state = mark
+        # A round over few edges is one of many small stages: as few tasks as the edges need, never more than before.
+        tasks = 1 + mark.n // EDGES
         both = now.select("u", "v").unionAll(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = materialize(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
+        large = materialize(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct().coalesce(tasks), "large")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = materialize(small.unionAll(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        last, now = now, materialize(small.unionAll(least.select("u", F.col("m").alias("v"))).distinct().coalesce(tasks), "edges")
+        discard(last, large)
     else:
         raise RuntimeError("the components did not settle")
     roots = now.select(F.col("u").alias("node"), F.col("v").alias("root"))

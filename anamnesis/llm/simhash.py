@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from anamnesis.llm.common import Memory, materialize, small_batches
+from anamnesis.llm.common import Memory, discard, fresh, materialize, settle, small_batches
 from anamnesis.llm.components import components
 
 #: Members of a bucket that are still paired with each other.
@@ -113,6 +113,8 @@ CROWD = 8
 CELL = 256
 #: Texts among which common shingles are looked for, and rows from which a shingle is common.
 SAMPLE, COMMON = 4_000, 3
+#: Texts to be compared up to which their digests are broadcast, at about 100 bytes each.
+ASKED = 200_000
 #: Against rounding: bounds are taken a little too low, never too high.
 SLACK = 1e-9
 
@@ -140,7 +142,7 @@ def common_shingles(named: DataFrame, words: int) -> tuple[np.ndarray, np.ndarra
 
 
 def shingled(named: DataFrame, words: int, least: float, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """Rows with their shingle sets, of n members, and the first of these in an order that all texts share (rare ones first):
+    """Rows with the number n of their shingles and the first of these in an order that all texts share (rare ones first):
     of two sets with a similarity of `least`, the first n - ceil(least * n) + 1 have a member in common."""
     known, often = common
 
@@ -149,34 +151,52 @@ def shingled(named: DataFrame, words: int, least: float, common: tuple[np.ndarra
 
         Memory.only("simhash")
         for batch in batches:
-            sets = [shingle_set(x.as_py(), words) for x in batch.column(3)]
-            first = []
-            for s in sets:
+            sizes, first = [], []
+            for x in batch.column(3):
+                s = shingle_set(x.as_py(), words)
                 rank = np.zeros(len(s), np.int64)
                 if len(known):
                     at = np.minimum(np.searchsorted(known, s), len(known) - 1)
                     rank = np.where(known[at] == s, often[at], 0)
                 first.append(s[np.lexsort((s, rank))[: len(s) - int(np.ceil(least * len(s) - SLACK)) + 1]])
-            lists = [pa.array(v, pa.list_(pa.int64())) for v in (first, sets)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([len(s) for s in sets], pa.int64()), *lists], names=["rid", "doc_id", "cls", "n", "first", "set"])
+                sizes.append(len(s))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(sizes, pa.int64()), pa.array(first, pa.list_(pa.int64()))], names=["rid", "doc_id", "cls", "n", "first"])
 
     small_batches(named.sparkSession)
     rows = named.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "cls", "x")
-    return rows.mapInArrow(run, "rid long, doc_id long, cls string, n long, first array<long>, set array<long>")
+    return rows.mapInArrow(run, "rid long, doc_id long, cls string, n long, first array<long>")
 
 
-def verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """The pairs (a, b) whose sets are at least that similar. sets: node, set."""
+def sets_of(named: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
+    """(node, set) of the wanted (node, cls): worked out from the texts again, as sets of all texts would take more room than the texts."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingle_set(x.as_py(), words) for x in batch.column(1)], pa.list_(pa.int64()))], names=["node", "set"])
+
+    if wanted.count() <= ASKED:
+        wanted = F.broadcast(wanted)
+    texts = named.join(wanted, "cls").groupBy("node").agg(F.first("x").alias("x"))
+    return texts.mapInArrow(run, "node long, set array<long>")
+
+
+def verified(pairs: DataFrame, named: DataFrame, classes: DataFrame, words: int, least: float) -> DataFrame:
+    """The pairs (a, b) whose sets are at least that similar, written. classes: node, cls."""
     asked = pairs.select(F.col("a").alias("node")).unionAll(pairs.select(F.col("b").alias("node"))).distinct()
-    sets = sets.join(asked, "node", "left_semi")
+    wanted = materialize(classes.join(asked, "node", "left_semi"), "wanted")
+    sets = materialize(sets_of(named, wanted, words), "sets")
     for c in "ab":
         pairs = pairs.join(sets.select(F.col("node").alias(c), F.col("set").alias(f"{c}_set")), c)
     both = F.size(F.array_intersect("a_set", "b_set"))
-    return pairs.where(both / (F.size("a_set") + F.size("b_set") - both) >= least).select("a", "b")
+    out = materialize(pairs.where(both / (F.size("a_set") + F.size("b_set") - both) >= least).select("a", "b"), "links")
+    discard(wanted, sets)
+    return out
 
 
-def candidates(entries: DataFrame, sets: DataFrame, least: float, hot: int = CROWD, rounds: int = 3) -> DataFrame:
-    """(a, b): similar pairs whose components are those of all similar pairs. entries: key, node, n; sets: node, set.
+def candidates(entries: DataFrame, verify, least: float, hot: int = CROWD, rounds: int = 2) -> DataFrame:
+    """(a, b): similar pairs whose components are those of all similar pairs. entries: key, node, n; verify: from pairs (a, b) to the similar ones, written.
 
     Exact. Texts meet in the bucket of each key. All members of a bucket of more than `hot` are compared with its pivot, the member
     with most in common with others, which then leaves; buckets within one component are settled. After `rounds` rounds all
@@ -186,16 +206,20 @@ def candidates(entries: DataFrame, sets: DataFrame, least: float, hot: int = CRO
     met = materialize(entries.join(counts, "key"), "met")
     score = met.groupBy("node").agg((F.sum(F.log2("size")) / F.first("n")).alias("score"))
     now = met.drop("size").join(score, "node").withColumn("root", F.col("node"))
-    found = None
+    found, before = None, [met]
     for turn in range(rounds + 1):
         state = now.groupBy("key").agg(F.count("*").alias("size"), F.min("root").alias("lo"), F.max("root").alias("hi"), F.max(F.struct("score", "node", "n", "root")).alias("p"))
         now = materialize(now.join(state.where("lo <> hi").drop("lo", "hi"), "key"), "open")
+        discard(*before)
+        settle(entries.sparkSession)
+        before = [now]
         crowded = now.where(F.col("size") > hot)
         if turn == rounds or not crowded.head(1):
             break
         asked = crowded.where("root <> p.root").where(F.least("n", "p.n") >= least * F.greatest("n", "p.n") - SLACK)
         asked = materialize(asked.select(F.least("node", "p.node").alias("a"), F.greatest("node", "p.node").alias("b")).distinct(), "asked")
-        links = materialize(verified(asked, sets, least), "links")
+        links = verify(asked)
+        discard(asked)
         found = links if found is None else found.unionAll(links)
         roots = components(found)
         now = now.where((F.col("size") <= hot) | (F.col("node") != F.col("p.node"))).select("key", "node", "n", "score")
@@ -211,7 +235,9 @@ def candidates(entries: DataFrame, sets: DataFrame, least: float, hot: int = CRO
     pairs = x.join(y, ["key", "i", "j"]).where(apart & sizes).groupBy(F.col("x.node").alias("a"), F.col("y.node").alias("b")).agg(F.count("*").alias("c"), F.first("x.n").alias("m"), F.first("y.n").alias("n"))
     needed = F.ceil(least / (1 + least) * (F.col("m") + F.col("n")) - SLACK)
     pairs = materialize(pairs.where(F.col("c") + F.ceil(least * F.greatest("m", "n")) - 1 >= needed).select("a", "b"), "asked")
-    links = verified(pairs, sets, least)
+    discard(now)
+    links = verify(pairs)
+    discard(pairs)
     return links if found is None else found.unionAll(links)
 
 
@@ -219,26 +245,33 @@ def near_duplicates(docs: DataFrame, words: int = 5, least: float = 0.8, key: st
     """(doc_id, cls, component_id, stays): one row per distinct (doc_id, text); component_id is the smallest doc_id of the group.
 
     Equal texts are one node. stays marks one (doc_id, text) of each group."""
-    named = docs.select(F.col(key).cast("long").alias("doc_id"), F.sha2(F.coalesce(F.col(text), F.lit("")), 256).alias("cls"), F.col(text).alias("x"))
+    named = docs.select(F.col(key).cast("long").alias("doc_id"), digest(text).alias("cls"), F.col(text).alias("x"))
     small_batches(docs.sparkSession)
     rows = materialize(shingled(named, words, least, common_shingles(named, words)), "shingles")
-    number = F.conv(F.substring("cls", 1, 15), 16, 10).cast("long").alias("node")
-    reps = materialize(rows.groupBy("cls").agg(F.min("doc_id").alias("first"), F.min("rid").alias("rid")).select(number, "*"), "classes")
-    chosen = reps.select("node", "rid")
-    entries = rows.select("rid", "n", F.col("first").alias("keys")).join(chosen, "rid").select(F.explode("keys").alias("key"), "node", "n")
-    roots = components(candidates(entries, rows.select("rid", "set").join(chosen, "rid").select("node", "set"), least))
+    # A class is named by one of its rows, so no two classes have one name.
+    reps = materialize(rows.groupBy("cls").agg(F.min("doc_id").alias("first"), F.min("rid").alias("node")), "classes")
+    entries = rows.select(F.col("rid").alias("node"), "n", F.col("first").alias("keys")).join(reps.select("node"), "node").select(F.explode("keys").alias("key"), "node", "n")
+    roots = components(candidates(entries, lambda pairs: verified(pairs, named, reps.select("node", "cls"), words, least), least))
     own = reps.select("cls", "node", "first").join(roots, "node", "left")
     own = materialize(own.select("cls", F.coalesce("root", "node").alias("root"), "first"), "roots")
     group = own.groupBy("root").agg(F.min(F.struct(F.col("first").isNull(), "first", "cls")).alias("kept"))
     per = own.join(group, "root").select("cls", F.col("kept.first").alias("component_id"), F.col("kept.cls").alias("kept"))
-    ids = rows.select("doc_id", "cls").distinct()
+    ids = materialize(rows.select("doc_id", "cls").distinct(), "ids")
+    discard(rows, reps)
+    settle(docs.sparkSession)
     return ids.join(per, "cls").select("doc_id", "cls", "component_id", (F.col("cls").eqNullSafe(F.col("kept")) & F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("stays"))
 
 
+def digest(text: str):
+    return F.sha2(F.coalesce(F.col(text), F.lit("")), 256)
+
+
 def drop_near_duplicates(docs: DataFrame, words: int = 5, least: float = 0.8, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row of each group of near-duplicates, with the columns of docs."""
-    stay = near_duplicates(docs, words, least, key, text).where("stays").select(F.col("doc_id").alias("__id"), F.col("cls").alias("__cls"))
-    named = docs.withColumns({"__row": F.sha2(F.coalesce(F.col(text), F.lit("")), 256)})
-    met = named.join(stay, F.col("__row").eqNullSafe(F.col("__cls")) & F.col(key).cast("long").eqNullSafe(F.col("__id")), "left_semi")
-    first = F.row_number().over(W.partitionBy("__row").orderBy("__row"))
-    return met.withColumn("__n", first).where("__n = 1").drop("__row", "__n")
+    """One row of each group of near-duplicates, with the columns of docs, whatever their names."""
+    at, rank = fresh(docs, "at", "rank")
+    stay = near_duplicates(docs, words, least, key, text).where("stays")
+    stay = materialize(stay.select(F.concat_ws("-", "cls", F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).alias(at)), "stay")
+    # Texts are dealt out by digest and id, once for the join and the choice among repeated rows.
+    named = docs.withColumn(at, F.concat_ws("-", digest(text), F.coalesce(F.col(key).cast("long").cast("string"), F.lit("null"))))
+    met = named.join(stay, at, "left_semi")
+    return met.withColumn(rank, F.row_number().over(W.partitionBy(at).orderBy(at))).where(F.col(rank) == 1).drop(at, rank)
