@@ -111,6 +111,8 @@ def linked(docs: DataFrame, words: int = 3, key: str = "doc_id", text: str = "te
 CROWD = 8
 #: Members of a cell, in which what is left of a large bucket is paired.
 CELL = 256
+#: Keys before each one that go with it, to tell pairs that have met before.
+BACK = 4
 #: Texts among which common shingles are looked for, and rows from which a shingle is common.
 SAMPLE, COMMON = 4_000, 3
 #: Texts to be compared up to which their digests are broadcast, at about 100 bytes each.
@@ -195,20 +197,31 @@ def verified(pairs: DataFrame, named: DataFrame, classes: DataFrame, words: int,
     return out
 
 
-def candidates(entries: DataFrame, verify, least: float, hot: int = CROWD, rounds: int = 2) -> DataFrame:
-    """(a, b): similar pairs whose components are those of all similar pairs. entries: key, node, n; verify: from pairs (a, b) to the similar ones, written.
+def candidates(entries: DataFrame, prefixes: DataFrame, verify, least: float, hot: int = CROWD, rounds: int = 2) -> DataFrame:
+    """(a, b): similar pairs whose components are those of all similar pairs. entries: key, node, n, at (place of the key in the text's
+    order, from 0), prev (the BACK keys before it); prefixes: node, first; verify: from pairs (a, b) to the similar ones, written.
 
-    Exact. Texts meet in the bucket of each key. All members of a bucket of more than `hot` are compared with its pivot, the member
-    with most in common with others, which then leaves; buckets within one component are settled. After `rounds` rounds all
+    Exact. Texts meet in the bucket of each key, and a pair has to be seen in that of its first common key only. There both keys stand
+    so far ahead that what follows them can still be common enough for the two sizes, which `ahead` tests; and if the BACK keys before
+    them have one in common, the pair has met before. All members of a bucket of more than `hot` are compared with its pivot, the member
+    with most in common with others, which then leaves; buckets within one component are settled. After `rounds` rounds the
     pairs of different components that are left in a bucket meet, in cells, and are compared unless the number of keys they
     share (all their common ones, or they have been compared) is too small for their sizes."""
+
+    def needed(m, n):
+        return F.ceil(least / (1 + least) * (m + n) - SLACK)
+
+    def ahead(x: str, y: str):
+        m, n = F.col(f"{x}n"), F.col(f"{y}n")
+        return (F.col(f"{x}at") <= m - needed(m, n)) & (F.col(f"{y}at") <= n - needed(m, n)) & (F.least(m, n) >= least * F.greatest(m, n) - SLACK)
+
     counts = entries.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     met = materialize(entries.join(counts, "key"), "met")
     score = met.groupBy("node").agg((F.sum(F.log2("size")) / F.first("n")).alias("score"))
     now = met.drop("size").join(score, "node").withColumn("root", F.col("node"))
     found, before = None, [met]
     for turn in range(rounds + 1):
-        state = now.groupBy("key").agg(F.count("*").alias("size"), F.min("root").alias("lo"), F.max("root").alias("hi"), F.max(F.struct("score", "node", "n", "root")).alias("p"))
+        state = now.groupBy("key").agg(F.count("*").alias("size"), F.min("root").alias("lo"), F.max("root").alias("hi"), F.max(F.struct("score", "node", "n", "at", "root")).alias("p"))
         now = materialize(now.join(state.where("lo <> hi").drop("lo", "hi"), "key"), "open")
         discard(*before)
         settle(entries.sparkSession)
@@ -216,25 +229,29 @@ def candidates(entries: DataFrame, verify, least: float, hot: int = CROWD, round
         crowded = now.where(F.col("size") > hot)
         if turn == rounds or not crowded.head(1):
             break
-        asked = crowded.where("root <> p.root").where(F.least("n", "p.n") >= least * F.greatest("n", "p.n") - SLACK)
+        asked = crowded.where("root <> p.root").where(ahead("", "p."))
         asked = materialize(asked.select(F.least("node", "p.node").alias("a"), F.greatest("node", "p.node").alias("b")).distinct(), "asked")
         links = verify(asked)
         discard(asked)
         found = links if found is None else found.unionAll(links)
         roots = components(found)
-        now = now.where((F.col("size") <= hot) | (F.col("node") != F.col("p.node"))).select("key", "node", "n", "score")
+        now = now.where((F.col("size") <= hot) | (F.col("node") != F.col("p.node"))).select("key", "node", "n", "at", "prev", "score")
         now = now.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     cells = F.ceil(F.col("size") / CELL).cast("int")
-    rest = now.select("key", "node", "n", "root", cells.alias("cells"), F.pmod(F.xxhash64("node"), cells).cast("int").alias("cell"))
-    rest = rest.select("key", "node", "n", "root", "cell", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)).alias("other"))
-    rest = rest.select("key", "node", "n", "root", F.least("cell", "other").alias("i"), F.greatest("cell", "other").alias("j"), "cell")
+    own = ["key", "node", "n", "at", "prev", "root"]
+    rest = now.select(*own, cells.alias("cells"), F.pmod(F.xxhash64("node"), cells).cast("int").alias("cell"))
+    rest = rest.select(*own, "cell", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)).alias("other"))
+    rest = rest.select(*own, F.least("cell", "other").alias("i"), F.greatest("cell", "other").alias("j"), "cell")
     x, y = rest.alias("x"), rest.alias("y")
     # A cell off the diagonal is for pairs of its two parts.
     apart = (F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root")) & ((F.col("x.cell") != F.col("y.cell")) | (F.col("i") == F.col("j")))
-    sizes = F.least("x.n", "y.n") >= least * F.greatest("x.n", "y.n") - SLACK
-    pairs = x.join(y, ["key", "i", "j"]).where(apart & sizes).groupBy(F.col("x.node").alias("a"), F.col("y.node").alias("b")).agg(F.count("*").alias("c"), F.first("x.n").alias("m"), F.first("y.n").alias("n"))
-    needed = F.ceil(least / (1 + least) * (F.col("m") + F.col("n")) - SLACK)
-    pairs = materialize(pairs.where(F.col("c") + F.ceil(least * F.greatest("m", "n")) - 1 >= needed).select("a", "b"), "asked")
+    first = ahead("x.", "y.") & ~F.arrays_overlap("x.prev", "y.prev")
+    pairs = x.join(y, ["key", "i", "j"]).where(apart & first).select(F.col("x.node").alias("a"), F.col("x.n").alias("m"), F.col("y.node").alias("b"), F.col("y.n").alias("n")).distinct()
+    for c in "ab":
+        pairs = pairs.join(prefixes.select(F.col("node").alias(c), F.col("first").alias(f"{c}_first")), c)
+    shared = F.size(F.array_intersect("a_first", "b_first"))
+    pairs = pairs.where(shared + F.ceil(least * F.greatest("m", "n") - SLACK) - 1 >= needed(F.col("m"), F.col("n")))
+    pairs = materialize(pairs.select("a", "b"), "asked")
     discard(now)
     links = verify(pairs)
     discard(pairs)
@@ -250,8 +267,11 @@ def near_duplicates(docs: DataFrame, words: int = 5, least: float = 0.8, key: st
     rows = materialize(shingled(named, words, least, common_shingles(named, words)), "shingles")
     # A class is named by one of its rows, so no two classes have one name.
     reps = materialize(rows.groupBy("cls").agg(F.min("doc_id").alias("first"), F.min("rid").alias("node")), "classes")
-    entries = rows.select(F.col("rid").alias("node"), "n", F.col("first").alias("keys")).join(reps.select("node"), "node").select(F.explode("keys").alias("key"), "node", "n")
-    roots = components(candidates(entries, lambda pairs: verified(pairs, named, reps.select("node", "cls"), words, least), least))
+    prefixes = rows.select(F.col("rid").alias("node"), "n", "first").join(reps.select("node"), "node")
+    entries = prefixes.select("node", "n", "first", F.posexplode("first").alias("at", "key"))
+    back = F.slice("first", F.greatest(F.lit(1), F.col("at") - BACK + 1), F.least(F.lit(BACK), F.col("at")))
+    entries = entries.select("key", "node", "n", "at", back.alias("prev"))
+    roots = components(candidates(entries, prefixes.select("node", "first"), lambda pairs: verified(pairs, named, reps.select("node", "cls"), words, least), least))
     own = reps.select("cls", "node", "first").join(roots, "node", "left")
     own = materialize(own.select("cls", F.coalesce("root", "node").alias("root"), "first"), "roots")
     group = own.groupBy("root").agg(F.min(F.struct(F.col("first").isNull(), "first", "cls")).alias("kept"))
