@@ -19,8 +19,10 @@ gives no document. Further columns are ignored.
 from __future__ import annotations
 
 import json
+import os
 import struct
 import sys
+import unicodedata
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -38,6 +40,8 @@ REMEMBERED = 400_000
 SHARD_IDS = 1 << 27
 #: Marks that end a word.
 ENDS = ".,!?;:"
+#: Letters of old alphabets that are one letter in any case and normal form: what follows can't change them.
+LETTERS = frozenset(c for c in map(chr, range(0x530)) if c.isalpha() and all(len(x) == 1 and x.isalpha() for x in (unicodedata.normalize("NFC", c), unicodedata.normalize("NFC", c.lower()))))
 
 
 def mixed(keys: np.ndarray, seed: int) -> np.ndarray:
@@ -210,6 +214,7 @@ class WordEncoder:
         self.tokenizer.no_padding()
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.added = [t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.sign = os.path.commonprefix(self.added)
         self.cache, self.pieces = Memory(REMEMBERED, "shards"), Memory(REMEMBERED, "shards")
 
     @classmethod
@@ -225,17 +230,17 @@ class WordEncoder:
         return out.tobytes()
 
     def learn(self, words: list[str]) -> None:
-        """ASCII words go to the tokenizer without case, where it makes no difference, and words without the closing marks after an
-        ASCII letter, which are pieces of their own. Words in which an added token shows up either way are left as they are:
+        """ASCII words go to the tokenizer without case, where it makes no difference, and words without the closing marks after a
+        letter, which are pieces of their own. Words in which an added token shows up either way are left as they are:
         added tokens are found in the text as it stands."""
         split, parts = [], {""}
         for word in words:
             low = word.lower() if word.isascii() else word
             core = low.rstrip(ENDS)
-            if any(x in low for x in self.added):
+            if self.sign in low and any(x in low for x in self.added):
                 split.append((word, word, ""))
                 parts.add(word)
-            elif core and core[-1].isascii() and core[-1].isalpha():
+            elif core and core[-1] in LETTERS:
                 split.append((word, core, low[len(core) :]))
                 parts.update((core, low[len(core) :]))
             else:
@@ -264,8 +269,6 @@ def write_shards(docs: DataFrame, at: str, tokenizer: str, end_id: int = 1, key:
     A task begins a new shard once one holds `most` ids, so neither a file nor its index grows with the table. Each task attempt writes a file of its own; only those that the returned rows name belong to the result, so a repeated task leaves at worst a file that nobody reads."""
 
     def write(batches):
-        import os
-
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import pyarrow as pa
         from pyspark import TaskContext
