@@ -34,4 +34,6 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
     else:
         raise RuntimeError("the components did not settle")
     roots = now.select(F.col("u").alias("node"), F.col("v").alias("root"))
-    return roots.unionAll(roots.select(F.col("root").alias("node"), "root").distinct())
+    out = roots.unionAll(roots.select(F.col("root").alias("node"), "root").distinct())
+    out.scratch_path = now.scratch_path
+    return out

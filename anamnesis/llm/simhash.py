@@ -10,7 +10,8 @@ and all neighbours of a midpoint are within two bits of each other. So no bucket
 
 `near_duplicates` links texts whose sets of five-word shingles have a similarity of 0.8 or more, exactly: candidates come
 from the shingles themselves (prefix filter), and every link is decided by the two sets. Members of crowded buckets meet
-pivots before each other; what pivots leave apart meets in cells, so no bucket is capped or skipped there either.
+pivots before each other; what pivots leave apart meets in cells, so no bucket is capped or skipped there either. Shingles are
+taken in slices and pairs in parts, one after the other, so that disk is needed for one at a time.
 
 Defined results: a null text is an empty one; texts without words have fingerprint zero and are linked like any
 other; null ids keep their rows and take the component of their fingerprint (null if it has no id at all); repeated
@@ -20,6 +21,8 @@ rows are in one component; an empty table gives no row. Further columns are igno
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -117,10 +120,28 @@ BACK = 4
 SAMPLE, COMMON = 4_000, 3
 #: Texts to be compared up to which their digests are broadcast, at about 100 bytes each.
 ASKED = 200_000
+#: Shingles that meet at once, at about 75 bytes of shuffle files each; pairs that are compared at once, at about 10,000.
+ENTRIES, PAIRS = 8_000_000, 50_000
+#: Slices and parts, at most: each reads the shingles or the texts again, and its share of the disk is small by then.
+PARTS = 16
 #: Against rounding: bounds are taken a little too low, never too high.
 SLACK = 1e-9
 
 
+def written(df: DataFrame, tag: str) -> DataFrame:
+    """`materialize`, after which the shuffle files of the job are gone, where Spark can do so (4.1): the rest waits for `settle`."""
+    conf, key = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = conf.get(key, None)
+    conf.set(key, "true")
+    try:
+        return materialize(df, tag)
+    finally:
+        if before is None:
+            conf.unset(key)
+        else:
+            conf.set(key, before)
+
+
 def shingle_set(text: str | None, words: int) -> np.ndarray:
     """The distinct shingle hashes as signed longs; texts without words have a set of their own in common."""
     own = np.unique(hashes(text, words)).view(np.int64)
@@ -144,8 +165,8 @@ def common_shingles(named: DataFrame, words: int) -> tuple[np.ndarray, np.ndarra
 
 
 def shingled(named: DataFrame, words: int, least: float, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """Rows with the number n of their shingles and the first of these in an order that all texts share (rare ones first):
-    of two sets with a similarity of `least`, the first n - ceil(least * n) + 1 have a member in common."""
+    """Rows with the number n of their shingles and the first of these in an order that all texts share (rare ones
+    first): of two sets with a similarity of `least`, the first n - ceil(least * n) + 1 have a member in common."""
     known, often = common
 
     def run(batches):
@@ -162,15 +183,27 @@ def shingled(named: DataFrame, words: int, least: float, common: tuple[np.ndarra
                     rank = np.where(known[at] == s, often[at], 0)
                 first.append(s[np.lexsort((s, rank))[: len(s) - int(np.ceil(least * len(s) - SLACK)) + 1]])
                 sizes.append(len(s))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(sizes, pa.int64()), pa.array(first, pa.list_(pa.int64()))], names=["rid", "doc_id", "cls", "n", "first"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(sizes, pa.int64()), pa.array(first, pa.list_(pa.int64()))], names=["doc_id", "cls", "mark", "n", "first"])
 
     small_batches(named.sparkSession)
-    rows = named.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "cls", "x")
-    return rows.mapInArrow(run, "rid long, doc_id long, cls string, n long, first array<long>")
+    return named.select("doc_id", "cls", "mark", "x").mapInArrow(run, "doc_id long, cls string, mark long, n long, first array<long>")
+
+
+def parts(pairs: DataFrame, most: int) -> list[DataFrame]:
+    """The pairs, written, in parts of about `most`, but in PARTS at most."""
+    count = max(1, min(PARTS, -(-pairs.count() // most)))
+    return [pairs.where(F.pmod(F.xxhash64("a", "b"), F.lit(count)) == i) for i in range(count)] if count > 1 else [pairs]
+
+
+def among(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The rows of nodes that are in a pair."""
+    asked = written(pairs.select(F.col("a").alias("node")).unionAll(pairs.select(F.col("b").alias("node"))).distinct(), "nodes")
+    return nodes.join(F.broadcast(asked) if asked.count() <= ASKED else asked, "node", "left_semi")
 
 
 def sets_of(named: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """(node, set) of the wanted (node, cls): worked out from the texts again, as sets of all texts would take more room than the texts."""
+    """(node, set) of the wanted (node, cls, mark): worked out from the texts again, as sets of all texts would take more room than the texts.
+    Texts are found by their short hash `mark`, and the digest decides."""
 
     def run(batches):
         import pyarrow as pa
@@ -180,31 +213,50 @@ def sets_of(named: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
 
     if wanted.count() <= ASKED:
         wanted = F.broadcast(wanted)
-    texts = named.join(wanted, "cls").groupBy("node").agg(F.first("x").alias("x"))
-    return texts.mapInArrow(run, "node long, set array<long>")
+    texts = named.select("x", "mark").join(wanted, "mark").where(digest("x") == F.col("cls"))
+    return texts.groupBy("node").agg(F.first("x").alias("x")).mapInArrow(run, "node long, set array<long>")
 
 
 def verified(pairs: DataFrame, named: DataFrame, classes: DataFrame, words: int, least: float) -> DataFrame:
-    """The pairs (a, b) whose sets are at least that similar, written. classes: node, cls."""
-    asked = pairs.select(F.col("a").alias("node")).unionAll(pairs.select(F.col("b").alias("node"))).distinct()
-    wanted = materialize(classes.join(asked, "node", "left_semi"), "wanted")
-    sets = materialize(sets_of(named, wanted, words), "sets")
-    for c in "ab":
-        pairs = pairs.join(sets.select(F.col("node").alias(c), F.col("set").alias(f"{c}_set")), c)
-    both = F.size(F.array_intersect("a_set", "b_set"))
-    out = materialize(pairs.where(both / (F.size("a_set") + F.size("b_set") - both) >= least).select("a", "b"), "links")
-    discard(wanted, sets)
-    return out
-
-
-def candidates(entries: DataFrame, prefixes: DataFrame, verify, least: float, hot: int = CROWD, rounds: int = 2) -> DataFrame:
-    """(a, b): similar pairs whose components are those of all similar pairs. entries: key, node, n, at (place of the key in the text's
-    order, from 0), prev (the BACK keys before it); prefixes: node, first; verify: from pairs (a, b) to the similar ones, written.
+    """The pairs (a, b) whose sets are at least that similar, written. pairs: written; classes: node, cls, mark."""
+    out = []
+    for some in parts(pairs, PAIRS):
+        wanted = written(among(classes, some), "wanted")
+        sets = written(sets_of(named, wanted, words), "sets")
+        for c in "ab":
+            some = some.join(sets.select(F.col("node").alias(c), F.col("set").alias(f"{c}_set")), c)
+        both = F.size(F.array_intersect("a_set", "b_set"))
+        out.append(written(some.where(both / (F.size("a_set") + F.size("b_set") - both) >= least).select("a", "b"), "links"))
+        discard(wanted, sets)
+    return reduce(DataFrame.unionAll, out)
+
+
+def joined(roots: DataFrame | None, links: DataFrame) -> DataFrame | None:
+    """(node, root) of the components after the links; None: none has been found so far."""
+    if not links.head(1):
+        return roots
+    new = components(links if roots is None else links.unionAll(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
+    if roots is not None:
+        discard(roots)
+    return new
+
+
+def rooted(nodes: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """Rows of nodes with their root, which is the node itself if nothing links it."""
+    if roots is None:
+        return nodes.withColumn("root", F.col("node"))
+    return nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+
+
+def candidates(entries: DataFrame, prefixes: DataFrame, verify, least: float, roots: DataFrame | None, hot: int = CROWD, rounds: int = 2) -> DataFrame | None:
+    """(node, root): the components of all similar pairs that share a key of entries, on top of those in `roots`. entries: key, node, n, at (place
+    of the key in the text's order, from 0), prev (the BACK keys before it); prefixes: node, first; verify: from pairs (a, b) to the
+    similar ones, written.
 
     Exact. Texts meet in the bucket of each key, and a pair has to be seen in that of its first common key only. There both keys stand
     so far ahead that what follows them can still be common enough for the two sizes, which `ahead` tests; and if the BACK keys before
-    them have one in common, the pair has met before. All members of a bucket of more than `hot` are compared with its pivot, the member
-    with most in common with others, which then leaves; buckets within one component are settled. After `rounds` rounds the
+    them have one in common, the pair has met before, maybe in another slice. All members of a bucket of more than `hot` are compared with
+    its pivot, the member with most in common with others, which then leaves; buckets within one component are settled. After `rounds` rounds the
     pairs of different components that are left in a bucket meet, in cells, and are compared unless the number of keys they
     share (all their common ones, or they have been compared) is too small for their sizes."""
 
@@ -215,28 +267,27 @@ def candidates(entries: DataFrame, prefixes: DataFrame, verify, least: float, ho
         m, n = F.col(f"{x}n"), F.col(f"{y}n")
         return (F.col(f"{x}at") <= m - needed(m, n)) & (F.col(f"{y}at") <= n - needed(m, n)) & (F.least(m, n) >= least * F.greatest(m, n) - SLACK)
 
+    spark = entries.sparkSession
     counts = entries.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-    met = materialize(entries.join(counts, "key"), "met")
+    met = written(entries.join(counts, "key"), "met")
     score = met.groupBy("node").agg((F.sum(F.log2("size")) / F.first("n")).alias("score"))
-    now = met.drop("size").join(score, "node").withColumn("root", F.col("node"))
-    found, before = None, [met]
+    now = rooted(met.drop("size").join(score, "node"), roots)
+    before = [met]
     for turn in range(rounds + 1):
         state = now.groupBy("key").agg(F.count("*").alias("size"), F.min("root").alias("lo"), F.max("root").alias("hi"), F.max(F.struct("score", "node", "n", "at", "root")).alias("p"))
-        now = materialize(now.join(state.where("lo <> hi").drop("lo", "hi"), "key"), "open")
+        now = written(now.join(state.where("lo <> hi").drop("lo", "hi"), "key"), "open")
         discard(*before)
-        settle(entries.sparkSession)
+        settle(spark)
         before = [now]
         crowded = now.where(F.col("size") > hot)
         if turn == rounds or not crowded.head(1):
             break
         asked = crowded.where("root <> p.root").where(ahead("", "p."))
-        asked = materialize(asked.select(F.least("node", "p.node").alias("a"), F.greatest("node", "p.node").alias("b")).distinct(), "asked")
-        links = verify(asked)
+        asked = written(asked.select(F.least("node", "p.node").alias("a"), F.greatest("node", "p.node").alias("b")).distinct(), "asked")
+        roots = joined(roots, verify(asked))
         discard(asked)
-        found = links if found is None else found.unionAll(links)
-        roots = components(found)
         now = now.where((F.col("size") <= hot) | (F.col("node") != F.col("p.node"))).select("key", "node", "n", "at", "prev", "score")
-        now = now.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        now = rooted(now, roots)
     cells = F.ceil(F.col("size") / CELL).cast("int")
     own = ["key", "node", "n", "at", "prev", "root"]
     rest = now.select(*own, cells.alias("cells"), F.pmod(F.xxhash64("node"), cells).cast("int").alias("cell"))
@@ -247,37 +298,48 @@ def candidates(entries: DataFrame, prefixes: DataFrame, verify, least: float, ho
     apart = (F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root")) & ((F.col("x.cell") != F.col("y.cell")) | (F.col("i") == F.col("j")))
     first = ahead("x.", "y.") & ~F.arrays_overlap("x.prev", "y.prev")
     pairs = x.join(y, ["key", "i", "j"]).where(apart & first).select(F.col("x.node").alias("a"), F.col("x.n").alias("m"), F.col("y.node").alias("b"), F.col("y.n").alias("n")).distinct()
-    for c in "ab":
-        pairs = pairs.join(prefixes.select(F.col("node").alias(c), F.col("first").alias(f"{c}_first")), c)
-    shared = F.size(F.array_intersect("a_first", "b_first"))
-    pairs = pairs.where(shared + F.ceil(least * F.greatest("m", "n") - SLACK) - 1 >= needed(F.col("m"), F.col("n")))
-    pairs = materialize(pairs.select("a", "b"), "asked")
+    pairs = written(pairs, "pairs")
     discard(now)
-    links = verify(pairs)
+    asked = []
+    for some in parts(pairs, 4 * PAIRS):
+        ends = among(prefixes, some)
+        for c in "ab":
+            some = some.join(ends.select(F.col("node").alias(c), F.col("first").alias(f"{c}_first")), c)
+        shared = F.size(F.array_intersect("a_first", "b_first"))
+        some = some.where(shared + F.ceil(least * F.greatest("m", "n") - SLACK) - 1 >= needed(F.col("m"), F.col("n")))
+        asked.append(written(some.select("a", "b"), "asked"))
     discard(pairs)
-    return links if found is None else found.unionAll(links)
+    roots = joined(roots, verify(reduce(DataFrame.unionAll, asked)))
+    discard(*asked)
+    return roots
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, least: float = 0.8, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, cls, component_id, stays): one row per distinct (doc_id, text); component_id is the smallest doc_id of the group.
 
     Equal texts are one node. stays marks one (doc_id, text) of each group."""
-    named = docs.select(F.col(key).cast("long").alias("doc_id"), digest(text).alias("cls"), F.col(text).alias("x"))
+    named = docs.select(F.col(key).cast("long").alias("doc_id"), digest(text).alias("cls"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("mark"), F.col(text).alias("x"))
     small_batches(docs.sparkSession)
-    rows = materialize(shingled(named, words, least, common_shingles(named, words)), "shingles")
-    # A class is named by one of its rows, so no two classes have one name.
-    reps = materialize(rows.groupBy("cls").agg(F.min("doc_id").alias("first"), F.min("rid").alias("node")), "classes")
-    prefixes = rows.select(F.col("rid").alias("node"), "n", "first").join(reps.select("node"), "node")
-    entries = prefixes.select("node", "n", "first", F.posexplode("first").alias("at", "key"))
+    # One row of each text is kept, on the way to disk.
+    rows = shingled(named, words, least, common_shingles(named, words)).groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.first(F.struct("mark", "n", "first")).alias("s"))
+    texts = written(rows.select(F.monotonically_increasing_id().alias("node"), "cls", "doc_id", "s.*"), "texts")
+
+    def verify(pairs: DataFrame) -> DataFrame:
+        return verified(pairs, named, texts.select("node", "cls", "mark"), words, least)
+
+    roots = None
+    entries = texts.select("node", "n", "first", F.posexplode("first").alias("at", "key"))
     back = F.slice("first", F.greatest(F.lit(1), F.col("at") - BACK + 1), F.least(F.lit(BACK), F.col("at")))
-    entries = entries.select("key", "node", "n", "at", back.alias("prev"))
-    roots = components(candidates(entries, prefixes.select("node", "first"), lambda pairs: verified(pairs, named, reps.select("node", "cls"), words, least), least))
-    own = reps.select("cls", "node", "first").join(roots, "node", "left")
-    own = materialize(own.select("cls", F.coalesce("root", "node").alias("root"), "first"), "roots")
+    slices = max(1, min(PARTS, -(-(texts.agg(F.sum(F.size("first"))).first()[0] or 0) // ENTRIES)))
+    for i in range(slices):
+        some = entries.where(F.pmod("key", F.lit(slices)) == i) if slices > 1 else entries
+        roots = candidates(some.select("key", "node", "n", "at", back.alias("prev")), texts.select("node", "first"), verify, least, roots)
+        settle(docs.sparkSession)
+    own = written(rooted(texts.select("cls", "node", F.col("doc_id").alias("first")), roots).select("cls", "root", "first"), "roots")
+    discard(texts)
     group = own.groupBy("root").agg(F.min(F.struct(F.col("first").isNull(), "first", "cls")).alias("kept"))
     per = own.join(group, "root").select("cls", F.col("kept.first").alias("component_id"), F.col("kept.cls").alias("kept"))
-    ids = materialize(rows.select("doc_id", "cls").distinct(), "ids")
-    discard(rows, reps)
+    ids = written(named.select("doc_id", "cls").distinct(), "ids")
     settle(docs.sparkSession)
     return ids.join(per, "cls").select("doc_id", "cls", "component_id", (F.col("cls").eqNullSafe(F.col("kept")) & F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("stays"))
 
@@ -290,7 +352,7 @@ def drop_near_duplicates(docs: DataFrame, words: int = 5, least: float = 0.8, ke
     """One row of each group of near-duplicates, with the columns of docs, whatever their names."""
     at, rank = fresh(docs, "at", "rank")
     stay = near_duplicates(docs, words, least, key, text).where("stays")
-    stay = materialize(stay.select(F.concat_ws("-", "cls", F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).alias(at)), "stay")
+    stay = written(stay.select(F.concat_ws("-", "cls", F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).alias(at)), "stay")
     # Texts are dealt out by digest and id, once for the join and the choice among repeated rows.
     named = docs.withColumn(at, F.concat_ws("-", digest(text), F.coalesce(F.col(key).cast("long").cast("string"), F.lit("null"))))
     met = named.join(stay, at, "left_semi")

@@ -538,6 +538,37 @@ def test_near_duplicates_of_very_short_texts(spark):
     assert near_groups(spark, texts) == {i: i // 2 * 2 if i // 2 % 2 == 0 else i for i in range(len(texts))}
 
 
+def near_copies(seed):
+    rnd, rows = random.Random(seed), []
+    vocabulary = ["".join(rnd.choices("abcdefghij", k=rnd.randint(2, 9))) for _ in range(3000)]
+    for _ in range(8):
+        base = rnd.choices(vocabulary, k=rnd.randint(60, 200))
+        for j in (0, 0, 1, 2, 4, 8):
+            w = list(base)
+            for _ in range(j * len(w) // 100):
+                w[rnd.randrange(len(w))] = rnd.choice(vocabulary)
+            rows.append(" ".join([*w, "end"] if j == 0 and len(rows) % 2 else w))
+    return rows
+
+
+def test_near_duplicates_in_slices(spark, monkeypatch):
+    """Shingles that meet at once and pairs that are compared at once are bounded, and the groups stay those of brute force."""
+    from anamnesis.llm import simhash
+
+    texts, candidates, sizes = near_copies(25), simhash.candidates, []
+
+    def counted(entries, *rest):
+        sizes.append(entries.count())
+        return candidates(entries, *rest)
+
+    monkeypatch.setattr(simhash, "ENTRIES", 500)
+    monkeypatch.setattr(simhash, "PAIRS", 20)
+    monkeypatch.setattr(simhash, "candidates", counted)
+    want = plain_components(range(len(texts)), lambda a, b: similar(texts[a], texts[b]) >= 0.8)
+    assert near_groups(spark, texts) == want
+    assert len(sizes) == -(-sum(sizes) // 500) > 1 and max(sizes) < 750
+
+
 def test_components_of_chains_and_stars(spark):
     from anamnesis.llm.components import components
 
