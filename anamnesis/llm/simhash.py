@@ -8,8 +8,10 @@ Hamming distance, and links become components. Equal fingerprints count once.
 fingerprints within two bits share a fingerprint within one bit of each, no midpoint has more than 65 neighbours,
 and all neighbours of a midpoint are within two bits of each other. So no bucket is capped or skipped.
 
-`near_duplicates` links texts whose sets of five-word shingles have a similarity of 0.8 or more, exactly: candidates come
-from the shingles themselves (prefix filter), and every link is decided by the two sets. Members of crowded buckets meet
+`near_duplicates` links texts whose sets of five-word shingles have a similarity of 0.8 or more, exactly. Its first links are those of
+the method: fingerprints of these shingles meet on blocks, those within two bits are candidates, and an exact check of the two
+sets follows. Similar texts whose fingerprints are further apart, which 64 bits cannot tell, come from the shingles themselves (prefix
+filter), as far as the first links have left them apart; every link is decided by the two sets. Members of crowded buckets meet
 pivots before each other; what pivots leave apart meets in cells, so no bucket is capped or skipped there either. Shingles are
 taken in slices and pairs in parts, one after the other, so that disk is needed for one at a time.
 
@@ -142,10 +144,14 @@ def written(df: DataFrame, tag: str) -> DataFrame:
             conf.set(key, before)
 
 
+def distinct(h: np.ndarray) -> np.ndarray:
+    own = np.unique(h).view(np.int64)
+    return own if len(own) else np.zeros(1, np.int64)
+
+
 def shingle_set(text: str | None, words: int) -> np.ndarray:
     """The distinct shingle hashes as signed longs; texts without words have a set of their own in common."""
-    own = np.unique(hashes(text, words)).view(np.int64)
-    return own if len(own) else np.zeros(1, np.int64)
+    return distinct(hashes(text, words))
 
 
 def common_shingles(named: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -165,7 +171,7 @@ def common_shingles(named: DataFrame, words: int) -> tuple[np.ndarray, np.ndarra
 
 
 def shingled(named: DataFrame, words: int, least: float, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """Rows with the number n of their shingles and the first of these in an order that all texts share (rare ones
+    """Rows with the SimHash fp and the number n of their shingles and the first of these in an order that all texts share (rare ones
     first): of two sets with a similarity of `least`, the first n - ceil(least * n) + 1 have a member in common."""
     known, often = common
 
@@ -174,19 +180,22 @@ def shingled(named: DataFrame, words: int, least: float, common: tuple[np.ndarra
 
         Memory.only("simhash")
         for batch in batches:
-            sizes, first = [], []
+            fps, sizes, first = [], [], []
             for x in batch.column(3):
-                s = shingle_set(x.as_py(), words)
+                h = hashes(x.as_py(), words)
+                s = distinct(h)
                 rank = np.zeros(len(s), np.int64)
                 if len(known):
                     at = np.minimum(np.searchsorted(known, s), len(known) - 1)
                     rank = np.where(known[at] == s, often[at], 0)
                 first.append(s[np.lexsort((s, rank))[: len(s) - int(np.ceil(least * len(s) - SLACK)) + 1]])
                 sizes.append(len(s))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(sizes, pa.int64()), pa.array(first, pa.list_(pa.int64()))], names=["doc_id", "cls", "mark", "n", "first"])
+                fps.append(majority(h)[0])
+            fp = pa.array(np.array(fps, np.uint64).view(np.int64))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], fp, pa.array(sizes, pa.int64()), pa.array(first, pa.list_(pa.int64()))], names=["doc_id", "cls", "mark", "fp", "n", "first"])
 
     small_batches(named.sparkSession)
-    return named.select("doc_id", "cls", "mark", "x").mapInArrow(run, "doc_id long, cls string, mark long, n long, first array<long>")
+    return named.select("doc_id", "cls", "mark", "x").mapInArrow(run, "doc_id long, cls string, mark long, fp long, n long, first array<long>")
 
 
 def parts(pairs: DataFrame, most: int) -> list[DataFrame]:
@@ -248,6 +257,19 @@ def rooted(nodes: DataFrame, roots: DataFrame | None) -> DataFrame:
     return nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
 
 
+def close(classes: DataFrame) -> DataFrame:
+    """(a, b), written: texts whose fingerprints are within two bits. Equal fingerprints meet their first text, and these meet for the links of
+    fingerprints. classes: node, fp."""
+    fps = written(classes.groupBy("fp").agg(F.min("node").alias("first")), "distinct")
+    same = classes.join(fps, "fp").where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
+    near = links(fps.select("fp"))
+    for c in "ab":
+        near = near.join(fps.select(F.col("fp").alias(c), F.col("first").alias(f"{c}_first")), c)
+    out = written(same.unionAll(near.select(F.least("a_first", "b_first").alias("a"), F.greatest("a_first", "b_first").alias("b"))).distinct(), "close")
+    discard(fps)
+    return out
+
+
 def candidates(entries: DataFrame, prefixes: DataFrame, verify, least: float, roots: DataFrame | None, hot: int = CROWD, rounds: int = 2) -> DataFrame | None:
     """(node, root): the components of all similar pairs that share a key of entries, on top of those in `roots`. entries: key, node, n, at (place
     of the key in the text's order, from 0), prev (the BACK keys before it); prefixes: node, first; verify: from pairs (a, b) to the
@@ -321,13 +343,15 @@ def near_duplicates(docs: DataFrame, words: int = 5, least: float = 0.8, key: st
     named = docs.select(F.col(key).cast("long").alias("doc_id"), digest(text).alias("cls"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("mark"), F.col(text).alias("x"))
     small_batches(docs.sparkSession)
     # One row of each text is kept, on the way to disk.
-    rows = shingled(named, words, least, common_shingles(named, words)).groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.first(F.struct("mark", "n", "first")).alias("s"))
+    rows = shingled(named, words, least, common_shingles(named, words)).groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.first(F.struct("mark", "fp", "n", "first")).alias("s"))
     texts = written(rows.select(F.monotonically_increasing_id().alias("node"), "cls", "doc_id", "s.*"), "texts")
 
     def verify(pairs: DataFrame) -> DataFrame:
         return verified(pairs, named, texts.select("node", "cls", "mark"), words, least)
 
-    roots = None
+    pairs = close(texts.select("node", "fp"))
+    roots = joined(None, verify(pairs))
+    discard(pairs)
     entries = texts.select("node", "n", "first", F.posexplode("first").alias("at", "key"))
     back = F.slice("first", F.greatest(F.lit(1), F.col("at") - BACK + 1), F.least(F.lit(BACK), F.col("at")))
     slices = max(1, min(PARTS, -(-(texts.agg(F.sum(F.size("first"))).first()[0] or 0) // ENTRIES)))

@@ -569,6 +569,18 @@ def test_near_duplicates_in_slices(spark, monkeypatch):
     assert len(sizes) == -(-sum(sizes) // 500) > 1 and max(sizes) < 750
 
 
+def test_near_duplicates_begin_with_fingerprints(spark, monkeypatch):
+    """Without the step on shingles the links are those of fingerprints within two bits that the sets confirm."""
+    from anamnesis.llm import simhash
+
+    monkeypatch.setattr(simhash, "candidates", lambda entries, prefixes, verify, least, roots: roots)
+    texts = near_copies(26)
+    fps = [int(simhash.majority(simhash.hashes(t, 5))[0]) for t in texts]
+    want = plain_components(range(len(texts)), lambda a, b: (fps[a] ^ fps[b]).bit_count() <= 2 and similar(texts[a], texts[b]) >= 0.8)
+    assert 8 < len(set(want.values())) < len(texts) and any(fps[a] != fps[b] and texts[a] != texts[b] for a, b in want.items())
+    assert near_groups(spark, texts) == want
+
+
 def test_components_of_chains_and_stars(spark):
     from anamnesis.llm.components import components
 
