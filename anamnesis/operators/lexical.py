@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from anamnesis.functions import text as T
+from anamnesis.functions.numbers import places
 
 K1, B = 1.5, 0.75
+#: Decimals at which normalised scores are compared: below them is the order of sums.
+DECIMALS = 9
 
 
 def tokenised(docs: DataFrame, key: str, text: str, scope: str | None = None) -> DataFrame:
@@ -56,8 +59,8 @@ def bm25(docs: DataFrame, questions: DataFrame, doc_key: str, doc_text: str, que
 
 
 def lexical_candidates(scores: DataFrame, k: int) -> DataFrame:
-    """Scores over the question's largest one, the k best of each question; ties by document."""
+    """Scores over the question's largest one, the k best of each question; ties, at DECIMALS, by document."""
     w = W.partitionBy("question")
-    rank = F.row_number().over(w.orderBy(F.desc("lexical_score"), "doc"))
+    rank = F.row_number().over(w.orderBy(places(F.col("lexical_score"), DECIMALS).desc(), "doc"))
     top = scores.where("score > 0").withColumn("lexical_score", F.col("score") / F.max("score").over(w))
     return top.withColumn("rank", rank).where(F.col("rank") <= k)

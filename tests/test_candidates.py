@@ -30,3 +30,11 @@ def test_canonical_answers_and_decisions(spark):
     assert [r[0] for r in rows.select(C.canonical_answer(c("g"), c("s"), c("v"), c("q"), c("r"))).collect()] == ["20 hours", "about six weeks", "six weeks", "maybe 7", "Rome", ""]
     rows = spark.createDataFrame([("sum", "complete", "3", 1, 0), ("sum", "insufficient_evidence", None, 0, 2), ("none", "not_applicable", None, 1, 0), ("none", "not_applicable", None, 1, 2)], "o string, t string, a string, n int, k int")
     assert [r[0] for r in rows.select(C.decision(c("o"), c("t"), c("a"), c("n"), c("k"))).collect()] == ["answer", "abstain", "abstain", "generate"]
+
+
+def test_ties_by_document(spark):
+    """Scores that differ only by the order of their sums are ties."""
+    from anamnesis.operators import lexical
+
+    scores = spark.createDataFrame([(1, 1, 4.0), (1, 2, 1.0), (1, 3, 1.0 + 4e-16), (1, 4, 0.5)], "question int, doc int, score double")
+    assert [r.doc for r in lexical.lexical_candidates(scores, 2).orderBy("rank").collect()] == [1, 2]
