@@ -38,3 +38,14 @@ def test_ties_by_document(spark):
 
     scores = spark.createDataFrame([(1, 1, 4.0), (1, 2, 1.0), (1, 3, 1.0 + 4e-16), (1, 4, 0.5)], "question int, doc int, score double")
     assert [r.doc for r in lexical.lexical_candidates(scores, 2).orderBy("rank").collect()] == [1, 2]
+
+
+def test_fused_ties_by_document(spark):
+    """Fused scores too."""
+    from anamnesis.plans import hybrid
+
+    legs = spark.createDataFrame([(1, 7, 0.8), (1, 8, 0.8 + 4e-16)], "question int, doc int, lexical_score double")
+    dense = spark.createDataFrame([], "question int, doc int, dense_score double")
+    docs = spark.createDataFrame([(7, "red fox"), (8, "fox red")], "doc int, text string")
+    asked = spark.createDataFrame([(1, "red fox")], "question int, qtext string")
+    assert [r.doc for r in hybrid.hybrid_search(legs, dense, None, docs, asked, 1, 0.2).collect()] == [7]
