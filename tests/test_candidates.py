@@ -49,3 +49,21 @@ def test_fused_ties_by_document(spark):
     docs = spark.createDataFrame([(7, "red fox"), (8, "fox red")], "doc int, text string")
     asked = spark.createDataFrame([(1, "red fox")], "question int, qtext string")
     assert [r.doc for r in hybrid.hybrid_search(legs, dense, None, docs, asked, 1, 0.2).collect()] == [7]
+
+
+def test_nearest_of_awkward_vectors(spark, tmp_path, monkeypatch):
+    """Missing, odd, short, far, equal and nearly equal vectors, in tiles smaller than the table, against the SQL."""
+    import duckdb
+
+    from anamnesis.operators import dense
+    from anamnesis.plans.queries import KNN_SQL, knn_exact
+
+    monkeypatch.setattr(dense, "ROWS", 7)
+    odd = {3: None, 50: [0.6, None, 0.8], 51: [None, None, None], 52: [float("nan"), 0.0, 1.0], 53: [float("inf"), 0.0, 0.0], 54: [0.6, 0.8], 55: [], 100: None, 56: [1e200, 0.0, 0.0]}
+    own = {i: odd[i] if i in odd else [0.6, 0.8, 0.0] if i % 4 == 0 else [0.6 + i % 3 * 1e-15, 0.0, 0.8] if i % 4 == 1 else [-0.6 - i, 0.0, 0.8] if i % 4 == 2 else [i / 200, 0.5, 0.1] for i in range(200)}
+    con = duckdb.connect()
+    con.execute("CREATE TABLE embeddings (vec_id BIGINT, embedding DOUBLE[], label INTEGER)")
+    con.executemany("INSERT INTO embeddings VALUES (?, ?, 0)", [[i, v] for i, v in own.items()])
+    con.execute(f"COPY embeddings TO '{tmp_path}/embeddings.parquet'")
+    said = con.execute(f"WITH {KNN_SQL} SELECT question, doc, rank, round(dense_score, 6) FROM k WHERE rank <= 20").fetchall()
+    assert sorted((r.question, r.doc, r["rank"], r.dense_score) for r in knn_exact(spark, str(tmp_path)).collect()) == sorted(said) and len(said) == 80
