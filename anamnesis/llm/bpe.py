@@ -27,8 +27,11 @@ from pyspark.sql import functions as F
 
 from anamnesis.llm.common import Memory, small_batches
 
-#: Chunks and pieces that a worker remembers at most per generation, and characters above which a piece isn't remembered but fed in parts.
-REMEMBERED, LONG = 200_000, 256
+#: Chunks, and pieces of other kinds, that a worker remembers at most per generation, pairs of tokens of which it is known whether they may stand side
+#: by side, and characters above which a piece isn't remembered but fed in parts.
+REMEMBERED, OTHERS, AGREED, LONG = 200_000, 20_000, 400_000, 256
+#: Ids that leave a worker at once.
+IDS = 1 << 19
 #: Characters of a block that is cut into chunks at once, and of a part of a long piece.
 BLOCK, STEP = 1 << 18, 1 << 12
 LONG_WORD = re.compile(r"[^ ]{4096}")
@@ -60,10 +63,12 @@ class Merges:
         self.lookahead = max(map(len, self.ids))
         self.agreed: dict[tuple[int, int], bool] = {}
         self.ids = {t: i for t, i in self.ids.items() if i in single or self.reachable(i)}
-        #: Length of the longest token by its last three bytes.
+        #: Length of the longest token by its last three and by its first four bytes.
         self.longest: dict[bytes, int] = {}
+        self.begun: dict[bytes, int] = {}
         for t in self.ids:
             self.longest[t[-3:]] = max(len(t), self.longest.get(t[-3:], 2))
+            self.begun[t[:4]] = max(len(t), self.begun.get(t[:4], 3))
 
     def reachable(self, token: int) -> bool:
         """Whether the token's own bytes are encoded as this token: its two parts may not stand side by side."""
@@ -97,7 +102,7 @@ class Merges:
     def agree(self, a: int, b: int) -> bool:
         """Whether the encoding of the two tokens' bytes is the two tokens."""
         if (a, b) not in self.agreed:
-            if len(self.agreed) > 4_000_000:
+            if len(self.agreed) >= AGREED:
                 self.agreed.clear()
             self.agreed[a, b] = self.first_merge(a, b) is None
         return self.agreed[a, b]
@@ -154,9 +159,9 @@ class Transducer:
 
     def finish(self) -> list[int]:
         """The tokens of the window, as nothing follows: longest first. Where no token goes on is never tried again, as only one row of tokens leads there."""
-        data, ids, agreed, agree, most = self.open, self.m.ids, self.m.agreed, self.m.agree, self.m.lookahead
+        data, ids, agreed, agree, begun = self.open, self.m.ids, self.m.agreed, self.m.agree, self.m.begun
         n, at, out, starts, dead = len(data), 0, [], [], set()
-        end = min(n, most)
+        end = min(n, begun.get(data[:4], 3))
         while at < n:
             before = out[-1] if out else self.before
             while end > at:
@@ -171,7 +176,7 @@ class Transducer:
             if end > at:
                 out.append(token)
                 starts.append(at)
-                at, end = end, min(n, end + most)
+                at, end = end, min(n, end + begun.get(data[end : end + 4], 3))
             else:
                 dead.add(at)
                 out.pop()
@@ -200,7 +205,9 @@ class Codec:
         self.pattern = regex.compile(PATTERN)
         self.parts = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.transducer = Transducer(self.merges)
-        self.chunks, self.pieces = Memory(REMEMBERED, "bpe"), Memory(REMEMBERED, "bpe")
+        #: Letters and signs after them, which are a piece each.
+        self.plain = regex.compile(r"(\p{L}+)([^\p{White_Space}\p{L}\p{N}']*)")
+        self.chunks, self.pieces = Memory(REMEMBERED, "bpe"), Memory(OTHERS, "bpe")
 
     @classmethod
     def of(cls, path: str) -> Codec:
@@ -224,17 +231,35 @@ class Codec:
                 out = self.transducer.finish()
                 continue
             p = match.group()
-            if self.pieces.missing({p}):
-                self.pieces.young[p] = self.piece(p)
-            out += self.pieces.young[p]
+            out += self.remembered(p)
             if len(out) > STEP:
                 yield out
                 out = []
         yield out
 
+    def remembered(self, p: str) -> list[int]:
+        ids = self.pieces.young.get(p)
+        if ids is None:
+            if self.pieces.missing({p}):
+                self.pieces.young[p] = self.piece(p)
+            ids = self.pieces.young[p]
+        return ids
+
     def split(self, text: str) -> list[int]:
         return [i for some in self.pieces_of(text, 0, len(text)) for i in some]
 
+    def chunk(self, word: str) -> tuple[int, ...]:
+        """Ids of the word after a blank. Most are letters and a sign or two, whose pieces are known without the pattern."""
+        plain = self.plain.fullmatch(word) if len(word) < LONG else None
+        if plain is None:
+            return tuple(self.split(" " + word))
+        letters, signs = plain.groups()
+        if not signs:
+            return tuple(self.piece(" " + letters))
+        if (ids := self.chunks.young.get(letters)) is None:
+            ids = self.chunks.young[letters] = self.chunks.old.get(letters) or tuple(self.piece(" " + letters))
+        return (*ids, *self.remembered(signs))
+
     def stretch(self, text: str) -> list[int]:
         """Ids of a block. Where no white space stands before a blank, each blank starts a chunk of its own."""
         if re.search(r"\s ", text):
@@ -242,7 +267,7 @@ class Codec:
         first, *rest = text.split(" ")
         out = self.split(first)
         for word in self.chunks.missing(set(rest)):
-            self.chunks.young[word] = tuple(self.split(" " + word))
+            self.chunks.young[word] = self.chunk(word)
         for ids in map(self.chunks.young.__getitem__, rest):
             out += ids
         return out
@@ -314,7 +339,7 @@ def encode_decode(docs: DataFrame, tokenizer: str, with_ids: bool = True, key: s
                 rows.append(one(x.as_py() or ""))
                 keys.append(k.as_py())
                 held += rows[-1][0]
-                if with_ids and held > 1 << 21:
+                if with_ids and held > IDS:
                     yield pack(keys, rows, kinds)
                     keys, rows, held = [], [], 0
             if rows:

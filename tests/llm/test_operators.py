@@ -855,3 +855,19 @@ def test_urls_mining_against_counting(spark):
     got = {tuple(r.tokens): r.confidence for r in mine(spark.createDataFrame(rows, "url string, bad boolean")).collect()}
     want = plain_rules(rows)
     assert set(got) == set(want) and len(want) > 1 and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
+def test_bpe_memory_is_bounded(monkeypatch):
+    """Letters are remembered once, with or without signs after them; pairs of tokens only up to a bound."""
+    import public_tokenizers
+    import tokenizers
+
+    from anamnesis.llm import bpe
+
+    monkeypatch.setattr(bpe, "AGREED", 50)
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    codec, library = bpe.Codec(path), tokenizers.Tokenizer.from_file(path)
+    text = "x" + "".join(f" {w}{s}" for w in ("zorplet quixanth drömmig vblorn éclatix naïvoré grumbleforth ѬѬщ it's don't 12x".split() * 5) for s in ["", ".", ",", "!?"])
+    text += " it’s zorplet’s x1 don't."
+    assert [i for some in codec.encode(text) for i in some] == library.encode(text, add_special_tokens=False).ids
+    assert len(codec.merges.agreed) <= 50 and " quixanth" not in codec.pieces.young and "quixanth" in codec.chunks.young
