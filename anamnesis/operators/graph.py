@@ -130,13 +130,15 @@ def path_string(path: Column) -> Column:
 def link_entities(questions: DataFrame, aliases: DataFrame) -> DataFrame:
     """(question, entity_id, alias_key) of the aliases that stand in the question as whole words.
 
-    Every run of up to as many words as the longest alias has is looked up: an equi-join, not a comparison of all with all.
+    Every run of up to as many words as the longest alias has is looked up: an equi-join, not a comparison of all with all. Only runs
+    that are an alias are kept to be told apart.
     questions: question, text; aliases: alias_key, entity_id."""
     longest = aliases.agg(F.max(F.size(F.split("alias_key", " ")))).first()[0] or 0
     words = F.filter(F.split(T.alias_key(F.col("text")), " "), lambda w: w != "")
     runs = questions.select("question", words.alias("w")).select("question", "w", F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("w")))).alias("at"), F.lit(longest).alias("n"))
     runs = runs.where(F.size("w") > 0).select("question", F.explode(F.transform(F.sequence(F.lit(1), F.least(F.col("n"), F.size("w") - F.col("at") + 1)), lambda k: F.array_join(F.slice("w", F.col("at"), k), " "))).alias("alias_key"))
-    return runs.distinct().join(aliases, "alias_key").select("question", "entity_id", "alias_key")
+    named = runs.join(aliases.select("alias_key"), "alias_key", "left_semi").select("question", "alias_key").distinct()
+    return named.join(aliases, "alias_key").select("question", "entity_id", "alias_key")
 
 
 def provenance(turn: Column, session: Column, role: Column, speaker: Column, stamp: Column, text: Column, kind: str, quote: Column | None = None, confidence: float = 0.8) -> Column:

@@ -82,3 +82,15 @@ def test_answers_of_articles_alone(spark, tmp_path):
     con.execute(f"COPY conversations TO '{tmp_path}/conversations.parquet'")
     said = sorted(con.execute(ORACLE["answer_normalise"]).fetchall())
     assert sorted(tuple(r) for r in answer_normalise(spark, str(tmp_path)).collect()) == said
+
+
+def test_only_aliases_are_told_apart(spark):
+    """Runs of words that are no alias are dropped before anything is gathered."""
+    from anamnesis.operators import graph
+
+    asked = spark.createDataFrame([(1, "a red fox and a red fox"), (1, "red fox"), (2, "no name")], "question int, text string")
+    aliases = spark.createDataFrame([("red fox", 5), ("fox", 6), ("fox", 7)], "alias_key string, entity_id int")
+    out = graph.link_entities(asked, aliases)
+    assert sorted((r.question, r.entity_id) for r in out.collect()) == [(1, 5), (1, 6), (1, 7)]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Aggregate") < plan.index("LeftSemi")
