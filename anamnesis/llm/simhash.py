@@ -12,8 +12,9 @@ and all neighbours of a midpoint are within two bits of each other. So no bucket
 the method: fingerprints of these shingles meet on blocks, those within two bits are candidates, and an exact check of the two
 sets follows. Similar texts whose fingerprints are further apart, which 64 bits cannot tell, come from the shingles themselves (prefix
 filter), as far as the first links have left them apart; every link is decided by the two sets. Members of crowded buckets meet
-pivots before each other; what pivots leave apart meets in cells, so no bucket is capped or skipped there either. Shingles are
-taken in slices and pairs in parts, one after the other, so that disk is needed for one at a time.
+pivots before each other; what pivots leave apart meets in cells, so no bucket is capped or skipped there either. Shingles that
+only one text has are dropped first. What is left is taken in slices and pairs in parts, one after the other, so that disk is needed for one at a
+time; both grow with the input, and the texts are read once for all parts, so their number doesn't.
 
 Defined results: a null text is an empty one; texts without words have fingerprint zero and are linked like any
 other; null ids keep their rows and take the component of their fingerprint (null if it has no id at all); repeated
@@ -24,9 +25,10 @@ rows are in one component; an empty table gives no row. Further columns are igno
 from __future__ import annotations
 
 from functools import reduce
+from itertools import chain, repeat
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -39,9 +41,16 @@ HOT = 64
 
 def hashes(text: str | None, words: int) -> np.ndarray:
     """XXH64 (seed 42) of the shingles, repeats included; of the whole sequence if it is shorter."""
+    return hashed(words_of(text), words)
+
+
+def words_of(text: str | None) -> list[bytes]:
+    return (text or "").encode("utf-8", "surrogatepass").lower().split()
+
+
+def hashed(w: list[bytes], words: int) -> np.ndarray:
     import xxhash
 
-    w = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not w:
         return np.empty(0, np.uint64)
     parts = map(b" ".join, zip(*(w[i:] for i in range(words)))) if len(w) >= words else [b" ".join(w)]  # noqa: B905
@@ -118,14 +127,16 @@ CROWD = 8
 CELL = 256
 #: Keys before each one that go with it, to tell pairs that have met before.
 BACK = 4
-#: Texts among which common shingles are looked for, and rows from which a shingle is common.
-SAMPLE, COMMON = 4_000, 3
-#: Texts to be compared up to which their digests are broadcast, at about 100 bytes each.
-ASKED = 200_000
-#: Shingles that meet at once, at about 75 bytes of shuffle files each; pairs that are compared at once, at about 10,000.
+#: Texts among which common words are looked for, rows from which a word or shingle is common, and shingles kept as common at most.
+SAMPLE, COMMON, KNOWN = 4_000, 3, 500_000
+#: Of this many texts one is looked at for common shingles: how many texts may share one that isn't known doesn't grow with the input.
+ONE_OF = 16
+#: Texts to be compared up to which their numbers or short hashes are broadcast, at about 40 bytes each.
+ASKED = 1_000_000
+#: Shingles that meet at once, at about 75 bytes of shuffle files each, and pairs that are compared at once, at about 10,000. Each slice and
+#: part reads tables again, so they grow with the input: to a QUARTER of all shingles looked at, and to one pair for EACH so many texts.
 ENTRIES, PAIRS = 8_000_000, 50_000
-#: Slices and parts, at most: each reads the shingles or the texts again, and its share of the disk is small by then.
-PARTS = 16
+QUARTER, EACH = 4, 8
 #: Against rounding: bounds are taken a little too low, never too high.
 SLACK = 1e-9
 
@@ -154,26 +165,51 @@ def shingle_set(text: str | None, words: int) -> np.ndarray:
     return distinct(hashes(text, words))
 
 
-def common_shingles(named: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
-    """(sorted hashes, how often) of shingles that are common in a sample: they only order shingles, so any sample gives the same groups."""
-    share = min(65535, int(65536 * SAMPLE / max(named.count(), 1)))
+def common(named: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray, dict[bytes, int]]:
+    """(sorted hashes, how often) of shingles that are common in a sample, and how common its words are (eighths of a power of two): they
+    only order shingles, so any sample gives the same groups."""
+    few = min(65535, int(65536 * SAMPLE / max(named.count(), 1)))
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            for x in batch.column(0):
-                yield pa.RecordBatch.from_arrays([pa.array(shingle_set(x.as_py(), words))], names=["h"])
-
-    some = named.where(F.conv(F.substring("cls", 1, 4), 16, 10).cast("long") <= share)
-    seen = some.select("x").mapInArrow(run, "h long").groupBy("h").count().where(F.col("count") >= COMMON).toPandas().sort_values("h")
-    return seen["h"].to_numpy(np.int64), seen["count"].to_numpy(np.int64)
-
-
-def shingled(named: DataFrame, words: int, least: float, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+            for x, part in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+                w = words_of(x.as_py())
+                own, names = distinct(hashed(w, words)), list(set(w)) if part <= few else []
+                yield pa.RecordBatch.from_arrays([pa.array([*own.tolist(), *[None] * len(names)], pa.int64()), pa.array([*[None] * len(own), *names], pa.binary())], names=["h", "w"])
+
+    some = named.select("x", F.shiftrightunsigned("mark", 48).alias("part")).where(F.col("part") <= max(few, 65536 // ONE_OF))
+    seen = some.mapInArrow(run, "h long, w binary").groupBy("h", "w").count().where(F.col("count") >= COMMON)
+    seen = seen.orderBy(F.col("w").isNull(), F.desc("count"), "h").limit(2 * KNOWN).toArrow()
+    often, given = seen.column("count").to_numpy(), seen.column("w").is_valid().to_numpy()
+    h, n = seen.column("h").filter(~given).to_numpy(), often[~given]
+    order = np.argsort(h)
+    level = np.ceil(8 * np.log2(often[given])).astype(int).tolist()
+    return h[order], n[order], dict(zip(seen.column("w").filter(given).to_pylist(), level, strict=True))
+
+
+def ordered(text: str | None, words: int, known: tuple[np.ndarray, np.ndarray, dict[bytes, int]]) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles, repeats included, and the distinct ones, rare ones first: those that are common in the sample go last, and others by
+    how common their words are, so that what meets by chance among ever more texts stays behind."""
+    keys, often, level = known
+    w = words_of(text)
+    h = hashed(w, words)
+    if not len(h):
+        return h, distinct(h)
+    sums = np.cumsum(np.fromiter(chain((0,), map(level.get, w, repeat(0))), np.int64, len(w) + 1))
+    own, at = np.unique(h, return_index=True)
+    rank = (sums[words:] - sums[:-words])[at] if len(w) >= words else sums[-1:]
+    own = own.view(np.int64)
+    if len(keys):
+        where = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
+        rank = rank + np.where(keys[where] == own, often[where] << 32, 0)
+    return h, own[np.argsort(rank, kind="stable")]
+
+
+def shingled(named: DataFrame, words: int, least: float, known: tuple[np.ndarray, np.ndarray, dict[bytes, int]]) -> DataFrame:
     """Rows with the SimHash fp and the number n of their shingles and the first of these in an order that all texts share (rare ones
     first): of two sets with a similarity of `least`, the first n - ceil(least * n) + 1 have a member in common."""
-    known, often = common
 
     def run(batches):
         import pyarrow as pa
@@ -182,13 +218,8 @@ def shingled(named: DataFrame, words: int, least: float, common: tuple[np.ndarra
         for batch in batches:
             fps, sizes, first = [], [], []
             for x in batch.column(3):
-                h = hashes(x.as_py(), words)
-                s = distinct(h)
-                rank = np.zeros(len(s), np.int64)
-                if len(known):
-                    at = np.minimum(np.searchsorted(known, s), len(known) - 1)
-                    rank = np.where(known[at] == s, often[at], 0)
-                first.append(s[np.lexsort((s, rank))[: len(s) - int(np.ceil(least * len(s) - SLACK)) + 1]])
+                h, s = ordered(x.as_py(), words, known)
+                first.append(s[: len(s) - int(np.ceil(least * len(s) - SLACK)) + 1])
                 sizes.append(len(s))
                 fps.append(majority(h)[0])
             fp = pa.array(np.array(fps, np.uint64).view(np.int64))
@@ -199,9 +230,9 @@ def shingled(named: DataFrame, words: int, least: float, common: tuple[np.ndarra
 
 
 def parts(pairs: DataFrame, most: int) -> list[DataFrame]:
-    """The pairs, written, in parts of about `most`, but in PARTS at most."""
-    count = max(1, min(PARTS, -(-pairs.count() // most)))
-    return [pairs.where(F.pmod(F.xxhash64("a", "b"), F.lit(count)) == i) for i in range(count)] if count > 1 else [pairs]
+    """The pairs, written, in parts of about `most`."""
+    count = max(1, -(-pairs.count() // most))
+    return [pairs.where(F.pmod(F.xxhash64("a"), F.lit(count)) == i) for i in range(count)] if count > 1 else [pairs]
 
 
 def among(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -210,9 +241,17 @@ def among(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     return nodes.join(F.broadcast(asked) if asked.count() <= ASKED else asked, "node", "left_semi")
 
 
-def sets_of(named: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """(node, set) of the wanted (node, cls, mark): worked out from the texts again, as sets of all texts would take more room than the texts.
-    Texts are found by their short hash `mark`, and the digest decides."""
+def texts_of(named: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(node, x): the texts of the wanted (node, cls, mark), written, in one scan. They are found by their short hash `mark`, and the digest decides."""
+    texts, marks = named.select("x", "mark"), wanted.select("mark").distinct()
+    if wanted.count() <= ASKED:
+        texts = texts.join(F.broadcast(marks), "mark", "left_semi")
+    met = texts.join(wanted.hint("shuffle_merge"), "mark").where(digest("x") == F.col("cls"))
+    return written(met.groupBy("node").agg(F.first("x").alias("x")), "wanted")
+
+
+def sets_of(texts: DataFrame, words: int) -> DataFrame:
+    """(node, set) of (node, x): worked out from the texts again, as sets of all texts would take more room than the texts."""
 
     def run(batches):
         import pyarrow as pa
@@ -220,23 +259,25 @@ def sets_of(named: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingle_set(x.as_py(), words) for x in batch.column(1)], pa.list_(pa.int64()))], names=["node", "set"])
 
-    if wanted.count() <= ASKED:
-        wanted = F.broadcast(wanted)
-    texts = named.select("x", "mark").join(wanted, "mark").where(digest("x") == F.col("cls"))
-    return texts.groupBy("node").agg(F.first("x").alias("x")).mapInArrow(run, "node long, set array<long>")
+    return texts.mapInArrow(run, "node long, set array<long>")
 
 
-def verified(pairs: DataFrame, named: DataFrame, classes: DataFrame, words: int, least: float) -> DataFrame:
-    """The pairs (a, b) whose sets are at least that similar, written. pairs: written; classes: node, cls, mark."""
-    out = []
-    for some in parts(pairs, PAIRS):
-        wanted = written(among(classes, some), "wanted")
-        sets = written(sets_of(named, wanted, words), "sets")
+def verified(pairs: DataFrame, named: DataFrame, classes: DataFrame, words: int, least: float, most: int) -> DataFrame:
+    """The pairs (a, b) whose sets are at least that similar, written, `most` at once. pairs: written; classes: node, cls, mark."""
+    if not pairs.head(1):
+        return pairs.select("a", "b")
+    wanted = written(among(classes, pairs), "asked")
+    texts = texts_of(named, wanted)
+    discard(wanted)
+    out, some_of = [], parts(pairs, most)
+    for some in some_of:
+        sets = written(sets_of(among(texts, some) if len(some_of) > 1 else texts, words), "sets")
         for c in "ab":
             some = some.join(sets.select(F.col("node").alias(c), F.col("set").alias(f"{c}_set")), c)
         both = F.size(F.array_intersect("a_set", "b_set"))
         out.append(written(some.where(both / (F.size("a_set") + F.size("b_set") - both) >= least).select("a", "b"), "links"))
-        discard(wanted, sets)
+        discard(sets)
+    discard(texts)
     return reduce(DataFrame.unionAll, out)
 
 
@@ -270,31 +311,54 @@ def close(classes: DataFrame) -> DataFrame:
     return out
 
 
+def needed(m: Column, n: Column, least: float) -> Column:
+    """Shingles that sets of m and n must have in common."""
+    return F.ceil(least / (1 + least) * (m + n) - SLACK)
+
+
+def likely(pairs: DataFrame, prefixes: DataFrame, least: float, most: int) -> DataFrame:
+    """The pairs (a, m, b, n) that share keys enough for their sizes, if what follows the first keys were all in common; written. prefixes: node, first."""
+    out = []
+    for some in parts(pairs, most):
+        ends = among(prefixes, some)
+        for c in "ab":
+            some = some.join(ends.select(F.col("node").alias(c), F.col("first").alias(f"{c}_first")), c)
+        shared = F.size(F.array_intersect("a_first", "b_first"))
+        some = some.where(shared + F.ceil(least * F.greatest("m", "n") - SLACK) - 1 >= needed(F.col("m"), F.col("n"), least))
+        out.append(written(some.select("a", "b"), "likely"))
+    all_of = written(reduce(DataFrame.unionAll, out), "likely")
+    discard(*out)
+    return all_of
+
+
+def met(texts: DataFrame) -> DataFrame:
+    """(key, node, at, size), written: the keys that two texts or more have, and how many. Only numbers are dealt out for it. texts: node, first."""
+    rows = texts.select("node", F.posexplode("first").alias("at", "key"))
+    return written(rows.withColumn("size", F.count("*").over(W.partitionBy("key"))).where("size > 1"), "met")
+
+
 def candidates(entries: DataFrame, prefixes: DataFrame, verify, least: float, roots: DataFrame | None, hot: int = CROWD, rounds: int = 2) -> DataFrame | None:
     """(node, root): the components of all similar pairs that share a key of entries, on top of those in `roots`. entries: key, node, n, at (place
-    of the key in the text's order, from 0), prev (the BACK keys before it); prefixes: node, first; verify: from pairs (a, b) to the
-    similar ones, written.
+    of the key in the text's order, from 0), prev (the BACK keys before it), size (texts with that key); prefixes: node, first; verify: from
+    pairs (a, b) to the similar ones, written.
 
     Exact. Texts meet in the bucket of each key, and a pair has to be seen in that of its first common key only. There both keys stand
     so far ahead that what follows them can still be common enough for the two sizes, which `ahead` tests; and if the BACK keys before
     them have one in common, the pair has met before, maybe in another slice. All members of a bucket of more than `hot` are compared with
     its pivot, the member with most in common with others, which then leaves; buckets within one component are settled. After `rounds` rounds the
-    pairs of different components that are left in a bucket meet, in cells, and are compared unless the number of keys they
+    pairs of different components that are left in a bucket meet, in cells. Pairs are compared unless the number of keys they
     share (all their common ones, or they have been compared) is too small for their sizes."""
 
-    def needed(m, n):
-        return F.ceil(least / (1 + least) * (m + n) - SLACK)
-
     def ahead(x: str, y: str):
         m, n = F.col(f"{x}n"), F.col(f"{y}n")
-        return (F.col(f"{x}at") <= m - needed(m, n)) & (F.col(f"{y}at") <= n - needed(m, n)) & (F.least(m, n) >= least * F.greatest(m, n) - SLACK)
+        return (F.col(f"{x}at") <= m - needed(m, n, least)) & (F.col(f"{y}at") <= n - needed(m, n, least)) & (F.least(m, n) >= least * F.greatest(m, n) - SLACK)
 
     spark = entries.sparkSession
-    counts = entries.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-    met = written(entries.join(counts, "key"), "met")
-    score = met.groupBy("node").agg((F.sum(F.log2("size")) / F.first("n")).alias("score"))
-    now = rooted(met.drop("size").join(score, "node"), roots)
-    before = [met]
+    most = max(4 * PAIRS, prefixes.count() // 2)
+    own = written(entries, "entries")
+    score = own.groupBy("node").agg((F.sum(F.log2("size")) / F.first("n")).alias("score"))
+    now = rooted(own.drop("size").join(score, "node"), roots)
+    before = [own]
     for turn in range(rounds + 1):
         state = now.groupBy("key").agg(F.count("*").alias("size"), F.min("root").alias("lo"), F.max("root").alias("hi"), F.max(F.struct("score", "node", "n", "at", "root")).alias("p"))
         now = written(now.join(state.where("lo <> hi").drop("lo", "hi"), "key"), "open")
@@ -305,9 +369,12 @@ def candidates(entries: DataFrame, prefixes: DataFrame, verify, least: float, ro
         if turn == rounds or not crowded.head(1):
             break
         asked = crowded.where("root <> p.root").where(ahead("", "p."))
-        asked = written(asked.select(F.least("node", "p.node").alias("a"), F.greatest("node", "p.node").alias("b")).distinct(), "asked")
-        roots = joined(roots, verify(asked))
-        discard(asked)
+        swap = F.col("node") > F.col("p.node")
+        asked = asked.select(F.least("node", "p.node").alias("a"), F.when(swap, F.col("p.n")).otherwise(F.col("n")).alias("m"), F.greatest("node", "p.node").alias("b"), F.when(swap, F.col("n")).otherwise(F.col("p.n")).alias("n"))
+        asked = written(asked.distinct(), "pivots")
+        close = likely(asked, prefixes, least, most)
+        roots = joined(roots, verify(close))
+        discard(asked, close)
         now = now.where((F.col("size") <= hot) | (F.col("node") != F.col("p.node"))).select("key", "node", "n", "at", "prev", "score")
         now = rooted(now, roots)
     cells = F.ceil(F.col("size") / CELL).cast("int")
@@ -322,17 +389,10 @@ def candidates(entries: DataFrame, prefixes: DataFrame, verify, least: float, ro
     pairs = x.join(y, ["key", "i", "j"]).where(apart & first).select(F.col("x.node").alias("a"), F.col("x.n").alias("m"), F.col("y.node").alias("b"), F.col("y.n").alias("n")).distinct()
     pairs = written(pairs, "pairs")
     discard(now)
-    asked = []
-    for some in parts(pairs, 4 * PAIRS):
-        ends = among(prefixes, some)
-        for c in "ab":
-            some = some.join(ends.select(F.col("node").alias(c), F.col("first").alias(f"{c}_first")), c)
-        shared = F.size(F.array_intersect("a_first", "b_first"))
-        some = some.where(shared + F.ceil(least * F.greatest("m", "n") - SLACK) - 1 >= needed(F.col("m"), F.col("n")))
-        asked.append(written(some.select("a", "b"), "asked"))
+    asked = likely(pairs, prefixes, least, most)
     discard(pairs)
-    roots = joined(roots, verify(reduce(DataFrame.unionAll, asked)))
-    discard(*asked)
+    roots = joined(roots, verify(asked))
+    discard(asked)
     return roots
 
 
@@ -343,22 +403,26 @@ def near_duplicates(docs: DataFrame, words: int = 5, least: float = 0.8, key: st
     named = docs.select(F.col(key).cast("long").alias("doc_id"), digest(text).alias("cls"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("mark"), F.col(text).alias("x"))
     small_batches(docs.sparkSession)
     # One row of each text is kept, on the way to disk.
-    rows = shingled(named, words, least, common_shingles(named, words)).groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.first(F.struct("mark", "fp", "n", "first")).alias("s"))
+    rows = shingled(named, words, least, common(named, words)).groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.first(F.struct("mark", "fp", "n", "first")).alias("s"))
     texts = written(rows.select(F.monotonically_increasing_id().alias("node"), "cls", "doc_id", "s.*"), "texts")
+    count, keys = texts.agg(F.count("*"), F.coalesce(F.sum(F.size("first")), F.lit(0))).first()
+    most = max(PAIRS, count // EACH)
 
     def verify(pairs: DataFrame) -> DataFrame:
-        return verified(pairs, named, texts.select("node", "cls", "mark"), words, least)
+        return verified(pairs, named, texts.select("node", "cls", "mark"), words, least, most)
 
     pairs = close(texts.select("node", "fp"))
     roots = joined(None, verify(pairs))
     discard(pairs)
-    entries = texts.select("node", "n", "first", F.posexplode("first").alias("at", "key"))
+    shared = met(texts.select("node", "first"))
     back = F.slice("first", F.greatest(F.lit(1), F.col("at") - BACK + 1), F.least(F.lit(BACK), F.col("at")))
-    slices = max(1, min(PARTS, -(-(texts.agg(F.sum(F.size("first"))).first()[0] or 0) // ENTRIES)))
+    slices = max(1, -(-shared.count() // max(ENTRIES, keys // QUARTER)))
     for i in range(slices):
-        some = entries.where(F.pmod("key", F.lit(slices)) == i) if slices > 1 else entries
-        roots = candidates(some.select("key", "node", "n", "at", back.alias("prev")), texts.select("node", "first"), verify, least, roots)
+        some = shared.where(F.pmod("key", F.lit(slices)) == i) if slices > 1 else shared
+        some = some.join(texts.select("node", "n", "first"), "node").select("key", "node", "n", "at", back.alias("prev"), "size")
+        roots = candidates(some, texts.select("node", "first"), verify, least, roots)
         settle(docs.sparkSession)
+    discard(shared)
     own = written(rooted(texts.select("cls", "node", F.col("doc_id").alias("first")), roots).select("cls", "root", "first"), "roots")
     discard(texts)
     group = own.groupBy("root").agg(F.min(F.struct(F.col("first").isNull(), "first", "cls")).alias("kept"))

@@ -569,6 +569,22 @@ def test_near_duplicates_in_slices(spark, monkeypatch):
     assert len(sizes) == -(-sum(sizes) // 500) > 1 and max(sizes) < 750
 
 
+def test_near_duplicates_read_texts_as_often_whatever_the_pairs(spark, monkeypatch):
+    """Shingles of one text alone need no slices, and more pairs mean more parts, but no more scans of the documents."""
+    from anamnesis.llm import simhash
+
+    rnd, digest, candidates, scans, slices = random.Random(27), simhash.digest, simhash.candidates, [], []
+    texts = near_copies(27) + [" ".join(f"w{rnd.randrange(10**6)}" for _ in range(200)) for _ in range(100)]
+    want = plain_components(range(48), lambda a, b: similar(texts[a], texts[b]) >= 0.8) | {i: i for i in range(48, 148)}
+    monkeypatch.setattr(simhash, "ENTRIES", 2000)
+    monkeypatch.setattr(simhash, "PAIRS", 10)
+    monkeypatch.setattr(simhash, "digest", lambda text: scans.append(text) or digest(text))
+    monkeypatch.setattr(simhash, "candidates", lambda *rest: slices.append(1) or candidates(*rest))
+    assert near_groups(spark, texts) == want
+    # Once for all documents, and once for each time that pairs are compared: by fingerprints, two pivots, the rest.
+    assert len(slices) == 1 and len(scans) <= 5
+
+
 def test_near_duplicates_begin_with_fingerprints(spark, monkeypatch):
     """Without the step on shingles the links are those of fingerprints within two bits that the sets confirm."""
     from anamnesis.llm import simhash
