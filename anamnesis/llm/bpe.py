@@ -29,7 +29,7 @@ from anamnesis.llm.common import Memory, small_batches
 
 #: Chunks, and pieces of other kinds, that a worker remembers at most per generation, pairs of tokens of which it is known whether they may stand side
 #: by side, and characters above which a piece isn't remembered but fed in parts.
-REMEMBERED, OTHERS, AGREED, LONG = 200_000, 20_000, 400_000, 256
+REMEMBERED, OTHERS, AGREED, LONG = 100_000, 20_000, 200_000, 256
 #: Ids that leave a worker at once.
 IDS = 1 << 19
 #: Characters of a block that is cut into chunks at once, and of a part of a long piece.
@@ -58,7 +58,6 @@ class Merges:
             self.pair[a, b] = rank
             self.made.setdefault(c, (rank, a, b))
         single = {vocab[bytes([i])] for i in range(256)}
-        self.edges: dict[int, tuple[list, list]] = {}
         self.ids = {t: i for t, i in vocab.items() if i in single or i in self.made}
         self.lookahead = max(map(len, self.ids))
         self.agreed: dict[tuple[int, int], bool] = {}
@@ -75,24 +74,19 @@ class Merges:
         _, a, b = self.made[token]
         return self.first_merge(a, b) == self.made[token][0]
 
-    def edge(self, token: int) -> tuple[list, list]:
-        """(token, rank of the merge that takes it up) down the left and the right edge."""
-        if token not in self.edges:
-            sides = ([], [])
-            for side, down in zip(sides, (1, 2), strict=True):
-                at, until = token, 1 << 60
-                side.append((at, until))
-                while at in self.made:
-                    until, at = self.made[at][0], self.made[at][down]
-                    side.append((at, until))
-            self.edges[token] = sides
-        return self.edges[token]
+    def edge(self, token: int, down: int) -> list[tuple[int, int]]:
+        """(token, rank of the merge that takes it up) down the left (1) or the right edge (2)."""
+        made, at, side = self.made, token, [(token, 1 << 60)]
+        while (how := made.get(at)) is not None:
+            at = how[down]
+            side.append((at, how[0]))
+        return side
 
     def first_merge(self, a: int, b: int) -> int | None:
         """The rank of the first merge that crosses the boundary of a and b, if any does."""
         best = None
-        left = self.edge(b)[0]
-        for x, x_until in self.edge(a)[1]:
+        left = self.edge(b, 1)
+        for x, x_until in self.edge(a, 2):
             for y, y_until in left:
                 rank = self.pair.get((x, y))
                 if rank is not None and rank < x_until and rank <= y_until and (best is None or rank < best):
@@ -188,7 +182,7 @@ class Transducer:
 class Codec:
     """Encodes and decodes texts block by block."""
 
-    known: dict[str, Codec] = {}
+    known: dict[str, Codec] = Memory.read("bpe")
 
     def __init__(self, path: str):
         import regex

@@ -7,8 +7,10 @@ import ctypes
 import sys
 import tempfile
 import uuid
+import weakref
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -124,19 +126,31 @@ def blocks(text: str, size: int = 1 << 20, cut: str = " ") -> Iterator[str]:
 class Memory:
     """A cache of two generations: at `most` entries the young ones become the old, and what is asked for again moves back. Values aren't None."""
 
-    held: list[Memory] = []
+    held: weakref.WeakSet[Memory] = weakref.WeakSet()
+    loaded: dict[str, dict] = {}
 
     def __init__(self, most: int, owner: str):
         self.most, self.owner, self.young, self.old = most, owner, {}, {}
-        self.held.append(self)
+        self.held.add(self)
+
+    @classmethod
+    def read(cls, owner: str) -> dict:
+        """Where an operator keeps what it has read into this worker, such as a vocabulary."""
+        return cls.loaded.setdefault(owner, {})
 
     @classmethod
     def only(cls, owner: str) -> None:
-        """Empties the caches of other operators and gives their memory back: a Python worker lives on between stages."""
+        """Drops the caches of other operators and what they have read, and gives their memory back: a Python worker lives on between stages."""
         others = [m for m in cls.held if m.owner != owner and (m.young or m.old)]
         for memory in others:
             memory.young, memory.old = {}, {}
-        if others and sys.platform.startswith("linux"):
+        tables = [t for name, t in cls.loaded.items() if name != owner and t]
+        for table in tables:
+            table.clear()
+        if not others and not tables:
+            return
+        pa.default_memory_pool().release_unused()
+        if sys.platform.startswith("linux"):
             with contextlib.suppress(OSError, AttributeError):
                 ctypes.CDLL(None).malloc_trim(0)
 

@@ -204,7 +204,7 @@ class ShardReader:
 class WordEncoder:
     """A tokenizer whose result is the sum over the words between blanks, as raw ids; remembers words."""
 
-    known: dict[str, WordEncoder] = {}
+    known: dict[str, WordEncoder] = Memory.read("shards")
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer

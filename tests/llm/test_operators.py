@@ -887,3 +887,23 @@ def test_bpe_memory_is_bounded(monkeypatch):
     text += " it’s zorplet’s x1 don't."
     assert [i for some in codec.encode(text) for i in some] == library.encode(text, add_special_tokens=False).ids
     assert len(codec.merges.agreed) <= 50 and " quixanth" not in codec.pieces.young and "quixanth" in codec.chunks.young
+
+
+def test_workers_keep_nothing_of_other_operators():
+    """A worker that goes on to another operator drops the vocabulary and the caches, and what the vocabulary needs beside it doesn't grow."""
+    import gc
+    import weakref
+
+    from anamnesis.llm import bpe
+    from anamnesis.llm.common import Memory
+
+    Memory.only("none")
+    codec = bpe.Codec.of(BYTE_JSON)
+    list(codec.encode(" ".join(f"zorplet{i} quixanth{i}" for i in range(300))))
+    gone, memories = weakref.ref(codec), len(Memory.held)
+    Memory.only("bpe")
+    assert bpe.Codec.of(BYTE_JSON) is codec and codec.chunks.young
+    del codec
+    Memory.only("resample")
+    gc.collect()
+    assert gone() is None and not bpe.Codec.known and len(Memory.held) == memories - 2
