@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import struct
 import sys
 import unicodedata
@@ -42,6 +43,18 @@ SHARD_IDS = 1 << 27
 ENDS = ".,!?;:"
 #: Letters of old alphabets that are one letter in any case and normal form: what follows can't change them.
 LETTERS = frozenset(c for c in map(chr, range(0x530)) if c.isalpha() and all(len(x) == 1 and x.isalpha() for x in (unicodedata.normalize("NFC", c), unicodedata.normalize("NFC", c.lower()))))
+#: Marks that close a word after a letter, and words of letters that the library and Python lower alike wherever they stand and leave alone otherwise.
+CLOSED = re.compile(f"[{re.escape(ENDS)}](?<=[{''.join(sorted(LETTERS))}].)[{re.escape(ENDS)}]*(?![^ ])")
+PLAIN = re.compile(f"[{''.join(sorted(c for c in LETTERS if c not in 'Σςσ' and unicodedata.normalize('NFC', c) == c and c.lower() in LETTERS))}]+")
+#: A tokenizer for which plain words may go to its merges at once.
+NORMAL = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+SPLIT = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
 
 
 def mixed(keys: np.ndarray, seed: int) -> np.ndarray:
@@ -215,7 +228,8 @@ class WordEncoder:
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.added = [t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.sign = os.path.commonprefix(self.added)
-        self.cache, self.pieces = Memory(REMEMBERED, "shards"), Memory(REMEMBERED, "shards")
+        self.cache = Memory(REMEMBERED, "shards")
+        self.bare, self.last = self.plainly(path)
 
     @classmethod
     def of(cls, path: str) -> WordEncoder:
@@ -223,40 +237,81 @@ class WordEncoder:
             cls.known[path] = cls(path)
         return cls.known[path]
 
+    @staticmethod
+    def plainly(path: str):
+        """(the same merges over lower-case letters between blanks, whether an id ends a word), or twice None for a tokenizer that is built otherwise."""
+        from tokenizers import Tokenizer
+
+        from anamnesis.llm.bpe import byte_letters
+
+        with open(path, encoding="utf-8") as f:
+            said = json.load(f)
+        model, signs = said["model"], set(byte_letters())
+        end = model.get("end_of_word_suffix")
+        whole = end and all(c in model["vocab"] and c + end in model["vocab"] for c in signs)
+        if not whole or model.get("dropout") or model.get("continuing_subword_prefix") or said["normalizer"] != NORMAL or said["pre_tokenizer"] != SPLIT or said["post_processor"]:
+            return None, None
+        said |= {"normalizer": None, "added_tokens": [], "truncation": None, "padding": None}
+        said["pre_tokenizer"] = {"type": "Sequence", "pretokenizers": [{"type": "Split", "pattern": {"String": " "}, "behavior": "Removed", "invert": False}, SPLIT["pretokenizers"][1]]}
+        last = np.zeros(max(model["vocab"].values()) + 1, bool)
+        last[[i for t, i in model["vocab"].items() if t.endswith(end)]] = True
+        return Tokenizer.from_str(json.dumps(said)), last
+
     def raw(self, ids: list[int]) -> bytes:
         out = array("H" if self.width == 2 else "I", ids)
         if sys.byteorder == "big":
             out.byteswap()
         return out.tobytes()
 
+    def within(self, text: str) -> bool:
+        """Whether an added token may show up in a text in lower case."""
+        return self.sign in text and any(x in text for x in self.added)
+
+    def look(self, new: list[str]) -> list[bytes]:
+        """Raw ids of words, from the tokenizer as it is."""
+        return [self.raw(e.ids) for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
+
+    def look_plain(self, new: list[str]) -> list[bytes]:
+        """Raw ids of words of plain letters in lower case: all at once, cut where a word ends."""
+        if self.bare is None or not new:
+            return self.look(new)
+        [e] = self.bare.encode_batch_fast([" ".join(new)], add_special_tokens=False)
+        ids = np.array(e.ids, f"<u{self.width}")
+        cuts = ((np.flatnonzero(self.last[ids]) + 1) * self.width).tolist()
+        if len(cuts) != len(new):
+            raise ValueError("the tokenizer gave other words than it was asked for")
+        out = ids.tobytes()
+        return [out[a:b] for a, b in zip([0, *cuts], cuts, strict=False)]
+
     def learn(self, words: list[str]) -> None:
-        """ASCII words go to the tokenizer without case, where it makes no difference, and words without the closing marks after a
-        letter, which are pieces of their own. Words in which an added token shows up either way are left as they are:
-        added tokens are found in the text as it stands."""
-        split, parts = [], {""}
+        """Plain letters go to the merges without case. Other ASCII words go to the tokenizer without case, where it makes no difference; words in
+        which an added token shows up either way are left as they are: added tokens are found in the text as it stands."""
+        plain, low, others, asked = [], [], [], []
         for word in words:
-            low = word.lower() if word.isascii() else word
-            core = low.rstrip(ENDS)
-            if self.sign in low and any(x in low for x in self.added):
-                split.append((word, word, ""))
-                parts.add(word)
-            elif core and core[-1] in LETTERS:
-                split.append((word, core, low[len(core) :]))
-                parts.update((core, low[len(core) :]))
+            small = word.lower()
+            if self.within(small):
+                others.append(word)
+                asked.append(word)
+            elif PLAIN.fullmatch(word):
+                plain.append(word)
+                low.append(small)
             else:
-                split.append((word, low, ""))
-                parts.add(low)
-        new = self.pieces.missing(parts)
-        known, whole = self.pieces.young, self.cache.young
-        for piece, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            known[piece] = self.raw(e.ids)
-        for word, core, end in split:
-            whole[word] = known[core] + known[end] if end else known[core]
+                others.append(word)
+                asked.append(small if word.isascii() else word)
+        self.cache.young.update(zip(plain, self.look_plain(low), strict=True))
+        self.cache.young.update(zip(others, self.look(asked), strict=True))
+
+    def words(self, block: str) -> list[str]:
+        """The words of a block, with the marks that close one after a letter as words of their own, without case where it makes no difference."""
+        small = block.lower()
+        if self.within(small):
+            return block.split(" ")
+        return CLOSED.sub(r" \g<0>", small if block.isascii() else block).split(" ")
 
     def encode(self, text: str) -> list[bytes]:
         out = []
         for block in blocks(text.replace("\n", " ")):
-            words = block.split(" ")
+            words = self.words(block)
             if new := self.cache.missing(set(words)):
                 self.learn(new)
             out.append(b"".join(map(self.cache.young.__getitem__, words)))

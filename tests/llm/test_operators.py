@@ -907,3 +907,20 @@ def test_workers_keep_nothing_of_other_operators():
     Memory.only("resample")
     gc.collect()
     assert gone() is None and not bpe.Codec.known and len(Memory.held) == memories - 2
+
+
+def test_plain_words_go_to_the_merges_at_once(monkeypatch):
+    """Words of letters, whatever marks close them, never pass the library's normaliser, and the ids are still the library's."""
+    from anamnesis.llm.token_shards import WordEncoder
+
+    e, t, asked = WordEncoder(WORD_JSON), library(WORD_JSON), []
+    look = e.look
+    monkeypatch.setattr(e, "look", lambda new: asked.extend(new) or look(new))
+    plain = "Théâtre bleated, ÉTÉ. Onhalyti?! ñquecico; ciónezciónga: naïve... the. THE thE!\nŉ ª. ŒUVRE, ß. ſ. ÿ; ΑΣ σας ΑΣ. " + "tion" * 200
+    odd = " 3.5. don't. a.b.: (one). ... .. é. x<|endoftext|>. <|ENDOFTEXT|>. İ. Σ. K. \u0085. a\t.b,\x0b. ퟿."
+    for s in (plain, odd, plain + odd, plain.upper(), odd.upper(), "a..", ".", ",.a", "é.'s", "a.'s b!?'"):
+        asked.clear()
+        assert np.frombuffer(b"".join(e.encode(s)), "<u2").tolist() == t.encode(s, add_special_tokens=False).ids, repr(s)
+        if s == plain:
+            assert not {a for a in asked if a.isalpha()} - {"ΑΣ", "σας"}
+            assert set(asked) - {"ΑΣ", "σας"} <= {"", ".", ",", "?!", ";", ":", "...", "!"}
