@@ -924,3 +924,25 @@ def test_plain_words_go_to_the_merges_at_once(monkeypatch):
         if s == plain:
             assert not {a for a in asked if a.isalpha()} - {"ΑΣ", "σας"}
             assert set(asked) - {"ΑΣ", "σας"} <= {"", ".", ",", "?!", ";", ":", "...", "!"}
+
+
+def test_bpe_pieces_in_step(monkeypatch):
+    """Short pieces are encoded together, not each by a walk of its own; the ids are those of the transducer and of the library."""
+    from anamnesis.llm import bpe
+
+    c, t, rnd = bpe.Codec(BYTE_JSON), library(BYTE_JSON), random.Random(4)
+    pieces = [bytes(rnd.choice(b"abcdeingtho -.!\xc3\xa9\xff") for _ in range(rnd.randint(0, 60))) for _ in range(3000)] + [b"", b"a" * 1000]
+    monkeypatch.setattr(bpe, "PAIRS", 6)
+    for steps in (c.steps, bpe.Steps(c.merges)):
+        for some in (pieces, pieces[:1], pieces[-2:], [b""], []):
+            assert [np.frombuffer(x, np.int32).tolist() for x in steps.encode(some)] == [c.transducer.feed(p) + c.transducer.finish() for p in some]
+    parts = ["zorplet", "quixanth", "É", "ß", "naïve", "it's", "x.\ny", "...", ".", ",", "?!", ":", "\0", "\0.", " ", "  ", "\n ", "3.5", "<|endoftext|>", "ª.", "ы.", "'s.", "w" * 300, "-" * 300, "a" * 5000]
+    texts = ["".join(rnd.choice(parts) + rnd.choice(["", " ", " "]) for _ in range(rnd.randint(0, 30))) for _ in range(400)]
+    for ready in (texts[::2], []):
+        c.prepare(ready)
+        for s in texts:
+            assert [i for some in c.encode(s) for i in some] == t.encode(s, add_special_tokens=False).ids, repr(s)
+    alone = []
+    monkeypatch.setattr(c, "piece", lambda p: alone.append(p) or c.transducer.feed(p.encode()) + c.transducer.finish())
+    list(c.encode("x " + " ".join(f"grumble{'abcdefghij'[i]}vorn." for i in range(10))))
+    assert alone in ([], ["x"])
